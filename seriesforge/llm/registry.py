@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seriesforge.llm import bpe, mixing, sharding, token_counts
+from seriesforge.llm import bpe, mixing, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_mixing": mixing.op4_mixing,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
 }
 
