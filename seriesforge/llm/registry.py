@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from seriesforge.llm import bpe, mixing, sharding, substring_dedup, token_counts
+from seriesforge.llm import bpe, mixing, ngram_join, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_mixing": mixing.op4_mixing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_sharding": sharding.op7_sharding,
 }
 
