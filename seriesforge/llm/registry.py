@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesforge.llm import bpe, mixing, ngram_join, sharding, substring_dedup, token_counts
+from seriesforge.llm import bpe, mixing, ngram_join, quality, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_sharding": sharding.op7_sharding,
+    "op8_quality": quality.op8_quality,
 }
 
 ORACLE_SQL = {"op7_sharding": sharding.OP7_SQL}

@@ -44,9 +44,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _piece(data: np.ndarray, first: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(data: np.ndarray, first: np.ndarray, values: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of ``data``; ``first`` marks where a text begins."""
-    ink = ~_SPACE[data]
+    ink = ~space[data]
     edge = first[: len(data)].copy()
     edge[0] = True
     fresh = ink.copy()
@@ -61,10 +61,10 @@ def _piece(data: np.ndarray, first: np.ndarray, values: np.ndarray) -> tuple[np.
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def word_hashes(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def word_hashes(texts: pa.Array, lower: bool = False, space: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Whole texts in groups of about a piece: yields (index of the group's first text, bounds of
     each text's words in the arrays, hashes, starts, ends); positions are bytes from the start of
-    the array's data. A null text is the empty text."""
+    the array's data. A null text is the empty text. ``space`` marks the bytes between words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
@@ -79,13 +79,13 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.
         parts, a = [], lo
         while a < hi:
             b = min(a + PIECE, hi)
-            while b < hi and not _SPACE[data[b]]:
-                ahead = np.flatnonzero(_SPACE[data[b : b + PIECE]])
+            while b < hi and not space[data[b]]:
+                ahead = np.flatnonzero(space[data[b : b + PIECE]])
                 b = b + int(ahead[0]) if len(ahead) else min(b + PIECE, hi)
             first = np.zeros(b - a + 1, bool)
             inside = at[i:j][(at[i:j] >= a) & (at[i:j] < b)]
             first[inside - a] = True
-            h, s, e = _piece(data[a:b], first, values)
+            h, s, e = _piece(data[a:b], first, values, space)
             parts.append((h, s + a, e + a))
             a = b
         h, s, e = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
