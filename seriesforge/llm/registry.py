@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesforge.llm import bpe, mixing, ngram_join, quality, sharding, substring_dedup, token_counts
+from seriesforge.llm import bpe, mixing, near_dedup, ngram_join, quality, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality": quality.op8_quality,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 
 ORACLE_SQL = {"op7_sharding": sharding.OP7_SQL}
