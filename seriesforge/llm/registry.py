@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesforge.llm import bpe, mixing, near_dedup, ngram_join, quality, sharding, substring_dedup, token_counts
+from seriesforge.llm import bpe, mixing, near_dedup, ngram_join, quality, sharding, substring_dedup, token_counts, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_sharding": sharding.op7_sharding,
     "op8_quality": quality.op8_quality,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_topk": topk.op10_topk,
 }
 
-ORACLE_SQL = {"op7_sharding": sharding.OP7_SQL}
+ORACLE_SQL = {"op7_sharding": sharding.OP7_SQL, "op10_topk": topk.OP10_SQL}
