@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from seriesforge.llm import bpe, mixing, near_dedup, ngram_join, quality, sharding, substring_dedup, token_counts, topk
+from seriesforge.llm import bpe, html_extract, mixing, near_dedup, ngram_join, quality, sharding, substring_dedup, token_counts, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_mixing": mixing.op4_mixing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
