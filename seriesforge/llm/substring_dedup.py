@@ -4,7 +4,7 @@ A window is ``size`` consecutive words. Pass 1 sketches the windows: each is cou
 anchor, the smallest hash among its runs of ``ANCHOR`` words, so that neighbours share one entry
 and equal windows always count together. Every partition sends its own sketch's cells; the merged
 counters can only overestimate. Pass 2 takes the windows whose every cell was met at least twice,
-groups them exactly by a 128-bit hash of their words, and removes those that also start in a
+groups them exactly by a 95-bit hash of their words, and removes those that also start in a
 document with a smaller id. The sketch never loses a repeated window; its width follows the input
 up to ``MAX_CELLS``, beyond which more windows are grouped, with the same result.
 
@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
-from seriesforge.llm.common import written
 from seriesforge.llm.words import mixed, windows, word_hashes
 
 ANCHOR = 16
@@ -112,8 +111,11 @@ def sketch(docs: DataFrame, text: str, size: int, width: int) -> bytes:
 
 
 def removals(docs: DataFrame, text: str, size: int, width: int, bits) -> DataFrame:
-    """Windows of ``docs`` (columns id, row, text) that go, as (row, lo, hi): ranges of window
-    starts, hi exclusive."""
+    """Windows of ``docs`` (columns id, row, text) that go, as (id, row, lo, hi): ranges of window
+    starts, hi exclusive. ``row`` is a 16-bit hash that tells rows of one id apart."""
+
+    def found_rows(h1, h2, doc, at, n):
+        return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.astype(np.int32)), pa.array(doc), pa.array(at), pa.array(n.astype(np.int32))], ["h1", "h2", "id", "at", "n"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = np.frombuffer(bits.value, np.uint8)
@@ -128,22 +130,21 @@ def removals(docs: DataFrame, text: str, size: int, width: int, bits) -> DataFra
             fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
             least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
             gone = doc > least
-            r, p = row[gone], at[gone]
-            order = np.lexsort((p, r))
-            r, p = r[order], p[order]
-            cut = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)]) if len(r) else np.zeros(0, bool)
+            d, r, p = doc[gone], row[gone], at[gone]
+            order = np.lexsort((p, r, d))
+            d, r, p = d[order], r[order], p[order]
+            cut = np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)]) if len(r) else np.zeros(0, bool)
             first = np.flatnonzero(cut)
-            last = np.concatenate([first[1:], [len(r)]]) - 1 if len(first) else first
-            none = pa.nulls(len(first), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(r[first]), pa.array(p[first].astype(np.int32)), pa.array(p[last].astype(np.int32) + 1)], names)
+            n = np.diff(first, append=len(r))
+            d, p = d[first], p[first] << 16 | r[first]
+            yield found_rows(mixed(d.view(np.uint64) ^ mixed(p.view(np.uint64))), np.zeros(len(d)), d, p, n)
             open_ = np.flatnonzero(~gone)
             for a in range(0, len(open_), 200_000):
                 k = open_[a : a + 200_000]
-                p = at[k].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int64)), pa.array(doc[k]), pa.array(row[k]), pa.array(p), pa.array(p + 1)], names)
+                yield found_rows(h1[k], h2[k], doc[k], at[k] << 16 | row[k], np.zeros(len(k)))
 
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             rows = batch.column(1).to_numpy(zero_copy_only=False)
             for i, bounds, h, _, _ in word_hashes(batch.column(2)):
                 for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
@@ -155,7 +156,7 @@ def removals(docs: DataFrame, text: str, size: int, width: int, bits) -> DataFra
                         hit &= (repeated[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
                     at = np.flatnonzero(hit)
                     if len(at):
-                        held.append((windows(h[a:b], size)[at], windows(h[a:b], size, 7)[at], np.full(len(at), ids[i + k]), np.full(len(at), rows[i + k]), at))
+                        held.append((windows(h[a:b], size)[at], (windows(h[a:b], size, 7)[at] >> np.uint64(33)).astype(np.int64), np.full(len(at), ids[i + k]), np.full(len(at), rows[i + k]), at))
                         n += len(at)
                 if n > BLOCK_WINDOWS:
                     yield from flush()
@@ -163,11 +164,11 @@ def removals(docs: DataFrame, text: str, size: int, width: int, bits) -> DataFra
         if held:
             yield from flush()
 
-    names = ["h1", "h2", "id", "row", "lo", "hi"]
-    found = docs.select("id", "row", text).mapInArrow(judged, "h1 long, h2 long, id long, row long, lo int, hi int")
-    found = written(found, "windows")
-    across = found.where("h1 is not null").withColumn("least", F.min("id").over(W.partitionBy("h1", "h2"))).where("id > least")
-    return found.where("h1 is null").select("row", "lo", "hi").union(across.select("row", "lo", "hi"))
+    found = docs.select("id", "row", text).mapInArrow(judged, "h1 long, h2 int, id long, at long, n int")
+    # n is 0 for a window that is still open; ranges already decided pass under keys of their own.
+    gone = found.withColumn("least", F.min("id").over(W.partitionBy("h1", "h2"))).where("n > 0 OR id > least")
+    lo = F.shiftright("at", 16).cast("int")
+    return gone.select("id", F.col("at").bitwiseAND(0xFFFF).alias("row"), lo.alias("lo"), (lo + F.greatest("n", F.lit(1))).alias("hi"))
 
 
 def cut(texts: pa.Array, ranges: pa.Array, size: int) -> pa.Array:
@@ -194,21 +195,22 @@ def cut(texts: pa.Array, ranges: pa.Array, size: int) -> pa.Array:
 def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 50) -> DataFrame:
     """``docs`` with ``kept`` (the words that stay, joined by one space), ``n_words`` and
     ``n_removed``."""
-    row = F.xxhash64(id, text)
-    keyed = docs.select(F.col(id).cast("long").alias("id"), row.alias("row"), F.col(text))
+    own_id = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID))
+    row = F.xxhash64(text).bitwiseAND(0xFFFF)
+    keyed = docs.select(own_id.alias("id"), row.alias("row"), F.col(text))
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     width = MIN_CELLS
     while width < min(n_bytes // 14, MAX_CELLS):  # some eight cells for each anchor that prose has
         width *= 2
     bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, text, size, width))
     gone = removals(keyed, text, size, width, bits)
-    gone = gone.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("__ranges"))
+    gone = gone.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("lo", "hi")).alias("__ranges"))
 
     @F.arrow_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
     def cut_all(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         return cut(texts, ranges, size)
 
-    joined = docs.withColumn("__row", row).join(gone.withColumnRenamed("row", "__row"), "__row", "left")
+    joined = docs.withColumns({"__id": own_id, "__row": row}).join(gone, ["__id", "__row"], "left")
     made = joined.withColumn("__cut", cut_all(F.col(text), F.col("__ranges")))
     return made.select(*[F.col(f"`{c}`") for c in docs.columns], "__cut.kept", "__cut.n_words", "__cut.n_removed")
 
