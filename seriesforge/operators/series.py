@@ -97,7 +97,7 @@ def tail_mean(curve: DataFrame, keys: list[str], axis_end: float, width: float =
     last = F.max("t").over(W.partitionBy(*keys))
     made = curve.withColumn("__last", last)
     made = made.groupBy(*keys).agg(F.max("__last").alias("t_last"), F.avg(F.when(F.col("t") >= F.col("__last") - F.lit(width), F.col("v"))).alias("tail"))
-    return made.select(*keys, "t_last", rounded(F.col("tail"), 4).alias("tail_mean"), ((F.col("t_last") >= F.lit(axis_end - 1e-6)) & (F.col("tail") > F.lit(above))).alias("reaches_axis_end"))
+    return made.select(*keys, "t_last", rounded(F.col("tail"), 8).alias("tail_mean"), ((F.col("t_last") >= F.lit(axis_end - 1e-6)) & (F.col("tail") > F.lit(above))).alias("reaches_axis_end"))
 
 
 def threshold_stats(curve: DataFrame, keys: list[str], threshold: float = END_OF_FLOW) -> DataFrame:
