@@ -67,10 +67,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: float =
     ``weights`` repeat over the sources in order; the mix has ``share`` times all words; a source's
     target stops at ``most`` times its size, and what it leaves goes to the others by weight.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "size")]
+    results = ("size", "source_size", "target", "taken")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in results]
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    key = F.xxhash64(F.lit(seed), *kept, "size").alias("__key")
-    rows = written(docs.select(*kept, size).select("*", key), "sizes")
+    rows = docs.select(F.struct(*rest).alias("__rest"), F.col(source).alias("source"), size)
+    rows = written(rows.withColumn("__key", F.xxhash64(F.lit(seed), "__rest", "size")), "sizes")
+    source = "source"
     sizes = rows.groupBy(source).agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col(source).asc_nulls_last())
     index = F.row_number().over(order) - 1
@@ -100,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: float =
     line = W.partitionBy("source_no", "shard").orderBy("__key").rowsBetween(W.unboundedPreceding, 0)
     out = placed.withColumn("__end", F.sum("size").over(line)).join(quotas, ["source_no", "shard"])
     taken = taken_until(F.col("__end")) - taken_until(F.col("__end") - F.col("size"))
-    return out.select(*kept, "size", "source_size", "target", taken.alias("taken"))
+    return out.select("__rest.*", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

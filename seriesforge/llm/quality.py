@@ -27,8 +27,10 @@ from seriesforge.llm.common import written
 from seriesforge.llm.words import PIECE, word_hashes
 
 TRAIN_ROWS = 8_000
-BUCKETS = 1 << 16
-SHAPE = 8
+BUCKETS = 1 << 18
+LEAST_DOCS, LEAST_Z = 8, 5.0
+#: Steps of a text's shape: signs, capitals and digits a byte, distinct words, bars and exclamation marks a word.
+STEPS = ((0.05, 0.1, 0.15, 0.2, 0.3), (0.1, 0.2, 0.4, 0.6), (0.05, 0.1, 0.2, 0.4), (0.1, 0.2, 0.3, 0.5, 0.7), (0.1, 0.3, 0.6), (0.1, 0.3, 0.6, 1.2))
 #: Bytes that part words: ASCII without letters and digits.
 BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Printable signs among them.
@@ -52,11 +54,14 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for c in range(at[i + k], at[i + k + 1], PIECE):
                 kinds += np.bincount(data[c : min(c + PIECE, at[i + k + 1])], minlength=256)
             n, words = max(int(kinds.sum()), 1), max(b - a, 1)
-            shapes.append([
-                kinds[SIGNS].sum() / n, kinds[65:91].sum() / n, kinds[48:58].sum() / n, len(own) / words, np.log1p(n) / 10,
-                min(kinds[ord("|")] / words, 1.0), min(kinds[ord("!")] / words, 2.0), 1.0,
-            ])
-    return np.concatenate(buckets) if buckets else np.zeros(0, np.int32), np.array(counts, np.int64), np.array(shapes).reshape(-1, SHAPE)
+            shapes.append([kinds[SIGNS].sum() / n, kinds[65:91].sum() / n, kinds[48:58].sum() / n, len(own) / words, kinds[ord("|")] / words, kinds[ord("!")] / words])
+    return np.concatenate(buckets) if buckets else np.zeros(0, np.int32), np.array(counts, np.int64), stepped(np.array(shapes).reshape(-1, len(STEPS)))
+
+
+def stepped(shapes: np.ndarray) -> np.ndarray:
+    """One column for each step that a value passes, and a constant."""
+    passed = [(shapes[:, k] > at).astype(float) for k, steps in enumerate(STEPS) for at in steps]
+    return np.stack([*passed, np.ones(len(shapes))], 1)
 
 
 def evidence(buckets: np.ndarray, counts: np.ndarray, shapes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -67,10 +72,21 @@ def evidence(buckets: np.ndarray, counts: np.ndarray, shapes: np.ndarray, weight
     return (sums[ends] - sums[ends - counts]) + shapes @ weights[BUCKETS:]
 
 
-def logistic(buckets, counts, shapes, wanted, steps: int = 250, ridge: float = 2e-4) -> np.ndarray:
-    """Ridge logistic regression by full-batch gradient steps with adaptive sizes."""
-    weights, m, v = (np.zeros(BUCKETS + SHAPE) for _ in range(3))
+def telling(buckets: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which buckets of words occur in at least ``LEAST_DOCS`` texts and differ between the classes
+    by ``LEAST_Z`` standard deviations; all others would only be learnt by heart."""
     owner = np.repeat(np.arange(len(counts)), counts)
+    n, k, p = np.bincount(buckets, minlength=BUCKETS), np.bincount(buckets, wanted[owner], BUCKETS), wanted.mean()
+    return (n >= LEAST_DOCS) & (np.abs(k - n * p) >= LEAST_Z * np.sqrt(np.maximum(n, 1) * p * (1 - p)))
+
+
+def logistic(buckets, counts, shapes, wanted, steps: int = 300, ridge: float = 2e-5) -> np.ndarray:
+    """Ridge logistic regression by full-batch gradient steps with adaptive sizes, on the words
+    that tell the classes apart and the shape."""
+    owner, use = np.repeat(np.arange(len(counts)), counts), telling(buckets, counts, wanted)[buckets]
+    buckets, owner = buckets[use], owner[use]
+    counts = np.bincount(owner, minlength=len(counts))
+    weights, m, v = (np.zeros(BUCKETS + shapes.shape[1]) for _ in range(3))
     for step in range(1, steps + 1):
         error = (1 / (1 + np.exp(-np.clip(evidence(buckets, counts, shapes, weights), -30, 30))) - wanted) / len(wanted)
         slope = np.concatenate([np.bincount(buckets, error[owner], BUCKETS), shapes.T @ error]) + ridge * weights
@@ -106,17 +122,17 @@ def fitted(docs: DataFrame, labels: DataFrame, id: str, text: str) -> dict:
 
 
 def risks(docs: DataFrame, models: dict, text: str) -> DataFrame:
-    """Adds the document-level probability of each risk."""
+    """Adds the document-level probability of each risk, ``__p_<risk>``."""
     held = docs.sparkSession.sparkContext.broadcast(models)
 
-    @F.arrow_udf(T.StructType([T.StructField(f"p_{r}", T.DoubleType()) for r in RISKS]))
+    @F.arrow_udf(T.StructType([T.StructField(f"__p_{r}", T.DoubleType()) for r in RISKS]))
     def scored(texts: pa.Array) -> pa.Array:
         found = features(texts)
         columns = []
         for r in RISKS:
             w = held.value[r]
             columns.append(np.full(len(texts), w) if isinstance(w, float) else 1 / (1 + np.exp(-np.clip(evidence(*found, w), -30, 30))))
-        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], [f"p_{r}" for r in RISKS])
+        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], [f"__p_{r}" for r in RISKS])
 
     made = docs.withColumn("__risk", scored(F.col(text)))
     return made.select(*[F.col(f"`{c}`") for c in docs.columns], "__risk.*")
@@ -125,7 +141,7 @@ def risks(docs: DataFrame, models: dict, text: str) -> DataFrame:
 def posteriors(scored: DataFrame, host: str, path: str) -> DataFrame:
     """(host, path, and for each risk the corpus mean and the path's posterior mean): beta-binomial
     shrinkage with strengths from the method of moments."""
-    sums = [F.sum(f"p_{r}").alias(f"s_{r}") for r in RISKS]
+    sums = [F.sum(f"__p_{r}").alias(f"s_{r}") for r in RISKS]
     paths = written(scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count("*").alias("n"), *sums), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), *[F.sum(f"s_{r}").alias(f"h_{r}") for r in RISKS])
     total = hosts.agg(F.sum("hn").alias("n"), *[F.sum(f"h_{r}").alias(r) for r in RISKS]).first()
@@ -160,14 +176,15 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     """``docs`` with ``risk_low``, ``risk_toxic`` (probabilities after the host and path evidence)
     and ``kept``: neither reaches ``reject_at``."""
     scored = risks(docs, fitted(docs, labels, id, text), text)
-    groups = posteriors(scored.select(host, path, *[f"p_{r}" for r in RISKS]), host, path)
+    groups = posteriors(scored.select(host, path, *[f"__p_{r}" for r in RISKS]), host, path)
     groups = written(groups.withColumnsRenamed({"host": "__host", "path": "__path"}), "groups")
     both = scored.join(groups, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
     for r in RISKS:
-        raw = odds(F.col(f"p_{r}")) + odds(F.col(f"path_{r}")) - odds(F.col(f"corpus_{r}"))
-        both = both.withColumn(f"risk_{r}", 1 / (1 + F.exp(-raw)))
-    kept = (F.col("risk_low") < reject_at) & (F.col("risk_toxic") < reject_at)
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], "risk_low", "risk_toxic", F.coalesce(kept, F.lit(True)).alias("kept"))
+        raw = odds(F.col(f"__p_{r}")) + odds(F.col(f"path_{r}")) - odds(F.col(f"corpus_{r}"))
+        both = both.withColumn(f"__risk_{r}", 1 / (1 + F.exp(-raw)))
+    kept = (F.col("__risk_low") < reject_at) & (F.col("__risk_toxic") < reject_at)
+    results = ("risk_low", "risk_toxic", "kept")
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results], F.col("__risk_low").alias("risk_low"), F.col("__risk_toxic").alias("risk_toxic"), F.coalesce(kept, F.lit(True)).alias("kept"))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -94,13 +94,13 @@ class ShardStore:
             self.commit(live)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with ``shard`` (file) and ``tier``."""
+        """The rows of a version, with ``__shard`` (file) and ``__tier``."""
         runs = [r.run for r in self.manifest(version).select("run").collect()]
         if not runs:
-            return self.spark.createDataFrame([], self.schema).withColumns({"shard": F.lit(None).cast("string"), "tier": F.lit(None).cast("int")})
+            return self.spark.createDataFrame([], self.schema).withColumns({"__shard": F.lit(None).cast("string"), "__tier": F.lit(None).cast("int")})
         rows = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/runs/{r}" for r in runs])
         tier = F.regexp_extract("_metadata.file_path", "/runs/tier([0-9]+)-", 1).cast("int")
-        return rows.select("*", F.col("_metadata.file_name").alias("shard"), tier.alias("tier"))
+        return rows.select("*", F.col("_metadata.file_name").alias("__shard"), tier.alias("__tier"))
 
 
 def op7_sharding(spark, sf_dir: str, arrivals: int = 8) -> DataFrame:
@@ -112,7 +112,7 @@ def op7_sharding(spark, sf_dir: str, arrivals: int = 8) -> DataFrame:
         store.append(docs.where(arrival == k))
     out = store.read()
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return out.select("doc_id", "lang", "source", n_bytes.alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "tier", F.lit(store.version).alias("version"))
+    return out.select("doc_id", "lang", "source", n_bytes.alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("__tier").alias("tier"), F.lit(store.version).alias("version"))
 
 
 OP7_SQL = """

@@ -14,7 +14,8 @@ passage in a third of all documents is a few rows a task, not a hot key.
 
 Defined results: a null or empty text has no words; documents shorter than a window lose nothing;
 windows are judged on the input; a null id ranks after all others; rows with the same id don't
-remove each other's words; extra columns pass through.
+remove each other's words; extra columns pass through (one
+named like a result gives way to it).
 """
 
 from __future__ import annotations
@@ -212,7 +213,8 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", si
 
     joined = docs.withColumns({"__id": own_id, "__row": row}).join(gone, ["__id", "__row"], "left")
     made = joined.withColumn("__cut", cut_all(F.col(text), F.col("__ranges")))
-    return made.select(*[F.col(f"`{c}`") for c in docs.columns], "__cut.kept", "__cut.n_words", "__cut.n_removed")
+    results = ("kept", "n_words", "n_removed")
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results], "__cut.kept", "__cut.n_words", "__cut.n_removed")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
