@@ -104,7 +104,10 @@ def parsed(page: str | None) -> Node:
         up = stack[-1]
         key = xxhash.xxh64_intdigest(f"{up.key}>{tag}.{own}") >> 1
         main = up.main or tag in ("article", "main")
-        gone = tag in NOT_MAIN or (tag == "header" and not up.main) or bool(role and tag not in ("html", "body", "article", "main") and HIDDEN_ROLE.search(role))
+        named = HIDDEN_ROLE.search(role) if role and tag not in ("html", "body", "article", "main") else None
+        if named and up.main and "header" in named.group().lower():  # the article's own heading
+            named = None
+        gone = tag in NOT_MAIN or (tag == "header" and not up.main) or named is not None
         node = Node(tag, key, main, gone)
         up.parts.append(node)
         if not attributes.endswith("/"):

@@ -162,7 +162,7 @@ def test_a_null_id_ranks_last(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a="</p><p>no";</script></head><body>
 <nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><header>Site</header>
-<article><h1>Head &amp; line</h1><p>One <b>two<br>three &lt;four&gt;<p>Five&nbsp;six</p><!-- c --><aside>Side</aside><form><p>Mail</p></form>
+<article><div class="entry-header"><h1>Head &amp; line</h1></div><p>One <b>two<br>three &lt;four&gt;<p>Five&nbsp;six</p><!-- c --><aside>Side</aside><form><p>Mail</p></form>
 <div class="comments"><p>First!</p></div></article><div id="sidebar">More</div><footer>&copy; x</footer>"""
 
 
