@@ -62,48 +62,57 @@ class MTree:
         return own, float(d.max()), up, children, None, None
 
 
-def search(tree: MTree, ids: np.ndarray, vectors: np.ndarray, longest: float, query: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of a block, without the query's own id."""
-    sphere = float(query @ query) + longest * longest
-    at = np.append(query.astype(float), 0.0)
+def search(tree: MTree, ids: np.ndarray, vectors: np.ndarray, longest: float, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query id, score, id) of the k best of a block for each of a pack of queries, without a
+    query's own id. Best first for the pack: the next node is the one that some query may have to
+    see with the smallest bound, and it is worked on for just the queries that its stored distances
+    don't rule out."""
+    m = len(queries)
+    sphere = (queries.astype(float) ** 2).sum(1) + longest**2
     slack = 1e-7 * (1 + np.sqrt(sphere))
-    best: list[tuple[int, int]] = []
-    reach = np.inf
-
-    def distance(rows) -> np.ndarray:
-        return np.sqrt(((tree.points[rows] - at) ** 2).sum(-1))
-
-    top = tree.root
-    d = float(distance(top[0]))
-    queue, count = [(max(d - top[1], 0.0), 0, d, top)], 0
+    at = np.concatenate([queries.astype(float), np.zeros((m, 1))], 1)
+    # Doubles hold the products exactly, unless components are huge.
+    exact = np.abs(vectors).max() * float(np.abs(queries).max()) * vectors.shape[1] < 2**52
+    left, right = (vectors.astype(float), queries.astype(float)) if exact else (vectors, queries)
+    best: list[list[tuple[int, int]]] = [[] for _ in range(m)]
+    least, reach = np.full(m, -np.inf), np.full(m, np.inf)
+
+    def distance(row: int, who: np.ndarray) -> np.ndarray:
+        return np.sqrt(((at[who] - tree.points[row]) ** 2).sum(1))
+
+    everyone = np.arange(m)
+    d = distance(tree.root[0], everyone)
+    bound = np.maximum(d - tree.root[1], 0)
+    queue, count = [(bound.min(), 0, tree.root, everyone, d, bound)], 0
     while queue:
-        least, _, d, (_, _, _, children, rows, apart) = heapq.heappop(queue)
-        if least > reach + slack:
-            break
-        if children is None:
-            near = rows[np.abs(d - apart) <= reach + slack]
-            near = near[ids[near] != query_id]
-            if not len(near):
-                continue
-            scores = vectors[near] @ query
-            if len(best) == k:
-                worth = scores >= best[-1][0]
-                near, scores = near[worth], scores[worth]
-            if len(near) > 4 * k:
-                cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-                near, scores = near[scores >= cut], scores[scores >= cut]
-            best = sorted([*best, *((int(s), int(i)) for s, i in zip(scores, ids[near]))], key=lambda x: (-x[0], x[1]))[:k]
-            if len(best) == k:
-                reach = np.sqrt(max(sphere - 2 * best[-1][0], 0.0))
+        _, _, (_, _, _, children, rows, apart), who, d, bound = heapq.heappop(queue)
+        open_ = bound <= reach[who] + slack[who]
+        if not open_.any():
             continue
-        able = [c for c in children if abs(d - c[2]) - c[1] <= reach + slack]
-        if not able:
+        who, d = who[open_], d[open_]
+        if children is None:
+            near = np.abs(d[:, None] - apart) <= (reach[who] + slack[who])[:, None]
+            near &= ids[rows] != query_ids[who][:, None]
+            some = near.any(0)
+            near, rows = near[:, some], rows[some]
+            scores = np.where(near, right[who] @ left[rows].T, -np.inf if exact else np.iinfo(np.int64).min)
+            for x in np.flatnonzero((near & (scores >= least[who][:, None])).any(1)):
+                q, worth = who[x], near[x] & (scores[x] >= least[who[x]])
+                found, names = scores[x, worth], ids[rows[worth]]
+                order = np.lexsort((names, -found))[:k]
+                best[q] = sorted([*best[q], *zip(found[order].astype(np.int64).tolist(), names[order].tolist())], key=lambda e: (-e[0], e[1]))[:k]
+                if len(best[q]) == k:
+                    least[q] = best[q][-1][0]
+                    reach[q] = np.sqrt(max(sphere[q] - 2 * least[q], 0.0))
             continue
-        for c, e in zip(able, distance([c[0] for c in able]).tolist()):
-            if e - c[1] <= reach + slack:
+        for c in children:
+            able = np.abs(d - c[2]) - c[1] <= reach[who] + slack[who]  # by the parent's distance alone
+            if able.any():
+                e = distance(c[0], who[able])
+                low = np.maximum(e - c[1], 0)
                 count += 1
-                heapq.heappush(queue, (max(e - c[1], 0.0), count, e, c))
-    return best
+                heapq.heappush(queue, (low.min(), count, c, who[able], e, low))
+    return [(int(i), s, o) for i, found in zip(query_ids, best) for s, o in found]
 
 
 def top_k(df: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -138,14 +147,15 @@ def top_k(df: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str =
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, v, tree, q_ids, q_v in zip(*(c.to_pylist() for c in batch.columns)):
+            for cells in zip(*batch.columns):
+                ids, v, tree, q_ids, q_v = (c.as_buffer() for c in cells)
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 v, q_v = np.frombuffer(v, np.int64).reshape(len(ids), -1), np.frombuffer(q_v, np.int64).reshape(len(q_ids), -1)
                 norms = (v.astype(float) ** 2).sum(1)
                 own = MTree.__new__(MTree)
                 own.root, longest = pickle.loads(tree)
                 own.points = np.concatenate([v.astype(float), np.sqrt(norms.max() - norms)[:, None]], 1)
-                found = [(int(i), s, o) for i, q in zip(q_ids, q_v) for s, o in search(own, ids, v, longest, q, int(i), k)]
+                found = search(own, ids, v, longest, q_v, q_ids, k)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 3, ["query_id", "score", "vec_id"])
 
     found = work.select("ids", "v", "tree", "q_ids", "q_v").mapInArrow(searched, "query_id long, score long, vec_id long")
