@@ -1,10 +1,12 @@
 """Near-duplicate vectors with an inverted multi-index (operator 9).
 
 Two codebooks, one for each half of a normalised vector, form a grid of cells; every vector lies in
-the cell of its nearest codewords. A vector visits cells by the multi-sequence order of its
-distances to both halves, until no cell left can hold a vector at the wanted cosine. The bound of a
-cell is the distance to its codewords' Voronoi regions, so the traversal ends at a recall of one:
-the index decides what is compared, never what is found. Pairs that meet are verified in doubles.
+the cell of its nearest codewords. A vector visits cells by the multi-sequence order of its bounds
+(the distances of both halves to the codewords' Voronoi regions) until the target recall is
+reached, and verifies what it meets in doubles. How far that is, is measured first: the true links
+of ``PROBES`` vectors against all others, found by brute force in blocks, show at which bound the
+target share of them has been met; the traversal goes twice as far, and at least a tenth of the way
+at which no link at all could be missed. A link found from either side counts for both.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors; all are indexed. Equal vectors are one node
 with a count. Work is packed: a grid row's members in matrices of bounded size against the vectors
@@ -21,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from seriesforge.llm.common import components, written
 from seriesforge.llm.vectors import packs, usable, width_of
 
 SAMPLE = 16_384
-PACK = 1024
+PROBES = 1000
+TARGET_RECALL = 0.999
+PACK = 512
 PER_CELL = 32
 
 
@@ -90,7 +94,8 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     copies = written(copies, "vectors")
     n, width = copies.count(), width_of(copies, "v")
     if n:
-        found = links(copies.select("node", "copies", "v"), n, width, cosine)
+        kind = np.float32 if df.schema[vector].dataType == T.ArrayType(T.FloatType()) else np.float64
+        found = links(copies.select("node", "copies", "v"), n, width, cosine, kind)
     else:
         found = spark.createDataFrame([], "a long, b long, n long")
     counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
@@ -104,30 +109,64 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     return out.select(F.col("id").alias(id), n_links.alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def links(nodes: DataFrame, n: int, width: int, cosine: float) -> DataFrame:
-    """For nodes (node, copies, v): rows (a, null, links of a) and forest edges (a, b, null)."""
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows as doubles of length one, whatever their size."""
+    v = v.astype(float)
+    v /= np.abs(v).max(1)[:, None]
+    return v / np.sqrt((v**2).sum(1))[:, None]
+
+
+def traversal_reach(nodes: DataFrame, width: int, cosine: float, books, half: int) -> float:
+    """The bound at which the traversal ends (see above)."""
+    spark, whole = nodes.sparkSession, 2 - 2 * cosine + 1e-9
+    probes = nodes.orderBy(F.xxhash64(F.lit(3), "node"), "node").limit(PROBES).select("node", "copies", "v")
+    ids, _, v = next(packs(probes.toArrow().combine_chunks().to_batches(), width, PROBES))
+    held = spark.sparkContext.broadcast((ids, unit(v)))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many true links lie within each thousandth of the whole way."""
+        (one, two), (own, probe), found = books.value, held.value, np.zeros(1001, np.int64)
+        first, second = bounds(probe[:, :half], one), bounds(probe[:, half:], two)
+        for ids, _, v in packs(batches, width, PACK):
+            u = unit(v)
+            p, q = np.nonzero((probe @ u.T >= cosine) & (own[:, None] != ids))
+            at = first[p, nearest(u[:, :half], one)[q]] + second[p, nearest(u[:, half:], two)[q]]
+            found += np.bincount(np.minimum(at / whole * 1000, 1000).astype(int), minlength=1001)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["step", "n"])
+
+    steps = nodes.mapInArrow(met, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()
+    total, so_far = sum(r.n for r in steps), 0
+    for r in steps:
+        so_far += r.n
+        if so_far >= TARGET_RECALL * total:
+            return max(2 * (r.step + 1) / 1000, 0.1) * whole
+    return 0.1 * whole
+
+
+def links(nodes: DataFrame, n: int, width: int, cosine: float, kind: type) -> DataFrame:
+    """For nodes (node, copies, v): rows (a, null, links of a) and forest edges (a, b, null).
+    Vectors move as ``kind``, the type they came in."""
     spark = nodes.sparkSession
-    half, reach = (width + 1) // 2, 2 - 2 * cosine + 1e-9
+    half = (width + 1) // 2
     k = 1 << max(2, min(10, int(np.log2(max(n / PER_CELL, 1)) / 2 + 0.5)))
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("node", "copies", "v")
     sample = next(packs(sample.toArrow().combine_chunks().to_batches(), width, SAMPLE))[2]
-    sample /= np.sqrt((sample**2).sum(1))[:, None]
+    sample = unit(sample)
     books = spark.sparkContext.broadcast((codebook(sample[:, :half], k), codebook(sample[:, half:], k) if width > 1 else np.zeros((1, 0))))
 
-    def unit(v: np.ndarray) -> np.ndarray:
-        v = v / np.abs(v).max(1)[:, None]
-        return v / np.sqrt((v**2).sum(1))[:, None]
+    reach = traversal_reach(nodes, width, cosine, books, half)
 
     def row(i: int, ids, extra, v) -> pa.RecordBatch:
-        packed = [pa.array([x], pa.binary()) for x in (ids.astype(np.int64).tobytes(), extra.astype(np.int64).tobytes(), v.tobytes())]
+        packed = [pa.array([x], pa.binary()) for x in (ids.astype(np.int64).tobytes(), extra.astype(np.int64).tobytes(), v.astype(kind).tobytes())]
         return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *packed], ["i", "ids", "extra", "v"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Vectors by grid row; extra: column of the cell, and copies."""
         one, two = books.value
         for ids, copies, v in packs(batches, width, 8 * PACK):
-            v = unit(v)
-            i, j = nearest(v[:, :half], one), nearest(v[:, half:], two)
+            u = unit(v)
+            i, j = nearest(u[:, :half], one), nearest(u[:, half:], two)
             for r in np.unique(i):
                 at = np.flatnonzero(i == r)
                 for a in range(0, len(at), PACK):
@@ -135,30 +174,35 @@ def links(nodes: DataFrame, n: int, width: int, cosine: float) -> DataFrame:
                     yield row(r, ids[k], np.stack([j[k], copies[k]]), v[k])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The vectors that visit a grid row; extra: for each, one bit a column."""
+        """The vectors that visit a grid row; extra: for each its own cell, copies, and one bit a
+        column."""
         one, two = books.value
-        for ids, _, v in packs(batches, width, PACK):
-            v = unit(v)
-            at, i, j = traversal(bounds(v[:, :half], one), bounds(v[:, half:], two), reach)
+        for ids, copies, v in packs(batches, width, PACK):
+            u = unit(v)
+            first, second = bounds(u[:, :half], one), bounds(u[:, half:], two)
+            own = nearest(u[:, :half], one), nearest(u[:, half:], two)
+            at, i, j = traversal(first, second, reach)
             for r in np.unique(i):
                 here = i == r
                 who, back = np.unique(at[here], return_inverse=True)
                 seen = np.zeros((len(who), len(two)), bool)
                 seen[back, j[here]] = True
-                yield row(r, ids[who], np.packbits(seen, 1).astype(np.int64), v[who])
+                yield row(r, ids[who], np.concatenate([own[0][who], own[1][who], copies[who], np.packbits(seen, 1).ravel()]), v[who])
 
     schema = "i int, ids binary, extra binary, v binary"
     held = written(nodes.mapInArrow(members, schema), "members")
     came = written(nodes.mapInArrow(visits, schema), "visits")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = len(books.value[1])
+        one, two = books.value
         for batch in batches:
-            for ids, extra, v, to_ids, seen, to_v in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, to_ids = np.frombuffer(ids, np.int64), np.frombuffer(to_ids, np.int64)
-                (j, copies), v = np.frombuffer(extra, np.int64).reshape(2, -1), np.frombuffer(v).reshape(len(ids), -1)
-                to_v = np.frombuffer(to_v).reshape(len(to_ids), -1)
-                seen = np.unpackbits(np.frombuffer(seen, np.int64).astype(np.uint8).reshape(len(to_ids), -1), axis=1)[:, :columns]
+            for cells in zip(*batch.columns):
+                ids, extra, v, to_ids, seen, to_v = (np.frombuffer(c.as_buffer(), t) for c, t in zip(cells, (np.int64, np.int64, kind, np.int64, np.int64, kind)))
+                (j, copies), v, to_v = extra.reshape(2, -1), unit(v.reshape(len(ids), -1)), unit(to_v.reshape(len(to_ids), -1))
+                n = len(to_ids)
+                (to_i, to_j, to_copies), seen = seen[: 3 * n].reshape(3, n), np.unpackbits(seen[3 * n :].astype(np.uint8).reshape(n, -1), axis=1)[:, : len(two)]
+                first, second = bounds(v[:, :half], one), bounds(v[:, half:], two)
+                back = np.zeros(len(ids), np.int64)
                 total = np.zeros(len(to_ids), np.int64)
                 top: dict[int, int] = {}
 
@@ -174,14 +218,18 @@ def links(nodes: DataFrame, n: int, width: int, cosine: float) -> DataFrame:
                         continue
                     p, q = np.nonzero((to_v[who] @ v[cell].T >= cosine) & (to_ids[who][:, None] != ids[cell]))
                     np.add.at(total, who[p], copies[cell[q]])
+                    # Unless the member visits this vector's cell too, the link is met only here.
+                    once = first[cell[q], to_i[who[p]]] + second[cell[q], to_j[who[p]]] > reach
+                    np.add.at(back, cell[q[once]], to_copies[who[p[once]]])
                     for a, b in zip(to_ids[who[p]].tolist(), ids[cell[q]].tolist()):
                         if (x := find(a)) != (y := find(b)):
                             top[x] = y
                             edges.append((a, b))
-                some = np.flatnonzero(total)
-                a = pa.array(np.concatenate([to_ids[some], np.array([e[0] for e in edges], np.int64)]))
-                b = pa.array([None] * len(some) + [e[1] for e in edges], pa.int64())
-                yield pa.RecordBatch.from_arrays([a, b, pa.array(total[some].tolist() + [None] * len(edges), pa.int64())], ["a", "b", "n"])
+                some, more = np.flatnonzero(total), np.flatnonzero(back)
+                counts = np.concatenate([total[some], back[more]]).tolist()
+                a = pa.array(np.concatenate([to_ids[some], ids[more], np.array([e[0] for e in edges], np.int64)]))
+                b = pa.array([None] * len(counts) + [e[1] for e in edges], pa.int64())
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(counts + [None] * len(edges), pa.int64())], ["a", "b", "n"])
 
     came = came.select("i", F.col("ids").alias("to_ids"), F.col("extra").alias("to_extra"), F.col("v").alias("to_v"))
     work = held.join(came, "i").select("ids", "extra", "v", "to_ids", "to_extra", "to_v")
