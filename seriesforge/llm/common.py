@@ -18,6 +18,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most 2,000 rows and 8 MB: texts are large, and both
+    sides of a Python task hold a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: it is computed once, its lineage ends there, and a
     lost executor costs no more than reading it again."""

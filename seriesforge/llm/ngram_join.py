@@ -4,8 +4,9 @@ Light sets are those up to a boundary of at most eight shingles: two of them, or
 heavy one, link only if the smaller is contained in the larger, so every set that can meet a light
 one lists its subsets of at least 0.8 of its size, and equal subsets bring sets together. Heavy
 sets are found by inverted lists over prefixes: sets that link share one of their first
-``n - ceil(0.8 n) + 1`` shingles in any common order, here the rare before the frequent. The
-boundary is the one that costs least by counts over all texts.
+``n - ceil(0.8 n) + 1`` shingles in any common order, here the rare before the frequent; with a
+prefix longer by a twentieth of the set they share so many more, and a document whose lists meet
+others less often is out. The boundary is the one that costs least by counts over all texts.
 
 A list is only used to say which documents may link: its members, in the order of size, join a
 cluster where their sizes allow it. Clusters are cut into blocks of some hundred sets by size and
@@ -26,15 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seriesforge.llm.common import components, written
+from seriesforge.llm.common import components, small_batches, written
 from seriesforge.llm.words import mixed, windows, word_hashes
 
 SHINGLE = 5
 LIGHT = 8
 FREQUENT = 1 << 17
 LIST_ROWS = 50_000
-BLOCK_SETS = 256
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SETS = 2048
+BLOCK_SHINGLES = 1_000_000
+BLOCK_TOKENS = 500_000
+MAX_BITS = 1 << 30
 
 
 class Block:
@@ -101,8 +104,15 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 
 def prefix(size):
-    """How many shingles of a set, in the common order, can't all be missed by a set it links with."""
-    return size - (4 * size + 4) // 5 + 1
+    """How many first shingles of a set, in the common order, surely hold ``common(size)`` of those
+    of any set it links with."""
+    return size - (4 * size + 4) // 5 + np.maximum(size // 20, 1)
+
+
+def common(size):
+    """How many shingles the prefixes of a set and of any set it links with share at least: each
+    prefix is made for ``size // 20``, and a partner may be a fifth smaller."""
+    return F.greatest(F.floor(size / 25), F.lit(1))
 
 
 def survey(docs: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], int]:
@@ -182,25 +192,48 @@ def postings(docs: DataFrame, frequent, light: int) -> DataFrame:
     return docs.mapInArrow(made, "key long, part int, id long, n int")
 
 
+def sorted_lists(batches: Iterator[pa.RecordBatch]):
+    """A task's postings in the order of (key, part, n, id), and where a row's list goes on with a
+    set of another id that it may link with by size. Sizes don't matter in lists that tasks share."""
+    columns = [[x.to_numpy() for x in b.columns] for b in batches if b.num_rows]
+    if not columns:
+        return None
+    key, part, id_, n = (np.concatenate(c) for c in zip(*columns))
+    order = np.lexsort((id_, n, part, key))
+    key, part, id_, n = key[order], part[order], id_[order], n[order]
+    same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+    near = same & ((5 * n[:-1].astype(np.int64) >= 4 * n[1:]) | (part[1:] > 0)) & (id_[1:] != id_[:-1])
+    return key, part, id_, n, same, near
+
+
 def may_link(lists: DataFrame) -> DataFrame:
-    """Edges (a, b) so that documents which share a list, and may link by size, are connected."""
+    """Edges (a, b) so that documents which may link are connected: they share lists, their sizes
+    allow it, and each shares as many of its prefix's lists with others as a link takes."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Postings that meet another one."""
+        found = sorted_lists(batches)
+        if found:
+            key, part, id_, n, _, near = found
+            meets = np.concatenate([near, [False]]) | np.concatenate([[False], near]) | (part > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(c[meets]) for c in (key, part, id_, n)], ["key", "part", "id", "n"])
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [c for c in zip(*[[x.to_numpy() for x in b.columns] for b in batches if b.num_rows])]
-        if not columns:
-            return
-        key, part, id_, n = (np.concatenate(c) for c in columns)
-        order = np.lexsort((id_, n, part, key))
-        key, part, id_, n = key[order], part[order], id_[order], n[order]
-        same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
-        near = same & ((5 * n[:-1].astype(np.int64) >= 4 * n[1:]) | (part[1:] > 0)) & (id_[1:] != id_[:-1])
-        edges = np.unique(np.stack([np.minimum(id_[1:], id_[:-1])[near], np.maximum(id_[1:], id_[:-1])[near]], 1), axis=0)
-        head = np.flatnonzero(np.concatenate([[True], ~same]) & (part > 0))
-        none = pa.nulls(len(edges), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), none], ["a", "b", "key"])
-        yield pa.RecordBatch.from_arrays([pa.array(id_[head]), pa.nulls(len(head), pa.int64()), pa.array(key[head])], ["a", "b", "key"])
-
-    found = written(lists.repartition("key", "part").mapInArrow(chained, "a long, b long, key long"), "candidates")
+        """Neighbours of each list, and the first of each part of a shared one."""
+        found = sorted_lists(batches)
+        if found:
+            key, part, id_, n, same, near = found
+            edges = np.unique(np.stack([np.minimum(id_[1:], id_[:-1])[near], np.maximum(id_[1:], id_[:-1])[near]], 1), axis=0)
+            head = np.flatnonzero(np.concatenate([[True], ~same]) & (part > 0))
+            none = pa.nulls(len(edges), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), none], ["a", "b", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(id_[head]), pa.nulls(len(head), pa.int64()), pa.array(key[head])], ["a", "b", "key"])
+
+    schema = "key long, part int, id long, n int"
+    shared = written(lists.repartition("key", "part").mapInArrow(met, schema), "postings")
+    able = shared.groupBy("id").agg(F.count("*").alias("lists"), F.min("n").alias("least")).where(F.col("lists") >= common(F.col("least"))).select("id")
+    shared = shared.join(written(able, "able"), "id").select("key", "part", "id", "n")
+    found = written(shared.repartition("key", "part").mapInArrow(chained, "a long, b long, key long"), "candidates")
     heads = found.where("key is not null").select("key", "a")
     least = heads.groupBy("key").agg(F.min("a").alias("b"))
     return found.where("key is null").select("a", "b").union(heads.join(least, "key").select("a", "b")).where("a <> b")
@@ -234,24 +267,33 @@ def links_of(left_ids, left_sets, right_ids, right_sets) -> list[tuple[int, int]
     return forest
 
 
-def verified(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what ``sets`` (cluster, id, n, shingles) connect."""
+def placed(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, cluster, step, part, parts): a cluster that fits is one block (step -1); a larger one is
+    cut by size, each step a factor of 1.25, and every step by a hash into blocks that fit."""
+    members = written(clusters.join(sizes.select("id", "n").distinct(), "id").where("n > 0"), "members")
+    blocks = lambda: F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    whole = members.groupBy("cluster").agg(blocks().alias("whole"))
     step = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
-    sets = written(sets.withColumn("step", step), "sets")
-    counts = sets.groupBy("cluster", "step").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    counts = counts.select("cluster", "step", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("w") / (BLOCK_SHINGLES // 4))).cast("int").alias("parts"))
-    counts = written(counts, "counts")
+    members = members.join(whole, "cluster").withColumn("step", F.when(F.col("whole") == 1, -1).otherwise(step))
+    counts = written(members.groupBy("cluster", "step").agg(blocks().alias("parts")), "counts")
+    above = counts.select("cluster", (F.col("step") - 1).alias("step"), F.col("parts").alias("parts_above")).where("step >= 0")
+    counts = counts.join(above, ["cluster", "step"], "left").fillna(0, ["parts_above"])
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    packed = sets.join(counts, ["cluster", "step"]).withColumn("part", part).groupBy("cluster", "step", "part", "parts")
-    packed = written(packed.agg(F.collect_list(F.struct("id", "shingles")).alias("block")), "blocks")
-    above = counts.select("cluster", (F.col("step") - 1).alias("step"), F.col("parts").alias("parts_above"))
-    left = packed.join(above, ["cluster", "step"], "left")
-    own = F.transform(F.sequence("part", F.col("parts") - 1), lambda p: F.struct(F.col("step").alias("with_step"), p.alias("with_part")))
-    upper = F.when(F.col("parts_above") > 0, F.transform(F.sequence(F.lit(0), F.col("parts_above") - 1), lambda p: F.struct((F.col("step") + 1).alias("with_step"), p.alias("with_part"))))
-    pairs = left.select("cluster", "step", "part", F.explode(F.concat(own, F.coalesce(upper, F.array().cast("array<struct<with_step:int,with_part:int>>")))).alias("with"))
-    pairs = pairs.select("cluster", "step", "part", "with.*")
-    right = packed.select("cluster", F.col("step").alias("with_step"), F.col("part").alias("with_part"), F.col("block").alias("with_block"))
-    work = pairs.join(packed.select("cluster", "step", "part", "block"), ["cluster", "step", "part"]).join(right, ["cluster", "with_step", "with_part"])
+    return members.join(counts, ["cluster", "step"]).select("id", "cluster", "step", part.alias("part"), "parts", "parts_above")
+
+
+def verified(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what ``sets`` (where they are placed, id, shingles) connect. Two
+    sets that link are at most one step of size apart."""
+    key = ["cluster", "step", "part", "parts", "parts_above"]
+    packed = written(sets.groupBy(*key).agg(F.collect_list(F.struct("id", "shingles")).alias("block")), "blocks")
+    partner = "array<struct<with_step:int,with_part:int>>"
+    own = F.when(F.col("part") + 1 < F.col("parts"), F.transform(F.sequence(F.col("part") + 1, F.col("parts") - 1), lambda p: F.struct(F.col("step"), p)))
+    upper = F.when(F.col("parts_above") > 0, F.transform(F.sequence(F.lit(0), F.col("parts_above") - 1), lambda p: F.struct(F.col("step") + 1, p)))
+    partners = F.concat(*[F.coalesce(x.cast(partner), F.array().cast(partner)) for x in (own, upper)])
+    pairs = packed.select("cluster", "block", F.explode(partners).alias("with")).select("cluster", "block", "with.*")
+    right = packed.where("parts > 1 OR step >= 0").select("cluster", F.col("step").alias("with_step"), F.col("part").alias("with_part"), F.col("block").alias("with_block"))
+    work = pairs.join(right, ["cluster", "with_step", "with_part"])
 
     def unpacked(block) -> tuple[np.ndarray, list[np.ndarray]]:
         ids = block.values.field("id").to_numpy()
@@ -260,32 +302,60 @@ def verified(sets: DataFrame) -> DataFrame:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
+            for x, y in zip(batch.column(0), batch.column(batch.num_columns - 1)):
                 links = links_of(*unpacked(x), *unpacked(y))
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
-    return work.select("block", "with_block").mapInArrow(joined, "a long, b long")
+    within = packed.select("block").mapInArrow(joined, "a long, b long")
+    return within.union(work.select("block", "with_block").mapInArrow(joined, "a long, b long"))
+
+
+def cell_of(width: int):
+    """The bit of an id."""
+    return F.pmod(F.xxhash64("id"), F.lit(width))
+
+
+def bitmap(ids: DataFrame) -> tuple[int, bytes]:
+    """(bits, their bytes): a bit is set where an id of ``ids`` falls. 32 bits an id, but never more
+    than ``MAX_BITS``: beyond that more rows pass it, and the join after it stays exact."""
+    width = 1 << 15
+    while width < min(32 * ids.count(), MAX_BITS):
+        width *= 2
+    cell = cell_of(width) + 1
+    parts = ids.select(F.bitmap_bucket_number(cell).alias("bucket"), F.bitmap_bit_position(cell).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = bytearray(width // 8)
+    for row in parts.toLocalIterator():
+        out[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits
+    return width, bytes(out)
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row: documents link where the Jaccard similarity of
     their shingle sets is 0.8 or more."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     known = docs.where("id is not null")
     sets, often, light = survey(known)
     frequent = spark.sparkContext.broadcast(often)
     clusters = components(may_link(postings(known, frequent, light))).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    clusters = written(clusters, "clusters")
+    places = written(placed(clusters, sets), "places")
+
+    width, bits = bitmap(places.select("id"))
+    wanted = spark.sparkContext.broadcast(bits)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of the documents whose bit is set: those that are placed, and few others."""
+        seen = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
+            cell = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((seen[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)))
             for i, bounds, h, _, _ in word_hashes(batch.column(2), lower=True):
-                own = [set_of(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-                part = batch.slice(i, len(own))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in own], pa.int32()), pa.array([s.tobytes() for s in own], pa.binary())], ["cluster", "id", "n", "shingles"])
+                own = [set_of(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(own)), pa.array(own, pa.binary())], ["id", "shingles"])
 
-    grouped = known.join(clusters, "id").select("cluster", "id", "text").mapInArrow(shingled, "cluster long, id long, n int, shingles binary").where("n > 0")
+    chosen = known.select("id", cell_of(width).alias("cell"), "text").mapInArrow(shingled, "id long, shingles binary").where("length(shingles) > 0")
+    grouped = chosen.join(places, "id")
     links = verified(grouped)
     # Equal sets are one node, the smallest of their ids.
     least = sets.where("n > 0").groupBy("print1", "print2").agg(F.min("id").alias("node"))
