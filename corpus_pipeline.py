@@ -51,7 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text's ids in the 49k word vocabulary, and the text decoded from them."""
-    out = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), keep_text=False)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return out.select("doc_id", "lang", "source", n_tokens.alias("n_tokens"), "ids", "decoded")
 

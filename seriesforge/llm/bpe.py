@@ -15,16 +15,21 @@ from __future__ import annotations
 import json
 import struct
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from seriesforge.llm.common import small_batches
+
 #: The pre-token patterns that the two public vocabularies use.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Rows of a batch that leaves a task.
+BATCH = 256
 NO_MERGE = 1 << 62
 POSITION = (1 << 32) - 1
 
@@ -57,6 +62,11 @@ class Generations(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        """Gives back the memory of both generations."""
+        self.clear()
+        self.old = {}
+
     def turn(self) -> None:
         """Called between texts."""
         if len(self) > self.limit:
@@ -67,7 +77,7 @@ class Generations(dict):
 class Codec:
     """Encodes and decodes with a public BPE vocabulary file (JSON)."""
 
-    def __init__(self, path: str, cache_entries: int = 250_000):
+    def __init__(self, path: str, cache_entries: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -190,22 +200,26 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep_text: bool = True) -> DataFrame:
     """Adds ``ids`` (binary: little-endian unsigned 32-bit integers) and ``decoded`` (their text).
-    One narrow pass over the rows, with no shuffle."""
+    One narrow pass over the rows, with no shuffle; results leave a task in small batches."""
+    kept = [c for c in df.columns if c not in (ids, decoded) and (keep_text or c != text)]
+    small_batches(df.sparkSession)
+    at = [df.columns.index(c) for c in kept]
+    where = df.columns.index(text)
 
-    @F.arrow_udf(T.StructType([T.StructField("i", T.BinaryType()), T.StructField("d", T.StringType())]))
-    def both(texts: pa.Array) -> pa.Array:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        out_i, out_d = [], []
-        for t in texts:
-            i, d = c.encode(t.as_py() or "")
-            out_i.append(i)
-            out_d.append(d)
-        return pa.StructArray.from_arrays([pa.array(out_i, pa.binary()), pa.array(out_d, pa.string())], ["i", "d"])
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH):
+                part = batch.slice(a, BATCH)
+                out = [c.encode(t.as_py() or "") for t in part.column(where)]
+                made = pa.array([i for i, _ in out], pa.binary()), pa.array([d for _, d in out], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in at), *made], [*kept, ids, decoded])
+        c.known.forget()  # the worker may serve other operators next
 
-    made = df.select("*", both(F.col(text)).alias("__bpe__"))
-    return made.select(*[F.col(f"`{c}`") for c in df.columns if c not in (ids, decoded)], F.col("__bpe__.i").alias(ids), F.col("__bpe__.d").alias(decoded))
+    fields = [df.schema.fields[k] for k in at]
+    return df.mapInArrow(encoded, T.StructType([*fields, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())]))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -224,7 +238,7 @@ def op1_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    out = encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_text=False)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
