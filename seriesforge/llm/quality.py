@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from seriesforge.llm.common import written
+from seriesforge.llm.common import small_batches, written
 from seriesforge.llm.words import PIECE, word_hashes
 
 TRAIN_ROWS = 8_000
@@ -175,6 +175,7 @@ def odds(p: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", reject_at: float = 0.5) -> DataFrame:
     """``docs`` with ``risk_low``, ``risk_toxic`` (probabilities after the host and path evidence)
     and ``kept``: neither reaches ``reject_at``."""
+    small_batches(docs.sparkSession)
     scored = risks(docs, fitted(docs, labels, id, text), text)
     groups = posteriors(scored.select(host, path, *[f"__p_{r}" for r in RISKS]), host, path)
     groups = written(groups.withColumnsRenamed({"host": "__host", "path": "__path"}), "groups")

@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
+from seriesforge.llm.common import small_batches
 from seriesforge.llm.words import mixed, windows, word_hashes
 
 ANCHOR = 16
 ROWS = 2
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 29
-BLOCK_WINDOWS = 2_000_000
+BLOCK_WINDOWS = 1_000_000
 NO_ID = (1 << 63) - 1
 
 
@@ -87,7 +88,7 @@ def sketch(docs: DataFrame, text: str, size: int, width: int) -> bytes:
                         own = own[np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))]
                         found.extend(cells(own, width))
                         held += ROWS * len(own)
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield batch_of(sent())
                     held = 0
         if held:
@@ -196,6 +197,7 @@ def cut(texts: pa.Array, ranges: pa.Array, size: int) -> pa.Array:
 def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 50) -> DataFrame:
     """``docs`` with ``kept`` (the words that stay, joined by one space), ``n_words`` and
     ``n_removed``."""
+    small_batches(docs.sparkSession)
     own_id = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID))
     row = F.xxhash64(text).bitwiseAND(0xFFFF)
     keyed = docs.select(own_id.alias("id"), row.alias("row"), F.col(text))
