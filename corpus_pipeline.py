@@ -9,11 +9,14 @@ rows without an id are never joined by it.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from seriesforge.llm import bpe, mixing, ngram_join, quality, substring_dedup
 from seriesforge.llm.common import written
 
+#: A whole document, in the integers that its shares are added up in (a power of two: exact as doubles).
+ONE = 1 << 24
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject, fitted on the labels of ``sf_dir``."""
@@ -39,12 +42,31 @@ def cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
 
 
+def copies(taken: DataFrame, seed: int = 23) -> DataFrame:
+    """(__row, __times) for the (__row, source, size, source_size, taken) of a mix. The documents of a source
+    stand in lines, each a share of its rows by hash; along a line the taken documents
+    (``taken / size``) are added up from a seeded start, and a document comes as often as the sum
+    passes a whole number there. So no share is rounded away, whatever its size; lines are in order
+    of size, which keeps the words that come close to those taken."""
+    share = F.floor(F.col("taken") * ONE / F.col("size") + 0.5).cast("long")
+    rows = taken.where("size > 0").select("__row", "source", "source_size", "size", share.alias("__share"))
+    rows = rows.groupBy("__row", "source", "source_size", "size").agg(F.sum("__share").alias("__share"))
+    lines = F.least(F.greatest(F.ceil(F.col("source_size") / mixing.SHARD_WORDS), F.lit(1)), F.lit(mixing.MAX_SHARDS))
+    rows = rows.withColumn("__line", F.pmod(F.xxhash64(F.lit(seed), "__row"), lines))
+    start = F.pmod(F.xxhash64(F.lit(seed), "source", "__line"), F.lit(ONE))
+    line = W.partitionBy("source", "__line").orderBy("size", "__row").rowsBetween(W.unboundedPreceding, 0)
+    end = F.sum("__share").over(line) + start
+    rows = rows.withColumn("__end", end)
+    times = F.floor(F.col("__end") / ONE) - F.floor((F.col("__end") - F.col("__share")) / ONE)
+    return rows.select("__row", times.cast("int").alias("__times")).where("__times > 0")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 3, 1, 2 with 150% of all words: a document comes as often as the words
-    taken from it make whole documents, to the nearest; documents without words don't come."""
+    taken from it make whole documents, fractions being passed on to the next of its source;
+    documents without words don't come."""
     rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    taken = mixing.mix(rows, (3, 1, 2), 1.5).where("size > 0")
-    times = taken.groupBy("__row").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")).where("__times > 0")
+    times = copies(mixing.mix(rows, (3, 1, 2), 1.5))
     once = rows.dropDuplicates(["__row"]).join(times, "__row")
     return once.withColumn("__k", F.explode(F.sequence(F.lit(1), "__times"))).select(docs.columns)
 

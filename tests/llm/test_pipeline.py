@@ -1,3 +1,5 @@
+import collections
+import random
 import struct
 
 import public_tokenizers
@@ -5,6 +7,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from seriesforge.llm import mixing
 from seriesforge.llm.common import written
 from tests.llm import brute
 
@@ -50,6 +53,23 @@ def test_pipeline_keeps_odd_rows_and_empty_tables(spark, tmp_path):
         assert docs.count() <= 6
 
 
+def test_mixed_words_come_to_their_sources_targets(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(1, 500), "en", rng.choices(["a", "hot", "c", None], [2, 4, 2, 3])[0], 0) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    target = {r.source: r.target for r in mixing.mix(docs, (3, 1, 2), 1.5).collect()}
+    n_words = {i: text.count("w") for i, text, *_ in rows}
+    got, times = collections.Counter(), collections.Counter()
+    for r in corpus_pipeline.mixed(spark, docs, SF).collect():
+        got[r.source] += n_words[r.doc_id]
+        times[r.doc_id] += 1
+    assert max(times.values()) <= 2
+    for s, t in target.items():
+        assert abs(got[s] - t) <= 0.02 * t
+    again = collections.Counter(r.doc_id for r in corpus_pipeline.mixed(spark, docs.repartition(7), SF).collect())
+    assert again == times
+
+
 def test_all_queries_are_registered():
     names = __spark_entry__.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")}
