@@ -40,6 +40,8 @@ HIDDEN_ROLE = regex.compile(
     regex.I,
 )
 TOKEN = regex.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", regex.S)
+#: Elements whose content is raw text: no tag or comment opens in it, only their own end tag counts.
+RAW_END = {tag: regex.compile(rf"</{tag}(?![^\s/>])[^>]*>?", regex.I) for tag in ("script", "style", "textarea", "iframe")}
 ATTRIBUTE = regex.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)"
 
@@ -57,32 +59,40 @@ class Node:
         self.tag, self.key, self.main, self.gone, self.parts, self.block = tag, key, main, gone, [], tag in BLOCKS
 
 
+def tokens(page: str) -> Iterator[regex.Match]:
+    """The tags, comments and texts of a page; after the tag of a raw element those that follow its end."""
+    at = 0
+    while at < len(page):
+        for m in TOKEN.finditer(page, at):
+            yield m
+            end = RAW_END.get(m[2].lower()) if m[2] and not m[1] else None
+            if end:
+                close = end.search(page, m.end())
+                at = close.end() if close else len(page)
+                break
+        else:
+            return
+
+
 def parsed(page: str | None) -> Node:
     """The element tree of a page."""
     root = Node("", 0, False, False)
     stack = [root]
-    raw = ""
-    for m in TOKEN.finditer(page or ""):
+    for m in tokens(page or ""):
         close, tag, attributes, text = m.groups()
         if text is not None:
-            if not raw:
-                stack[-1].parts.append(text)
+            stack[-1].parts.append(text)
             continue
         if tag is None:
             continue
         tag = tag.lower()
-        if raw:
-            if close and tag == raw:
-                raw = ""
-            continue
         if close:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
                     break
             continue
-        if tag in ("script", "style"):
-            raw = tag
+        if tag in RAW_END:
             continue
         if tag in VOID:
             stack[-1].parts.append(" " if tag in ("br", "hr") else "")

@@ -175,6 +175,13 @@ def test_html_main_text(spark):
     assert html_extract.extract(out.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("raw", ["<script>for(var i=0;i<n;i++){f(i);}</script>", "<SCRIPT>if(a<b && c){f('</p>')}</Script >", "<script>var s='<!--';</script>", "<style>p{content:'<!--<b'}</style>", "<textarea>a<b</textarea>"])
+def test_html_raw_elements_end_at_their_own_tag(raw):
+    page = f"<body>{raw}<article>Main {raw}<p>text</p></article>{raw}</body>"
+    assert html_extract.main_text(html_extract.parsed(page), set()) == "Main\ntext"
+    assert html_extract.main_text(html_extract.parsed("<p>a</p><script>b<c"), set()) == "a"
+
+
 def test_html_style_tree_removes_what_a_site_repeats(spark):
     page = lambda k: f"<body><div class='top'><p>Always the same words</p></div><div class='mid'><h1>Story {k}</h1><p>Text {k * 7}</p></div><div class='end'><p>Imprint</p></div></body>"
     rows = [(k, f"https://site.org/{k}", page(k)) for k in range(12)] + [(99, "https://other.org/", page(99))]
