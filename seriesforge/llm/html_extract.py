@@ -7,7 +7,8 @@ same on every page of a site says little, one whose text differs from page to pa
 branches are removed from each page. Elements that HTML itself names as something else than the
 article (menus, footers, forms, scripts, asides, or boxes whose class says advert, comment, notice
 and the like) go whatever the site's size; an article or main element's own text is never judged by
-its entropy, so an article that many pages copy stays.
+its entropy and is no part of its wrappers' content, and pages of one main text count as one page of
+the tree, so an article that many pages copy stays.
 
 Defined results: null or empty html has no text; broken markup is read as far as it goes, unclosed
 elements end with their parent; a page without any text gives the empty string; repeated rows each
@@ -51,12 +52,14 @@ DEPTH_SHARE = 0.9
 
 
 class Node:
-    """An element: path key, whether it lies in the article, parts (texts, or children)."""
+    """An element: path key, whether it lies in the article, parts (texts, or children), and
+    whether an article lies in it."""
 
-    __slots__ = ("tag", "key", "main", "gone", "parts", "block")
+    __slots__ = ("tag", "key", "main", "gone", "parts", "block", "holds")
 
     def __init__(self, tag: str, key: int, main: bool, gone: bool):
         self.tag, self.key, self.main, self.gone, self.parts, self.block = tag, key, main, gone, [], tag in BLOCKS
+        self.holds = False
 
 
 def tokens(page: str) -> Iterator[regex.Match]:
@@ -119,6 +122,9 @@ def parsed(page: str | None) -> Node:
             named = None
         gone = tag in NOT_MAIN or (tag == "header" and not up.main) or named is not None
         node = Node(tag, key, main, gone)
+        if tag in ("article", "main") and not gone:
+            for above in stack:
+                above.holds = True
         up.parts.append(node)
         if not attributes.endswith("/"):
             stack.append(node)
@@ -127,16 +133,16 @@ def parsed(page: str | None) -> Node:
 
 def style(node: Node, found: dict[int, tuple]) -> str:
     """Gathers a page's part of the style tree: for each block path outside the article that HTML
-    doesn't rule out, its arrangement and its text. Returns the node's text."""
+    doesn't rule out, its arrangement and its text. Returns the node's text outside the article."""
     texts, tags = [], []
     for p in node.parts:
         if isinstance(p, str):
             texts.append(p)
         else:
             tags.append(p.tag)
-            texts.append("" if p.gone else style(p, found))
+            texts.append("" if p.gone or p.main else style(p, found))
     text = " ".join(" ".join(texts).split())
-    if node.block and not node.main and node.tag not in ("html", "body"):
+    if node.block and not node.holds and node.tag not in ("html", "body"):
         before = found.get(node.key, ((), ""))
         found[node.key] = (before[0] + tuple(tags), before[1] + "\n" + text)
     return text
@@ -155,7 +161,7 @@ def main_text(root: Node, low: set[int]) -> str:
             run.clear()
 
     def walk(node: Node, inside: bool):
-        if node.gone or (node.key in low and not node.main):
+        if node.gone or (node.key in low and not node.main and not node.holds):
             return
         if node.block:
             end()
@@ -184,18 +190,23 @@ def low_branches(pages: DataFrame, url: str, html: str) -> DataFrame:
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys, looks, texts = [], [], [], []
+            hosts, pages_, keys, looks, texts = [], [], [], [], []
             for host, page in zip(batch.column(0), batch.column(1)):
                 found: dict[int, tuple] = {}
-                style(parsed(page.as_py()), found)
+                root = parsed(page.as_py())
+                style(root, found)
+                own = xxhash.xxh64_intdigest(main_text(root, set())) >> 1
                 for key, (look, text) in found.items():
                     hosts.append(host.as_py())
+                    pages_.append(own)
                     keys.append(key)
                     looks.append(xxhash.xxh64_intdigest(",".join(look)) >> 1)
                     texts.append(xxhash.xxh64_intdigest(text) >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (keys, looks, texts))], ["host", "key", "look", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (pages_, keys, looks, texts))], ["host", "page", "key", "look", "text"])
 
-    found = pages.select(F.regexp_extract(F.lower(url), HOST, 1).alias("host"), html).mapInArrow(gathered, "host string, key long, look long, text long")
+    found = pages.select(F.regexp_extract(F.lower(url), HOST, 1).alias("host"), html).mapInArrow(gathered, "host string, page long, key long, look long, text long")
+    # Pages of one text (copies) are one page of the tree.
+    found = found.groupBy("host", "key", "page").agg(F.min("look").alias("look"), F.min("text").alias("text"))
     # One aggregation for each kind of feature: only counts are shuffled, hot sites included.
     kinds = found.select("host", "key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("look").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("text").alias("value")))).alias("f"))
     counts = kinds.groupBy("host", "key", "f.kind", "f.value").agg(F.count("*").alias("n"))

@@ -190,6 +190,15 @@ def test_html_style_tree_removes_what_a_site_repeats(spark):
     assert out[99] == "Always the same words\nStory 99\nText 693\nImprint"
 
 
+def test_html_copies_of_an_article_stay(spark):
+    page = lambda t: f"<body><div class='top'><p>Top</p></div><div class='wrap'><article><h1>{t}</h1><p>Text of {t}</p></article></div></body>"
+    plain = lambda t: f"<body><div class='mid'><h1>{t}</h1><p>Text of {t}</p></div></body>"
+    for made in (page, plain):
+        rows = [(k, "https://copies.org/", made("other" if k == 9 else "copied")) for k in range(10)]
+        out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert out == {k: "other\nText of other" if k == 9 else "copied\nText of copied" for k in range(10)}
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source")
