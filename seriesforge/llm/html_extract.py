@@ -6,7 +6,7 @@ and holds over all pages how its children are arranged (presentation) and what t
 same on every page of a site says little, one whose text differs from page to page is content. Low
 branches are removed from each page. Elements that HTML itself names as something else than the
 article (menus, footers, forms, scripts, asides, or boxes whose class says advert, comment, notice
-and the like) go whatever the site's size; an article or main element's own text is never judged by
+and the like; inside an article only those whose name is just that) go whatever the site's size; an article or main element's own text is never judged by
 its entropy and is no part of its wrappers' content, and pages of one main text count as one page of
 the tree, so an article that many pages copy stays.
 
@@ -30,8 +30,8 @@ from seriesforge.llm.common import written
 
 #: Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg canvas math select textarea button".split())
-NOT_MAIN = frozenset("head nav footer aside form dialog menu figure".split()) | RAW
+RAW = frozenset("script style noscript template iframe svg canvas select textarea button".split())
+NOT_MAIN = frozenset("head nav footer aside form dialog menu".split()) | RAW
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -40,6 +40,16 @@ HIDDEN_ROLE = regex.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|breadcrumbs?|sidebar|side|widget|header|masthead|footer|comments?|disqus|respond|reply|notices?|cookies?|consent|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|social|related|recommend\w*|pagination|pager|toolbar|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     regex.I,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+BOXES = (BLOCKS - HEADINGS - {"html", "body", "article", "main", "header"}) | {"ins"}
+#: Inside the article a box goes if one of its names is just that of an advert, a comment, a notice, a form, a
+#: sidebar or a menu, alone or with words that only say what kind or which part of it.
+BOX_ROLE = regex.compile(
+    r"(?:(?:site|page|user|reader|post|cookies?|privacy|contact|mail|signup|newsletter|left|right|top|bottom|main|sub|google)[_-])*"
+    r"(?:ads?|adsbygoogle|advert\w*|comments?|notices?|forms?|sidebars?|menus?|nav|navbar|navigation)"
+    r"(?:[_-](?:box|block|area|section|container|wrap|wrapper|inner|slot|unit|list|items?|thread|form|widget|bar|left|right|top|bottom|\d+))*",
+    regex.I,
+)
 TOKEN = regex.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", regex.S)
 #: Elements whose content is raw text: no tag or comment opens in it, only their own end tag counts.
 RAW_END = {tag: regex.compile(rf"</{tag}(?![^\s/>])[^>]*>?", regex.I) for tag in ("script", "style", "textarea", "iframe")}
@@ -117,10 +127,13 @@ def parsed(page: str | None) -> Node:
         up = stack[-1]
         key = xxhash.xxh64_intdigest(f"{up.key}>{tag}.{own}") >> 1
         main = up.main or tag in ("article", "main")
-        named = HIDDEN_ROLE.search(role) if role and tag not in ("html", "body", "article", "main") else None
-        if named and up.main and "header" in named.group().lower():  # the article's own heading
-            named = None
-        gone = tag in NOT_MAIN or (tag == "header" and not up.main) or named is not None
+        if not role or tag in HEADINGS or tag in ("html", "body", "article", "main"):
+            named = False
+        elif up.main:
+            named = tag in BOXES and any(BOX_ROLE.fullmatch(name) for name in role.split())
+        else:
+            named = HIDDEN_ROLE.search(role) is not None
+        gone = tag in NOT_MAIN or (tag == "header" and not up.main) or named
         node = Node(tag, key, main, gone)
         if tag in ("article", "main") and not gone:
             for above in stack:

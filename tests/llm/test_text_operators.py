@@ -190,6 +190,15 @@ def test_html_style_tree_removes_what_a_site_repeats(spark):
     assert out[99] == "Always the same words\nStory 99\nText 693\nImprint"
 
 
+def test_html_article_text_is_not_dropped_by_name():
+    keep = """<h2 id='search'>Search</h2><section id='related-work'><p>Work</p></section><p class='side-note'>Note</p><div class='legal share'>Law</div><div id='notice-period'>Period</div>
+<figure><img src='x'><table><tr><td>Cell</td></tr></table><figcaption>Caption</figcaption></figure><p>So <math><mi>x</mi></math> and <object><p>Object</p></object></p><h3 id='comments'>Comments</h3>"""
+    drop = "<div class='comments'>no</div><div class='box cookie-notice'>no</div><ul id='menu'><li>no</li></ul><div id='sidebar'>no</div><div class='ad-slot-2'>no</div><ins class='adsbygoogle'>no</ins><div class='contact-form'>no</div><p class='advert'>no</p><figure><script>no</script><svg><text>no</text></svg></figure>"
+    for tag in ("article", "main"):
+        text = html_extract.main_text(html_extract.parsed(f"<body><{tag}>{keep}{drop}</{tag}></body>"), set())
+        assert text.split() == "Search Work Note Law Period Cell Caption So x and Object Comments".split()
+
+
 def test_html_copies_of_an_article_stay(spark):
     page = lambda t: f"<body><div class='top'><p>Top</p></div><div class='wrap'><article><h1>{t}</h1><p>Text of {t}</p></article></div></body>"
     plain = lambda t: f"<body><div class='mid'><h1>{t}</h1><p>Text of {t}</p></div></body>"
