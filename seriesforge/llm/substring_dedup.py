@@ -114,10 +114,10 @@ def sketch(docs: DataFrame, text: str, size: int, width: int) -> bytes:
 
 def removals(docs: DataFrame, text: str, size: int, width: int, bits) -> DataFrame:
     """Windows of ``docs`` (columns id, row, text) that go, as (id, row, lo, hi): ranges of window
-    starts, hi exclusive. ``row`` is a 16-bit hash that tells rows of one id apart."""
+    starts, hi exclusive. ``row`` is the text's 64-bit hash, which tells rows of one id apart."""
 
-    def found_rows(h1, h2, doc, at, n):
-        return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.astype(np.int32)), pa.array(doc), pa.array(at), pa.array(n.astype(np.int32))], ["h1", "h2", "id", "at", "n"])
+    def found_rows(h1, h2, doc, row, at, n):
+        return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.astype(np.int32)), pa.array(doc), pa.array(row), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h1", "h2", "id", "row", "at", "n"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = np.frombuffer(bits.value, np.uint8)
@@ -138,12 +138,12 @@ def removals(docs: DataFrame, text: str, size: int, width: int, bits) -> DataFra
             cut = np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)]) if len(r) else np.zeros(0, bool)
             first = np.flatnonzero(cut)
             n = np.diff(first, append=len(r))
-            d, p = d[first], p[first] << 16 | r[first]
-            yield found_rows(mixed(d.view(np.uint64) ^ mixed(p.view(np.uint64))), np.zeros(len(d)), d, p, n)
+            d, r, p = d[first], r[first], p[first]
+            yield found_rows(mixed(d.view(np.uint64) ^ mixed(r.view(np.uint64) ^ mixed(p.view(np.uint64)))), np.zeros(len(d)), d, r, p, n)
             open_ = np.flatnonzero(~gone)
             for a in range(0, len(open_), 200_000):
                 k = open_[a : a + 200_000]
-                yield found_rows(h1[k], h2[k], doc[k], at[k] << 16 | row[k], np.zeros(len(k)))
+                yield found_rows(h1[k], h2[k], doc[k], row[k], at[k], np.zeros(len(k)))
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -166,11 +166,10 @@ def removals(docs: DataFrame, text: str, size: int, width: int, bits) -> DataFra
         if held:
             yield from flush()
 
-    found = docs.select("id", "row", text).mapInArrow(judged, "h1 long, h2 int, id long, at long, n int")
+    found = docs.select("id", "row", text).mapInArrow(judged, "h1 long, h2 int, id long, row long, at int, n int")
     # n is 0 for a window that is still open; ranges already decided pass under keys of their own.
     gone = found.withColumn("least", F.min("id").over(W.partitionBy("h1", "h2"))).where("n > 0 OR id > least")
-    lo = F.shiftright("at", 16).cast("int")
-    return gone.select("id", F.col("at").bitwiseAND(0xFFFF).alias("row"), lo.alias("lo"), (lo + F.greatest("n", F.lit(1))).alias("hi"))
+    return gone.select("id", "row", F.col("at").alias("lo"), (F.col("at") + F.greatest("n", F.lit(1))).alias("hi"))
 
 
 def cut(texts: pa.Array, ranges: pa.Array, size: int) -> pa.Array:
@@ -199,7 +198,7 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     ``n_removed``."""
     small_batches(docs.sparkSession)
     own_id = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID))
-    row = F.xxhash64(text).bitwiseAND(0xFFFF)
+    row = F.xxhash64(text)
     keyed = docs.select(own_id.alias("id"), row.alias("row"), F.col(text))
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     width = MIN_CELLS

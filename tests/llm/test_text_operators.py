@@ -1,3 +1,4 @@
+import itertools
 import random
 import struct
 
@@ -160,6 +161,17 @@ def test_a_null_id_ranks_last(spark):
     assert sorted((r.doc_id or -1, r.n_removed) for r in out) == [(-1, 60), (9, 0), (9, 0)]
 
 
+def test_thousands_of_null_ids_are_told_apart(spark):
+    fresh = itertools.count()
+    words = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n))
+    passage = words(55)
+    docs = [(7, passage)] + [(None, f"{words(30)} {passage} {words(30)}" if k % 3 == 0 else words(80)) for k in range(4000)]
+    want = {docs[r][1]: v for r, v in brute.substring_dedup([(r, t) for r, (_, t) in enumerate(docs)]).items()}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.text: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup_substrings(frame).collect()}
+    assert len(got) == len(docs) and got == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a="</p><p>no";</script></head><body>
 <nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><header>Site</header>
 <article><div class="entry-header"><h1>Head &amp; line</h1></div><p>One <b>two<br>three &lt;four&gt;<p>Five&nbsp;six</p><!-- c --><aside>Side</aside><form><p>Mail</p></form>
