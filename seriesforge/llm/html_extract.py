@@ -6,9 +6,10 @@ and holds over all pages how its children are arranged (presentation) and what t
 same on every page of a site says little, one whose text differs from page to page is content. Low
 branches are removed from each page. Elements that HTML itself names as something else than the
 article (menus, footers, forms, scripts, asides, or boxes whose class says advert, comment, notice
-and the like; inside an article only those whose name is just that) go whatever the site's size; an article or main element's own text is never judged by
-its entropy and is no part of its wrappers' content, and pages of one main text count as one page of
-the tree, so an article that many pages copy stays.
+and the like; inside an article only those whose name is just that) go whatever the site's size; boxes inside an article or main element are judged
+by entropy too, but only where the articles around them differ (pages of one main text count as one
+page of the tree, and near copies don't count as differing), so an article that many pages copy
+stays; its paragraphs and headings are never judged, and are no part of its wrappers' content.
 
 Defined results: null or empty html has no text; broken markup is read as far as it goes, unclosed
 elements end with their parent; a page without any text gives the empty string; repeated rows each
@@ -40,6 +41,7 @@ HIDDEN_ROLE = regex.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|breadcrumbs?|sidebar|side|widget|header|masthead|footer|comments?|disqus|respond|reply|notices?|cookies?|consent|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|social|related|recommend\w*|pagination|pager|toolbar|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     regex.I,
 )
+JUDGED = frozenset("div section ul ol dl table details fieldset ins".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 BOXES = (BLOCKS - HEADINGS - {"html", "body", "article", "main", "header"}) | {"ins"}
 #: Inside the article a box goes if one of its names is just that of an advert, a comment, a notice, a form, a
@@ -59,6 +61,8 @@ HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)"
 MIN_PAGES = 4
 LOW = 0.3
 DEPTH_SHARE = 0.9
+#: A box inside the article is judged where this share of its pages have differing articles around it.
+APART = 0.5
 
 
 class Node:
@@ -156,11 +160,47 @@ def style(node: Node, found: dict[int, tuple]) -> str:
             texts.append("" if p.gone or p.main else style(p, found))
     text = " ".join(" ".join(texts).split())
     if node.block and not node.holds and node.tag not in ("html", "body"):
-        before = found.get(node.key, ((), ""))
-        found[node.key] = (before[0] + tuple(tags), before[1] + "\n" + text)
+        before = found.get(node.key, ((), "", None))
+        found[node.key] = (before[0] + tuple(tags), before[1] + "\n" + text, None)
     return text
 
 
+def inner(root: Node, found: dict[int, tuple]) -> None:
+    """Gathers the boxes inside the article in the same way, each with what tells its page from
+    others: the least hash of five words in the longest text that the article has outside the box,
+    which near copies of an article share. A box that holds the whole article is not judged."""
+    leaves: list[str] = []
+    boxes: dict[int, tuple] = {}
+
+    def walk(node: Node):
+        first = len(leaves)
+        for p in node.parts:
+            if isinstance(p, str):
+                if node.main and not p.isspace() and p:
+                    leaves.append(p)
+            elif not p.gone:
+                walk(p)
+        if node.main and node.tag in JUDGED and not node.holds and len(leaves) > first:
+            look = tuple(p.tag for p in node.parts if not isinstance(p, str))
+            text = " ".join(" ".join(leaves[first:]).split())
+            before = boxes.get(node.key, ((), "", first, 0))
+            boxes[node.key] = (before[0] + look, before[1] + "\n" + text, before[2], len(leaves))
+
+    walk(root)
+    if not boxes:
+        return
+    longest = sorted(range(len(leaves)), key=lambda k: -len(leaves[k]))
+    known: dict[int, int] = {}
+    for key, (look, text, a, b) in boxes.items():
+        rest = next((k for k in longest if not a <= k < b), None)
+        if rest is None:
+            continue
+        if rest not in known:
+            w = leaves[rest].split()
+            known[rest] = min(xxhash.xxh64_intdigest(" ".join(w[k : k + 5])) for k in range(max(len(w) - 4, 1))) >> 1
+        found[key] = (look, text, known[rest])
+
+
 def main_text(root: Node, low: set[int]) -> str:
     """The page's text without removed branches, a line for each block."""
     lines: list[str] = []
@@ -174,7 +214,7 @@ def main_text(root: Node, low: set[int]) -> str:
             run.clear()
 
     def walk(node: Node, inside: bool):
-        if node.gone or (node.key in low and not node.main and not node.holds):
+        if node.gone or (node.key in low and not node.holds):
             return
         if node.block:
             end()
@@ -203,30 +243,35 @@ def low_branches(pages: DataFrame, url: str, html: str) -> DataFrame:
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, pages_, keys, looks, texts = [], [], [], [], []
+            hosts, pages_, keys, looks, texts, others = [], [], [], [], [], []
             for host, page in zip(batch.column(0), batch.column(1)):
                 found: dict[int, tuple] = {}
                 root = parsed(page.as_py())
                 style(root, found)
+                inner(root, found)
                 own = xxhash.xxh64_intdigest(main_text(root, set())) >> 1
-                for key, (look, text) in found.items():
+                for key, (look, text, other) in found.items():
                     hosts.append(host.as_py())
                     pages_.append(own)
                     keys.append(key)
                     looks.append(xxhash.xxh64_intdigest(",".join(look)) >> 1)
                     texts.append(xxhash.xxh64_intdigest(text) >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (pages_, keys, looks, texts))], ["host", "page", "key", "look", "text"])
+                    others.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (pages_, keys, looks, texts, others))], ["host", "page", "key", "look", "text", "other"])
 
-    found = pages.select(F.regexp_extract(F.lower(url), HOST, 1).alias("host"), html).mapInArrow(gathered, "host string, page long, key long, look long, text long")
+    found = pages.select(F.regexp_extract(F.lower(url), HOST, 1).alias("host"), html).mapInArrow(gathered, "host string, page long, key long, look long, text long, other long")
     # Pages of one text (copies) are one page of the tree.
-    found = found.groupBy("host", "key", "page").agg(F.min("look").alias("look"), F.min("text").alias("text"))
+    found = found.groupBy("host", "key", "page").agg(F.min("look").alias("look"), F.min("text").alias("text"), F.min("other").alias("other"))
     # One aggregation for each kind of feature: only counts are shuffled, hot sites included.
-    kinds = found.select("host", "key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("look").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("text").alias("value")))).alias("f"))
+    feature = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("value"))
+    kinds = found.select("host", "key", F.explode(F.array(feature(0, "look"), feature(1, "text"), feature(2, "other"))).alias("f")).where("f.value IS NOT NULL")
     counts = kinds.groupBy("host", "key", "f.kind", "f.value").agg(F.count("*").alias("n"))
-    spread = counts.groupBy("host", "key", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    spread = counts.groupBy("host", "key", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.count("*").alias("d"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    value = spread.groupBy("host", "key").agg(F.max("m").alias("pages"), F.sum(F.when(F.col("kind") == 0, (1 - DEPTH_SHARE) * entropy).otherwise(DEPTH_SHARE * entropy)).alias("importance"))
-    low = value.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))
+    weight = F.when(F.col("kind") == 0, 1 - DEPTH_SHARE).when(F.col("kind") == 1, DEPTH_SHARE).otherwise(0.0)
+    alone = F.max(F.when(F.col("kind") == 2, F.col("d") / F.col("m")))
+    value = spread.groupBy("host", "key").agg(F.max("m").alias("pages"), F.sum(weight * entropy).alias("importance"), F.coalesce(alone, F.lit(1.0)).alias("alone"))
+    low = value.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW) & (F.col("alone") >= APART))
     return low.groupBy("host").agg(F.collect_list("key").alias("__low"))
 
 

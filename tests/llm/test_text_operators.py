@@ -220,6 +220,19 @@ def test_html_copies_of_an_article_stay(spark):
         assert out == {k: "other\nText of other" if k == 9 else "copied\nText of copied" for k in range(10)}
 
 
+def test_html_boxes_that_articles_of_a_site_repeat_go(spark):
+    body = lambda k: " ".join(f"word{k}x{j}" for j in range(40))
+    page = lambda t, b: f"<body><article><h1>{t}</h1><div class='x0'><p>{b}</p></div><div class='x1'><p>Get our letter</p></div><p>End of {t}</p></article></body>"
+    differing = [(k, "https://site.org/", page(f"T{k}", body(k))) for k in range(12)]
+    copies = [(100 + k, "https://copies.org/", page("T", body(0))) for k in range(12)]
+    near = [(200 + k, "https://near.org/", page("T", f"{body(0)} and {k}")) for k in range(12)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(differing + copies + near, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert out[k] == f"T{k}\n{body(k)}\nEnd of T{k}"
+        assert out[100 + k] == f"T\n{body(0)}\nGet our letter\nEnd of T"
+        assert out[200 + k] == f"T\n{body(0)} and {k}\nGet our letter\nEnd of T"
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source")
