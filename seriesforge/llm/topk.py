@@ -13,7 +13,8 @@ window merges. Nothing is sampled.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part,
 nor do null ids; shorter vectors count as filled up with zeros; a query is never its own candidate
-(rows of its id); repeated query rows are one query and repeated candidates separate ones.
+(rows of its id); repeated query rows are one query (of several vectors of one id the least, by components) and repeated
+candidates separate ones.
 """
 
 from __future__ import annotations
@@ -137,13 +138,12 @@ def top_k(df: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str =
 
     schema = "ids binary, v binary, tree binary"
     blocks = written(rows.mapInArrow(packed(BLOCK), schema), "blocks")
-    asked = rows.where("q = 1").dropDuplicates(["id"])
+    asked = rows.where("q = 1").groupBy("id", "q").agg(F.min("v").alias("v"))  # one query an id: its least vector
     asked = written(asked.mapInArrow(packed(QUERIES), schema).withColumn("pack", F.monotonically_increasing_id()), "queries")
     # Every block meets every pack of queries; both sides are packed, so these are few rows.
     n_packs, n_blocks = asked.count(), blocks.count()
-    numbered = asked.select((F.row_number().over(W.orderBy("pack")) - 1).alias("pack"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
-    work = blocks.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1)))) if n_packs else blocks.withColumn("pack", F.lit(-1))
-    work = work.join(numbered, "pack").repartition(max(1, min(n_packs * n_blocks, 4 * spark.sparkContext.defaultParallelism)))
+    work = blocks.crossJoin(F.broadcast(asked.select("pack")))  # only the packs' ids
+    work = work.join(asked.select("pack", F.col("ids").alias("q_ids"), F.col("v").alias("q_v")), "pack").repartition(max(1, min(n_packs * n_blocks, 4 * spark.sparkContext.defaultParallelism)))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -69,6 +69,14 @@ def test_top_k_of_nothing_and_few(spark):
     assert sorted(tuple(r) for r in topk.top_k(few, F.col("vec_id") % 50 == 0).collect()) == [(0, 1, 1, 131072), (0, 2, 3, 131072)]
 
 
+def test_top_k_of_a_query_id_with_two_vectors(spark):
+    rows = [(0, [3.0, 1.0], 1), (0, [1.0, 3.0], 1), (1, [2.0, 0.0], 1), (2, [0.0, 2.0], 1)]
+    for given in (rows, rows[::-1]):
+        out = topk.top_k(spark.createDataFrame(given, SCHEMA).coalesce(1), F.col("vec_id") == 0)
+        assert sorted(tuple(r) for r in out.collect()) == [(0, 1, 2, 393216), (0, 2, 1, 131072)]
+        assert "exchange singlepartition, ensure_requirements" not in out._jdf.queryExecution().toString().lower()
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(10, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (3, 4), (3, 4)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
