@@ -9,54 +9,74 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a folder of our own only where
-    that is unset (one machine, as in tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only where that is unset and all
+    runs on one machine (a ``local`` master, as in tests), a folder of our own; elsewhere executors
+    couldn't see each other's files, so an unset folder is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to at most 2,000 rows and 8 MB: texts are large, and both
-    sides of a Python task hold a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Sets the session's Arrow batches to at most 2,000 rows and 8 MB, as texts are large and both
+    sides of a Python task hold a batch. It stays set: results are lazy, and run with the settings
+    of the time at which they are asked for. Smaller values of the caller's are left alone."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    size = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")))
+    if not 0 < size <= 8 << 20:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: it is computed once, its lineage ends there, and a
     lost executor costs no more than reading it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    return written_at(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}")
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path``."""
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): rows (node, component), component being
     the smallest node reachable. Nodes without an edge don't appear.
 
     Alternating large-star and small-star steps: every node hands its larger (then its smaller)
     neighbours to the smallest one it knows, which flattens all trees in a logarithmic number of
-    rounds. Only minima are aggregated, so a node with many links is reduced before each shuffle.
+    rounds; the loop ends when a round changes nothing. Only minima are aggregated, so a node with
+    many links is reduced before each shuffle. A round's table is deleted once the next is written.
     """
+    spark = edges.sparkSession
+    root, k = f"{shared_folder(spark)}/links-{uuid4().hex}", 0
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = written(pairs, "links")
-    seen = None
-    for _ in range(rounds):
+    pairs, seen = written_at(pairs, f"{root}/0"), None
+    while True:
+        state = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if state == seen or state.n < 2:
+            break
+        seen = state
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        pairs = small.select("b", "m").union(small.select(F.col("a").alias("b"), "m")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        pairs = written(pairs, "links")
-        state = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen:
-            break
-        seen = state
+        small = small.select("b", "m").union(small.select(F.col("a").alias("b"), "m")).where("b <> m")
+        pairs, k = written_at(small.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{root}/{k + 1}"), k + 1
+        removed(spark, f"{root}/{k - 1}")
     flat = pairs.groupBy("a").agg(F.min("b").alias("b"))
     tops = flat.select(F.col("b").alias("node")).distinct()
     return flat.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops.select("node", F.col("node").alias("component")))

@@ -1,43 +1,51 @@
 """Jaccard join on word shingles, size-aware (operator 6).
 
-Light sets are those up to a boundary of at most eight shingles: two of them, or a light and a
-heavy one, link only if the smaller is contained in the larger, so every set that can meet a light
-one lists its subsets of at least 0.8 of its size, and equal subsets bring sets together. Heavy
-sets are found by inverted lists over prefixes: sets that link share one of their first
-``n - ceil(0.8 n) + 1`` shingles in any common order, here the rare before the frequent; with a
-prefix longer by a twentieth of the set they share so many more, and a document whose lists meet
-others less often is out. The boundary is the one that costs least by counts over all texts.
-
-A list is only used to say which documents may link: its members, in the order of size, join a
-cluster where their sizes allow it. Clusters are cut into blocks of some hundred sets by size and
-hash, and each pair of blocks whose sizes allow links is one piece of work: its inverted lists give
-all overlaps, verified exactly, and only a spanning forest of the links leaves it. So a group of
-thousands of near copies is many small pieces and never a list of its pairs.
+Two sets of sizes a and b link when they share c(a, b) = ceil(4 (a + b) / 9) shingles. Light sets,
+those up to a boundary, enumerate their subsets of just the sizes c that a partner can ask for:
+whoever meets in the list of a subset of that size is linked, so a list needs no pairs and no
+check, only its smallest member, to which all that may link through it are tied. Heavy sets are
+found by scanning inverted lists: sets that link share one of their first ``n - ceil(0.8 n) + 1``
+shingles in any common order, here the rare before the frequent. The boundary is the one that costs
+least by counts over all texts.
+
+A heavy list first compares all its members with one of them only, its pivot (equal sets are one
+node, so copies never meet here). What the pivots have brought together need not be compared any
+more; then the pairs of each list whose members still lie in different components are compared, as
+far as their sizes and the places of the shingle allow a link, in blocks where a list is long. All
+pairs are verified on the whole sets. So a group of thousands of near copies costs a comparison for
+each member and list, and no link between different components is lost.
 
 Defined results: a null or empty text has no shingles and links with nothing; a null id takes no
-part (component null); rows of one id are one node; copies link; extra columns are not read.
+part (component null); rows of one id are one node, as far as they have words; copies link; extra
+columns are not read. Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesforge.llm.common import components, small_batches, written
 from seriesforge.llm.words import mixed, windows, word_hashes
 
 SHINGLE = 5
-LIGHT = 8
-FREQUENT = 1 << 17
-LIST_ROWS = 50_000
-BLOCK_SETS = 2048
+#: The largest boundary: beyond it subsets of 0.8 of a set are too many for any list to be worse.
+MOST_LIGHT = 16
+#: Entries of the broadcast order (16 bytes each). Shingles without one count as rare: only the order depends on it.
+FREQUENT = 1 << 18
+#: Rows of a list that one piece of work takes; longer ones are cut into parts.
+LIST_ROWS = 8192
 BLOCK_SHINGLES = 1_000_000
-BLOCK_TOKENS = 500_000
-MAX_BITS = 1 << 30
+PAIRS = 1 << 20
+PLACE = (1 << 32) - 1
+
+log = logging.getLogger(__name__)
 
 
 class Block:
@@ -49,33 +57,23 @@ class Block:
         self.shingles = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         self.owner = np.repeat(np.arange(len(sets)), self.sizes)
 
-    def prints(self) -> tuple[np.ndarray, np.ndarray]:
-        """A 128-bit fingerprint of each set."""
-        out = []
-        for seed in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47):
-            sums = np.zeros(len(self.shingles) + 1, np.uint64)
-            np.cumsum(mixed(self.shingles ^ np.uint64(seed)), out=sums[1:])
-            ends = np.cumsum(self.sizes)
-            out.append(mixed(sums[ends] - sums[ends - self.sizes] + self.sizes.astype(np.uint64)))
-        return out[0], out[1]
-
-    def only(self, keep: np.ndarray) -> "Block":
-        """The documents at ``keep``."""
+    def prints(self) -> np.ndarray:
+        """A fingerprint of each set."""
+        sums = np.zeros(len(self.shingles) + 1, np.uint64)
+        np.cumsum(mixed(self.shingles ^ np.uint64(0x2545F4914F6CDD1D)), out=sums[1:])
+        ends = np.cumsum(self.sizes)
+        return mixed(sums[ends] - sums[ends - self.sizes] + self.sizes.astype(np.uint64)).view(np.int64)
+
+    def distinct(self) -> "Block":
+        """One document for each set, its id the fingerprint."""
+        prints, mask = self.prints(), np.zeros(len(self.ids), bool)
+        first = np.unique(prints, return_index=True)[1]
+        mask[first] = self.sizes[first] > 0
         new = Block.__new__(Block)
-        mask = np.zeros(len(self.ids), bool)
-        mask[keep] = True
-        new.ids, new.sizes, new.shingles = self.ids[mask], self.sizes[mask], self.shingles[mask[self.owner]]
+        new.ids, new.sizes, new.shingles = prints[mask], self.sizes[mask], self.shingles[mask[self.owner]]
         new.owner = np.repeat(np.arange(len(new.ids)), new.sizes)
         return new
 
-    def distinct(self) -> "Block":
-        """One document, that of the smallest id, for each set."""
-        one, two = self.prints()
-        order = np.lexsort((self.ids, two, one))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        return self.only(order[fresh])
-
 
 def set_of(hashes: np.ndarray) -> np.ndarray:
     """Distinct shingles of one text; one for the whole sequence if it has fewer words."""
@@ -96,237 +94,261 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
                 ids.append(own[i + k])
                 sets.append(set_of(h[a:b]))
                 held += len(sets[-1])
-            if held > BLOCK_SHINGLES:
-                yield Block(ids, sets)
-                ids, sets, held = [], [], 0
+                if held > BLOCK_SHINGLES:
+                    yield Block(ids, sets)
+                    ids, sets, held = [], [], 0
     if ids:
         yield Block(ids, sets)
 
 
+def common(a, b):
+    """How many shingles sets of sizes a and b share at least if they link."""
+    return -(-4 * (a + b) // 9)
+
+
 def prefix(size):
-    """How many first shingles of a set, in the common order, surely hold ``common(size)`` of those
-    of any set it links with."""
-    return size - (4 * size + 4) // 5 + np.maximum(size // 20, 1)
+    """How many first shingles of a set, in the common order, surely hold one of any set it links with."""
+    return size - (4 * size + 4) // 5 + 1
+
+
+def subset_sizes(size: int, light: int) -> list[int]:
+    """Sizes of the subsets by which a set meets its partners, where one of the two is light."""
+    return sorted({common(size, p) for p in range((4 * size + 4) // 5, 5 * size // 4 + 1) if min(size, p) <= light})
+
 
+def boundary(costs: dict[int, tuple[int, int]]) -> int:
+    """The largest light size, by {size: (sets, rows of their lists)}: a light set costs the subsets
+    it lists, a heavy one its prefix and the rows it meets there; equal costs are for subsets, which
+    need no check."""
 
-def common(size):
-    """How many shingles the prefixes of a set and of any set it links with share at least: each
-    prefix is made for ``size // 20``, and a partner may be a fifth smaller."""
-    return F.greatest(F.floor(size / 25), F.lit(1))
+    def total(light: int) -> int:
+        heavy = sum(n * prefix(s) + met for s, (n, met) in costs.items() if s > light)
+        return heavy + sum(n * sum(comb(s, c) for c in subset_sizes(s, light)) for s, (n, _) in costs.items())
+
+    return min(range(MOST_LIGHT + 1), key=lambda light: (total(light), -light))
 
 
 def survey(docs: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], int]:
-    """Over all texts: (id, print1, print2, n); the frequent shingles, in order of their hash, with
-    their counts; and the boundary between light and heavy."""
+    """Over all texts: (id, node, n); the frequent shingles, in order of their hash, with their
+    counts; and the boundary between light and heavy."""
+    most = MOST_LIGHT * 5 // 4
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(kind, *columns):
-            full = [pa.array(np.asarray(c, np.int64)) for c in columns] + [pa.nulls(len(columns[0]), pa.int64())] * (4 - len(columns))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *full], ["kind", "a", "b", "c", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(np.asarray(c, np.int64)) for c in columns)], ["kind", "a", "b", "n"])
 
         for block in blocks(batches):
-            one, two = block.prints()
-            yield rows(0, block.ids, one.view(np.int64), two.view(np.int64), block.sizes)
+            yield rows(0, block.ids, block.prints(), block.sizes)
             block = block.distinct()
-            if not len(block.shingles):
-                continue
             shingle, place, n = np.unique(block.shingles, return_inverse=True, return_counts=True)
-            often = n >= 4
-            yield rows(1, shingle[often].view(np.int64), n[often])
-            small = np.flatnonzero((block.sizes > 0) & (block.sizes <= LIGHT))
+            often = n >= 3
+            yield rows(1, shingle[often].view(np.int64), n[often], n[often])
             counts, ends = n[place], np.cumsum(block.sizes)
-            cost = np.zeros((LIGHT + 1, 2), np.int64)
-            for d in small:
-                s = block.sizes[d]
-                cost[s] += 1, np.sort(counts[ends[d] - s : ends[d]])[: prefix(s)].sum()
-            yield rows(2, np.arange(LIGHT + 1), cost[:, 0], cost[:, 1])
-
-    found = written(docs.mapInArrow(seen, "kind int, a long, b long, c long, n long"), "survey")
-    sets = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("print1"), F.col("c").alias("print2"), "n")
-    often = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).toPandas()
+            cost = np.zeros((most + 1, 2), np.int64)
+            for d in np.flatnonzero(block.sizes <= most):
+                s = int(block.sizes[d])
+                cost[s] += 1, (np.sort(counts[ends[d] - s : ends[d]])[: prefix(s)] - 1).sum()
+            some = np.flatnonzero(cost[:, 0])
+            yield rows(2, some, cost[some, 0], cost[some, 1])
+            yield rows(3, [0], [1], [1])
+
+    found = written(docs.mapInArrow(seen, "kind int, a long, b long, n long"), "survey")
+    sets = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("node"), "n")
+    often = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).toPandas()
     shingle = often["a"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(shingle)
-    costs = {r.a: (r.sets, r.scan) for r in found.where("kind = 2").groupBy("a").agg(F.sum("b").alias("sets"), F.sum("c").alias("scan")).collect()}
-    total = lambda b: sum((n * len(subset_sizes(s)) * s if s <= b else scan) for s, (n, scan) in costs.items())
-    return sets, (shingle[order], often["n"].to_numpy(np.int64)[order]), min(range(LIGHT + 1), key=total)
+    counts = {(r.kind, r.a): (r.b, r.n) for r in found.where("kind >= 2").groupBy("kind", "a").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()}
+    blocks_ = counts.get((3, 0), (1, 1))[0]
+    costs = {s: (n, met * blocks_) for (kind, s), (n, met) in counts.items() if kind == 2}
+    light = boundary(costs)
+    log.info("sets of up to %d shingles are light", light)
+    return sets, (shingle[order], often["n"].to_numpy(np.int64)[order]), light
 
 
-def subset_sizes(size: int) -> range:
-    """Sizes of the subsets by which a set can meet a light one."""
-    return range((4 * size + 4) // 5, size + 1)
+def ranks(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How often each shingle was counted; 0 for those that aren't frequent."""
+    shingle, count = frequent
+    if not len(shingle):
+        return np.zeros(len(shingles), np.int64)
+    at = np.minimum(np.searchsorted(shingle, shingles), len(shingle) - 1)
+    return np.where(shingle[at] == shingles, count[at], 0)
 
 
 def postings(docs: DataFrame, frequent, light: int) -> DataFrame:
-    """(key, part, id, n): the lists that bring documents together. ``part`` is over zero only in
-    the lists of very frequent shingles, which several tasks share."""
+    """(key, part, node, at): the prefix lists of heavy sets, part 0, ``at`` being size << 32 | place
+    in the order; and the lists of subsets of light sets, part -1, at being size << 32 | size of the
+    subset. Lists of frequent shingles have parts from 1 or from -2 on, which tasks share."""
+
+    def parts(node: np.ndarray, salt: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        lists = 1 + rank // LIST_ROWS
+        spread = mixed(node.view(np.uint64) ^ mixed(salt.view(np.uint64))) % lists.astype(np.uint64)
+        return spread.astype(np.int32) + (lists > 1)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, count = frequent.value
         for block in blocks(batches):
+            salt = block.ids[:1]  # copies of a set in several blocks go to several parts
             block = block.distinct()
-            keys, parts, owner = [], [], []
-            heavy = block.sizes > light
-            rank = np.zeros(len(block.shingles), np.int64)
-            if len(shingle):
-                at = np.minimum(np.searchsorted(shingle, block.shingles), len(shingle) - 1)
-                rank = np.where(shingle[at] == block.shingles, count[at], 0)
+            rank = ranks(block.shingles, frequent.value)
             order = np.lexsort((block.shingles, rank, block.owner))
             place = np.arange(len(order)) - np.repeat(np.cumsum(block.sizes) - block.sizes, block.sizes)
-            taken = order[(place < prefix(block.sizes)[block.owner]) & heavy[block.owner]]
-            keys.append(block.shingles[taken])
-            owner.append(block.owner[taken])
-            lists = 1 + rank[taken] // LIST_ROWS
-            parts.append((mixed(block.ids[owner[0]].view(np.uint64)) % lists.astype(np.uint64)).astype(np.int32) + (lists > 1))
+            chosen = (place < prefix(block.sizes)[block.owner]) & (block.sizes > light)[block.owner]
+            place, taken = place[chosen], order[chosen]
+            owner = block.owner[taken]
+            columns = [[block.shingles[taken]], [parts(block.ids[owner], salt, rank[taken])], [owner], [block.sizes[owner] << 32 | place]]
             ends = np.cumsum(block.sizes)
-            for d in np.flatnonzero((block.sizes > 0) & ((4 * block.sizes + 4) // 5 <= light)):
-                own = mixed(block.shingles[ends[d] - block.sizes[d] : ends[d]] ^ np.uint64(0xA0761D6478BD642F)).tolist()
-                sums = [sum(c) for k in subset_sizes(int(block.sizes[d])) for c in combinations(own, k)]
-                keys.append(mixed(np.array([x & (1 << 64) - 1 for x in sums], np.uint64)))
-                owner.append(np.full(len(sums), d))
-                parts.append(np.zeros(len(sums), np.int32))
-            owner = np.concatenate(owner)
-            columns = np.concatenate(keys).view(np.int64), np.concatenate(parts), block.ids[owner], block.sizes[owner].astype(np.int32)
-            for a in range(0, len(owner), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 500_000]) for c in columns], ["key", "part", "id", "n"])
-
-    return docs.mapInArrow(made, "key long, part int, id long, n int")
-
-
-def sorted_lists(batches: Iterator[pa.RecordBatch]):
-    """A task's postings in the order of (key, part, n, id), and where a row's list goes on with a
-    set of another id that it may link with by size. Sizes don't matter in lists that tasks share."""
+            for d in np.flatnonzero((4 * block.sizes + 4) // 5 <= light):
+                s = int(block.sizes[d])
+                own = mixed(block.shingles[ends[d] - s : ends[d]] ^ np.uint64(0xA0761D6478BD642F)).tolist()
+                often = rank[ends[d] - s : ends[d]].tolist()
+                for c in subset_sizes(s, light):
+                    subsets = list(combinations(range(s), c))
+                    sums = mixed(np.array([sum(map(own.__getitem__, x)) + c & (1 << 64) - 1 for x in subsets], np.uint64))
+                    most = np.array([min(map(often.__getitem__, x)) for x in subsets])  # a list is no longer than that
+                    part = -1 - parts(np.full(len(sums), block.ids[d]), salt, most)
+                    for held, x in zip(columns, (sums, part, np.full(len(sums), d), np.full(len(sums), s << 32 | c))):
+                        held.append(x)
+            key, part, owner, at = (np.concatenate(c) for c in columns)
+            for a in range(0, len(key), 200_000):
+                k = slice(a, a + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[k].view(np.int64)), pa.array(part[k].astype(np.int32)), pa.array(block.ids[owner[k]]), pa.array(at[k])], ["key", "part", "node", "at"])
+
+    return docs.mapInArrow(made, "key long, part int, node long, at long")
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's postings those whose list has two nodes or is shared with other tasks, with the
+    list's pivot: its smallest node, in a light list its smallest set."""
     columns = [[x.to_numpy() for x in b.columns] for b in batches if b.num_rows]
     if not columns:
-        return None
-    key, part, id_, n = (np.concatenate(c) for c in zip(*columns))
-    order = np.lexsort((id_, n, part, key))
-    key, part, id_, n = key[order], part[order], id_[order], n[order]
+        return
+    key, part, node, at = (np.concatenate(c) for c in zip(*columns))
+    order = np.lexsort((node, np.where(part < 0, at >> 32, 0), part, key))
+    key, part, node, at = key[order], part[order], node[order], at[order]
     same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
-    near = same & ((5 * n[:-1].astype(np.int64) >= 4 * n[1:]) | (part[1:] > 0)) & (id_[1:] != id_[:-1])
-    return key, part, id_, n, same, near
-
-
-def may_link(lists: DataFrame) -> DataFrame:
-    """Edges (a, b) so that documents which may link are connected: they share lists, their sizes
-    allow it, and each shares as many of its prefix's lists with others as a link takes."""
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Postings that meet another one."""
-        found = sorted_lists(batches)
-        if found:
-            key, part, id_, n, _, near = found
-            meets = np.concatenate([near, [False]]) | np.concatenate([[False], near]) | (part > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(c[meets]) for c in (key, part, id_, n)], ["key", "part", "id", "n"])
-
-    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbours of each list, and the first of each part of a shared one."""
-        found = sorted_lists(batches)
-        if found:
-            key, part, id_, n, same, near = found
-            edges = np.unique(np.stack([np.minimum(id_[1:], id_[:-1])[near], np.maximum(id_[1:], id_[:-1])[near]], 1), axis=0)
-            head = np.flatnonzero(np.concatenate([[True], ~same]) & (part > 0))
-            none = pa.nulls(len(edges), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), none], ["a", "b", "key"])
-            yield pa.RecordBatch.from_arrays([pa.array(id_[head]), pa.nulls(len(head), pa.int64()), pa.array(key[head])], ["a", "b", "key"])
-
-    schema = "key long, part int, id long, n int"
-    shared = written(lists.repartition("key", "part").mapInArrow(met, schema), "postings")
-    able = shared.groupBy("id").agg(F.count("*").alias("lists"), F.min("n").alias("least")).where(F.col("lists") >= common(F.col("least"))).select("id")
-    shared = shared.join(written(able, "able"), "id").select("key", "part", "id", "n")
-    found = written(shared.repartition("key", "part").mapInArrow(chained, "a long, b long, key long"), "candidates")
-    heads = found.where("key is not null").select("key", "a")
-    least = heads.groupBy("key").agg(F.min("a").alias("b"))
-    return found.where("key is null").select("a", "b").union(heads.join(least, "key").select("a", "b")).where("a <> b")
-
-
-def links_of(left_ids, left_sets, right_ids, right_sets) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks of sets (or within one)."""
-    right_n = np.array([len(s) for s in right_sets])
-    left_n = np.array([len(s) for s in left_sets])
-    shingle = np.concatenate(right_sets)
-    order = np.argsort(shingle, kind="stable")
-    shingle, owner = shingle[order], np.repeat(np.arange(len(right_sets)), right_n)[order]
-    top: dict[int, int] = {}
-
-    def find(x):
-        while top.setdefault(x, x) != x:
-            top[x] = x = top[top[x]]
-        return x
-
-    forest = []
-    for i, own in enumerate(left_sets):
-        lo, hi = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
-        n = hi - lo
-        hits = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
-        both = np.bincount(owner[hits], minlength=len(right_sets))
-        for j in np.flatnonzero(5 * both >= 4 * (left_n[i] + right_n - both)):
-            a, b = int(left_ids[i]), int(right_ids[j])
-            if both[j] and (x := find(a)) != (y := find(b)):
-                top[x] = y
-                forest.append((a, b))
-    return forest
-
-
-def placed(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(id, cluster, step, part, parts): a cluster that fits is one block (step -1); a larger one is
-    cut by size, each step a factor of 1.25, and every step by a hash into blocks that fit."""
-    members = written(clusters.join(sizes.select("id", "n").distinct(), "id").where("n > 0"), "members")
-    blocks = lambda: F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
-    whole = members.groupBy("cluster").agg(blocks().alias("whole"))
-    step = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
-    members = members.join(whole, "cluster").withColumn("step", F.when(F.col("whole") == 1, -1).otherwise(step))
-    counts = written(members.groupBy("cluster", "step").agg(blocks().alias("parts")), "counts")
-    above = counts.select("cluster", (F.col("step") - 1).alias("step"), F.col("parts").alias("parts_above")).where("step >= 0")
-    counts = counts.join(above, ["cluster", "step"], "left").fillna(0, ["parts_above"])
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    return members.join(counts, ["cluster", "step"]).select("id", "cluster", "step", part.alias("part"), "parts", "parts_above")
-
-
-def verified(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what ``sets`` (where they are placed, id, shingles) connect. Two
-    sets that link are at most one step of size apart."""
-    key = ["cluster", "step", "part", "parts", "parts_above"]
-    packed = written(sets.groupBy(*key).agg(F.collect_list(F.struct("id", "shingles")).alias("block")), "blocks")
-    partner = "array<struct<with_step:int,with_part:int>>"
-    own = F.when(F.col("part") + 1 < F.col("parts"), F.transform(F.sequence(F.col("part") + 1, F.col("parts") - 1), lambda p: F.struct(F.col("step"), p)))
-    upper = F.when(F.col("parts_above") > 0, F.transform(F.sequence(F.lit(0), F.col("parts_above") - 1), lambda p: F.struct(F.col("step") + 1, p)))
-    partners = F.concat(*[F.coalesce(x.cast(partner), F.array().cast(partner)) for x in (own, upper)])
-    pairs = packed.select("cluster", "block", F.explode(partners).alias("with")).select("cluster", "block", "with.*")
-    right = packed.where("parts > 1 OR step >= 0").select("cluster", F.col("step").alias("with_step"), F.col("part").alias("with_part"), F.col("block").alias("with_block"))
-    work = pairs.join(right, ["cluster", "with_step", "with_part"])
-
-    def unpacked(block) -> tuple[np.ndarray, list[np.ndarray]]:
-        ids = block.values.field("id").to_numpy()
-        shingles = [np.frombuffer(x.as_py(), np.uint64) for x in block.values.field("shingles")]
-        return ids, shingles
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stay = np.concatenate([[True], ~same | (node[1:] != node[:-1])])
+    key, part, node, at = key[stay], part[stay], node[stay], at[stay]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+    n = np.diff(first, append=len(key))
+    pivot, pivot_at = np.repeat(node[first], n), np.repeat(at[first], n)
+    some = np.flatnonzero((np.repeat(n, n) > 1) | (part > 0) | (part < -1))
+    for a in range(0, len(some), 200_000):
+        k = some[a : a + 200_000]
+        yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (key, part, node, at, pivot, pivot_at)], ["key", "part", "node", "at", "pivot", "pivot_at"])
+
+
+def may_link(a, left, b, right, least=np.minimum):
+    """Whether sets of sizes a and b in one list can link: by their sizes, and by what they can
+    still share, from this shingle on (left, right), if it is the first that they have in common."""
+    return (5 * a >= 4 * b) & (5 * b >= 4 * a) & (9 * least(left, right) >= 4 * (a + b))
+
+
+def size_and_left(at) -> tuple[Column, Column]:
+    """Of the column of a list entry: the size of its set, and how many of it are left."""
+    size = F.shiftright(at, 32)
+    return size, size - F.col(at).bitwiseAND(F.lit(PLACE))
+
+
+def across(lists: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes that share a list (rows key, node, at, label), may link by it, and
+    have different labels. Long lists are worked on in pairs of parts."""
+    several = lists.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    several = written(several.where("low < high").select("key", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("parts")), "mixed-lists")
+    rows = lists.join(several, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.select("key", "node", "at", "label", F.col("part").alias("own"), other.alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "at", "label", "own")
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[x.to_numpy() for x in b.columns] for b in batches if b.num_rows]
+        if not columns:
+            return
+        key, low, high, node, at, label, own = (np.concatenate(c) for c in zip(*columns))
+        order = np.lexsort((node, at, high, low, key))
+        key, low, high, node, at, label, own = (c[order] for c in (key, low, high, node, at, label, own))
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        size = at >> 32
+        left = size - (at & PLACE)
+        found, held = [], 0
+
+        def sent():
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
+            whole = low[a] == high[a]
+            reach = np.searchsorted(size[a:b], size[a:b] * 5 // 4, "right") + a  # sorted by size
+            for i in range(a, b - 1):
+                j = np.arange(i + 1, reach[i - a])
+                j = j[(label[j] != label[i]) & may_link(size[i], left[i], size[j], left[j])]
+                j = j if whole else j[own[j] != own[i]]
+                if len(j):
+                    found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
+                    held += len(j)
+                if held > PAIRS:
+                    yield sent()
+                    found, held = [], 0
+        if held:
+            yield sent()
+
+    return rows.repartition("key", "low", "high").mapInArrow(paired, "x long, y long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (x, y) of ``pairs`` that link, by their whole ``sets`` (node, shingles). Each pair meets
+    its two sets by joins, so no set is held with more than one other."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(batch.num_columns - 1)):
-                links = links_of(*unpacked(x), *unpacked(y))
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
-
-    within = packed.select("block").mapInArrow(joined, "a long, b long")
-    return within.union(work.select("block", "with_block").mapInArrow(joined, "a long, b long"))
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = (x, y) if len(x) < len(y) else (y, x)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(9 * both >= 4 * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("x", "y"))
+    both = pairs.join(one, "x").join(two, "y").select("x", "y", "x_set", "y_set")
+    return both.mapInArrow(shared, "a long, b long")
 
-def cell_of(width: int):
-    """The bit of an id."""
-    return F.pmod(F.xxhash64("id"), F.lit(width))
 
-
-def bitmap(ids: DataFrame) -> tuple[int, bytes]:
-    """(bits, their bytes): a bit is set where an id of ``ids`` falls. 32 bits an id, but never more
-    than ``MAX_BITS``: beyond that more rows pass it, and the join after it stays exact."""
-    width = 1 << 15
-    while width < min(32 * ids.count(), MAX_BITS):
-        width *= 2
-    cell = cell_of(width) + 1
-    parts = ids.select(F.bitmap_bucket_number(cell).alias("bucket"), F.bitmap_bit_position(cell).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
-    out = bytearray(width // 8)
-    for row in parts.toLocalIterator():
-        out[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits
-    return width, bytes(out)
+def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of documents (id, text)."""
+    for batch in batches:
+        for i, bounds, h, _, _ in word_hashes(batch.column(1), lower=True):
+            sets = [set_of(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            if sets:
+                block = Block(list(range(len(sets))), sets)
+                yield pa.RecordBatch.from_arrays([pa.array(block.prints()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+
+
+def links(docs: DataFrame, nodes: DataFrame, frequent, light: int) -> DataFrame:
+    """Edges (a, b) between nodes of ``docs`` (id, text) that connect all that links; ``nodes``
+    (node, id): one document for each set."""
+    lists = written(postings(docs, frequent, light).repartition("key", "part").mapInArrow(met, "key long, part int, node long, at long, pivot long, pivot_at long"), "lists")
+    # The pivots of the parts of one list meet in the smallest of them.
+    split = lists.where("(part > 0 OR part < -1) AND node = pivot")
+    smallest = F.min(F.struct(F.when(F.col("part") < 0, F.shiftright("at", 32)), F.col("node").alias("pivot"), F.col("at").alias("pivot_at")))
+    top = split.groupBy("key", (F.col("part") < 0).alias("light")).agg(smallest.alias("top")).select("key", "light", "top.pivot", "top.pivot_at")
+    heads = split.select("key", (F.col("part") < 0).alias("light"), "node", "at").join(top, ["key", "light"])
+    met_once = lists.select("key", (F.col("part") < 0).alias("light"), "node", "at", "pivot", "pivot_at").union(heads).where("node <> pivot")
+    size, left = size_and_left("at")
+    least, pivot_left = size_and_left("pivot_at")
+    subset = F.col("at").bitwiseAND(F.lit(PLACE))
+    pair = F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")
+    found = met_once.where(F.col("light") & (9 * subset >= 4 * (size + least))).select(*pair).distinct()
+    found = written(found.toDF("a", "b"), "light-links")
+    stars = met_once.where(~F.col("light") & may_link(size, left, least, pivot_left, F.least)).select(*pair)
+    stars = written(stars.distinct(), "stars")
+    heavy = lists.where("part >= 0")
+    # All nodes of heavy lists may be asked for; their sets are made once.
+    named = heavy.select("node").distinct().join(nodes, "node")
+    wanted = docs.join(named.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(shingled, "node long, shingles binary")
+    sets = written(wanted.join(named.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    near = written(verified(stars, sets), "star-links").union(found)
+    label = components(near).withColumnRenamed("component", "label")
+    held = heavy.select("key", "node", "at").distinct().join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return near.union(written(verified(across(held), sets), "cross-links"))
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -337,32 +359,18 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     known = docs.where("id is not null")
     sets, often, light = survey(known)
-    frequent = spark.sparkContext.broadcast(often)
-    clusters = components(may_link(postings(known, frequent, light))).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    places = written(placed(clusters, sets), "places")
-
-    width, bits = bitmap(places.select("id"))
-    wanted = spark.sparkContext.broadcast(bits)
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sets of the documents whose bit is set: those that are placed, and few others."""
-        seen = np.frombuffer(wanted.value, np.uint8)
-        for batch in batches:
-            cell = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array((seen[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)))
-            for i, bounds, h, _, _ in word_hashes(batch.column(2), lower=True):
-                own = [set_of(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(own)), pa.array(own, pa.binary())], ["id", "shingles"])
-
-    chosen = known.select("id", cell_of(width).alias("cell"), "text").mapInArrow(shingled, "id long, shingles binary").where("length(shingles) > 0")
-    grouped = chosen.join(places, "id")
-    links = verified(grouped)
-    # Equal sets are one node, the smallest of their ids.
-    least = sets.where("n > 0").groupBy("print1", "print2").agg(F.min("id").alias("node"))
-    node = sets.where("n > 0").join(least, ["print1", "print2"]).select("id", "node")
-    node = written(node.where("id <> node").distinct(), "nodes")
-    found = components(links.union(node)).select(F.col("node").alias("id"), F.col("component"))
-    out = sets.select("id", "n").join(found, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    filled = sets.where("n > 0")
+    nodes = written(filled.groupBy("node").agg(F.min("id").alias("id"), F.max("id").alias("last")), "nodes")
+    found = links(known, nodes.select("node", "id"), spark.sparkContext.broadcast(often), light)
+    # Rows of one id are one node.
+    several = filled.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high").select("id", "b")
+    found = found.union(filled.join(several, "id").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
+    groups = written(components(found), "groups")
+    least = groups.join(nodes, "node").groupBy("component").agg(F.min("id").alias("component_id"))
+    grouped = groups.join(least, "component").select("node", "component_id")
+    copies = nodes.where("id < last").join(groups, "node", "left_anti").select("node", F.col("id").alias("component_id"))
+    places = written(grouped.union(copies), "places")
+    out = sets.join(places, "node", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

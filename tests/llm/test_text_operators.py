@@ -122,13 +122,46 @@ def test_jaccard_components(spark, seed):
     assert got == brute.jaccard_components(docs)
 
 
-def test_jaccard_of_large_clusters_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+def test_jaccard_of_lists_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 2000)
     docs = near_copies(random.Random(4), 150)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute.jaccard_components(docs)
 
 
+@pytest.mark.parametrize("rows", [8192, 5])
+def test_jaccard_lists_subsets_where_they_cost_less(spark, monkeypatch, caplog, rows):
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", rows)
+    rng = random.Random(9)
+    bases = [[f"b{k}w{j}" for j in range(n)] for k, n in enumerate((9, 12, 13, 14, 15, 16, 18))]
+    docs = []
+    for i in range(400):
+        w = list(rng.choice(bases))
+        w = w[: len(w) - rng.randrange(3)] + [f"n{i}"] * rng.randrange(2)
+        docs.append((i, " ".join(w[rng.randrange(2) :])))
+    with caplog.at_level("INFO", ngram_join.log.name):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute.jaccard_components(docs)
+    assert int(caplog.messages[-1].split()[4]) >= 5
+
+
+def test_the_boundary_is_the_cheapest():
+    assert ngram_join.boundary({}) == ngram_join.MOST_LIGHT
+    assert ngram_join.boundary({s: (10, 0) for s in range(1, 21)}) == 3  # two subsets of four and more cost more than a prefix
+    assert ngram_join.boundary({s: (10, 10_000_000) for s in range(1, 21)}) == ngram_join.MOST_LIGHT
+    for a in range(1, 40):
+        for b in range(a, 40):
+            assert ngram_join.common(a, b) == min(c for c in range(a + b + 1) if 100 * c >= 80 * (a + b - c))
+
+
+def test_jaccard_rows_of_one_id_are_one_node(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(20))
+    docs = [(5, text(1)), (9, text(2)), (7, text(1)), (7, text(2)), (8, ""), (5, ""), (6, text(3)), (6, text(3))]
+    got = sorted(tuple(r) for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == sorted([(5, 16, 5), (9, 16, 5), (7, 16, 5), (7, 16, 5), (8, 0, 8), (5, 0, 5), (6, 16, 6), (6, 16, 6)])
+
+
 def test_jaccard_odd_rows(spark, odd):
     out = ngram_join.jaccard_components(odd)
     assert out.count() == odd.count()
