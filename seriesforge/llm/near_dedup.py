@@ -5,12 +5,14 @@ the cell of its nearest codewords. A vector visits cells by the multi-sequence o
 (the distances of both halves to the codewords' Voronoi regions) until the target recall is
 reached, and verifies what it meets in doubles. How far that is, is measured first: the true links
 of ``PROBES`` vectors against all others, found by brute force in blocks, show at which bound the
-target share of them has been met; the traversal goes twice as far, and at least a tenth of the way
-at which no link at all could be missed. A link found from either side counts for both.
+target share of them has been met; the traversal goes twice as far, and at least ``LEAST`` of the
+way at which no link at all could be missed. A target recall of 1 goes all that way: the exact
+result. A link found from either side counts for both.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors; all are indexed. Equal vectors are one node
-with a count. Work is packed: a grid row's members in matrices of bounded size against the vectors
-that visit it; a piece of work returns counts and a spanning forest of its links, not the pairs.
+with a count. A grid row is one piece of work, cut by a hash into pieces of about ``MEMBERS``
+vectors where it holds more; a piece takes its own vectors and those that visit them, as packed
+matrices, and returns counts and a spanning forest of its links, not the pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing; shorter vectors count as filled up with zeros; rows of one id are one node for the
@@ -19,6 +21,7 @@ components; a null id takes no part (0 links, null component and kept); extra co
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +30,19 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from seriesforge.llm.common import components, written
 from seriesforge.llm.vectors import packs, usable, width_of
+from seriesforge.llm.words import mixed
 
 SAMPLE = 16_384
 PROBES = 1000
 TARGET_RECALL = 0.999
+LEAST = 0.02
 PACK = 512
-PER_CELL = 32
+MEMBERS = 8192
+PER_CELL = 4
+#: Codewords a half: the sample has eight vectors for each at least.
+MOST_WORDS = SAMPLE // 8
+
+log = logging.getLogger(__name__)
 
 
 def codebook(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -41,9 +51,8 @@ def codebook(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     centers = points[np.linspace(0, len(points) - 1, min(k, len(points))).astype(int)]
     for _ in range(rounds):
         near = nearest(points, centers)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, near, points)
         n = np.bincount(near, minlength=len(centers))
+        sums = np.stack([np.bincount(near, x, len(centers)) for x in points.T], 1) if points.shape[1] else np.zeros_like(centers)
         centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
     return centers
 
@@ -55,36 +64,52 @@ def squares(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 def nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """The index of the nearest center."""
-    return squares(points, centers).argmin(1)
+    return np.concatenate([squares(points[a : a + 2048], centers).argmin(1) for a in range(0, len(points), 2048)])
 
 
-def bounds(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Squared distance from each point that no point of a center's Voronoi region undercuts."""
+def bounds(points: np.ndarray, centers: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance from each point that no point of a center's Voronoi region undercuts, and
+    the point's own center; ``apart``: the centers' distances."""
     d = squares(points, centers)
     own = d.argmin(1)
-    apart = np.sqrt(squares(centers, centers))[own]
-    gap = d - d[np.arange(len(d)), own][:, None]
-    least = np.where(apart > 1e-12, gap / (2 * np.maximum(apart, 1e-12)), 0)
-    return np.maximum(least, 0) ** 2
+    gap, to = d - d[np.arange(len(d)), own][:, None], apart[own]
+    return np.maximum(np.where(to > 1e-12, gap / (2 * np.maximum(to, 1e-12)), 0), 0) ** 2, own
 
 
 def traversal(first: np.ndarray, second: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Multi-sequence traversal of one batch: (vector, i, j) of every cell whose bound, the sum of
-    both halves', is within ``reach``. Along each vector's sorted first sequence, the second is
-    followed as far as the sum allows."""
-    n = len(first)
+    both halves', is within ``reach``. Along each vector's sorted first sequence, as far as that
+    alone allows, the sorted second is followed as far as the sum allows."""
     one, two = np.argsort(first, 1), np.argsort(second, 1)
     a, b = np.take_along_axis(first, one, 1), np.take_along_axis(second, two, 1)
-    upto = (b[:, None, :] <= reach - a[:, :, None]).sum(2)
-    v, at = np.nonzero(upto)
-    m = upto[v, at]
+    v, at = np.nonzero(a <= reach)
+    m = np.concatenate([(b[v[k : k + PACK]] <= (reach - a[v[k : k + PACK], at[k : k + PACK]])[:, None]).sum(1) for k in range(0, len(v), PACK)] or [v])
     v, i = np.repeat(v, m), np.repeat(one[v, at], m)
     steps = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-    return v, i, two[v, steps] if n else steps
-
-
-def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row of ``df``."""
+    return v, i, two[v, steps]
+
+
+def forest(n: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node of the links (p, q) among ``n`` nodes that isn't its tree's root,
+    the smallest node of its component."""
+    top = np.arange(n)
+    while True:
+        least = np.minimum(top[p], top[q])
+        after = top.copy()
+        np.minimum.at(after, p, least)
+        np.minimum.at(after, q, least)
+        np.minimum.at(after, top[p], least)
+        np.minimum.at(after, top[q], least)
+        after = after[after]
+        if (after == top).all():
+            node = np.flatnonzero(top != np.arange(n))
+            return node, top[node]
+        top = after
+
+
+def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """(id, n_links, component_id, kept) for every row of ``df``. With a ``target_recall`` of 1 no
+    link is missed."""
     spark = df.sparkSession
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     nonzero = F.exists("v", lambda x: x != 0)
@@ -95,7 +120,7 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     n, width = copies.count(), width_of(copies, "v")
     if n:
         kind = np.float32 if df.schema[vector].dataType == T.ArrayType(T.FloatType()) else np.float64
-        found = links(copies.select("node", "copies", "v"), n, width, cosine, kind)
+        found = links(copies.select("node", "copies", "v"), n, width, cosine, kind, target_recall)
     else:
         found = spark.createDataFrame([], "a long, b long, n long")
     counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
@@ -116,123 +141,192 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v**2).sum(1))[:, None]
 
 
-def traversal_reach(nodes: DataFrame, width: int, cosine: float, books, half: int) -> float:
+class Grid:
+    """The codebooks with their centers' distances, made once in each task."""
+
+    def __init__(self, books: tuple[np.ndarray, np.ndarray], half: int):
+        self.half, self.books, self.width = half, books, len(books[1])
+        self.apart = [np.sqrt(squares(b, b)) for b in books]
+
+    def cells(self, unit_vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of each vector's own cell."""
+        return nearest(unit_vectors[:, : self.half], self.books[0]), nearest(unit_vectors[:, self.half :], self.books[1])
+
+    def bounds(self, unit_vectors: np.ndarray):
+        """((bounds to rows, own row), (bounds to columns, own column))."""
+        return tuple(bounds(x, b, a) for x, b, a in zip((unit_vectors[:, : self.half], unit_vectors[:, self.half :]), self.books, self.apart))
+
+
+def traversal_reach(nodes: DataFrame, width: int, cosine: float, books, half: int, target_recall: float) -> float:
     """The bound at which the traversal ends (see above)."""
     spark, whole = nodes.sparkSession, 2 - 2 * cosine + 1e-9
+    if target_recall >= 1:
+        return whole
     probes = nodes.orderBy(F.xxhash64(F.lit(3), "node"), "node").limit(PROBES).select("node", "copies", "v")
     ids, _, v = next(packs(probes.toArrow().combine_chunks().to_batches(), width, PROBES))
     held = spark.sparkContext.broadcast((ids, unit(v)))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many true links lie within each thousandth of the whole way."""
-        (one, two), (own, probe), found = books.value, held.value, np.zeros(1001, np.int64)
-        first, second = bounds(probe[:, :half], one), bounds(probe[:, half:], two)
+        grid, (own, probe), found = Grid(books.value, half), held.value, np.zeros(1001, np.int64)
+        (first, _), (second, _) = grid.bounds(probe)
         for ids, _, v in packs(batches, width, PACK):
             u = unit(v)
             p, q = np.nonzero((probe @ u.T >= cosine) & (own[:, None] != ids))
-            at = first[p, nearest(u[:, :half], one)[q]] + second[p, nearest(u[:, half:], two)[q]]
-            found += np.bincount(np.minimum(at / whole * 1000, 1000).astype(int), minlength=1001)
+            i, j = grid.cells(u)
+            found += np.bincount(np.minimum((first[p, i[q]] + second[p, j[q]]) / whole * 1000, 1000).astype(int), minlength=1001)
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["step", "n"])
 
     steps = nodes.mapInArrow(met, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()
-    total, so_far = sum(r.n for r in steps), 0
+    total, so_far, share = sum(r.n for r in steps), 0, 0.0
     for r in steps:
         so_far += r.n
-        if so_far >= TARGET_RECALL * total:
-            return max(2 * (r.step + 1) / 1000, 0.1) * whole
-    return 0.1 * whole
+        if so_far >= target_recall * total:
+            share = 2 * (r.step + 1) / 1000
+            break
+    reach = min(max(share, LEAST), 1) * whole
+    met_there = sum(r.n for r in steps if (r.step + 1) / 1000 * whole <= reach)
+    log.info("%d of %d true links of %d probes lie within the traversal", met_there, total, len(ids))
+    return reach
 
 
-def links(nodes: DataFrame, n: int, width: int, cosine: float, kind: type) -> DataFrame:
+def links(nodes: DataFrame, n: int, width: int, cosine: float, kind: type, target_recall: float) -> DataFrame:
     """For nodes (node, copies, v): rows (a, null, links of a) and forest edges (a, b, null).
     Vectors move as ``kind``, the type they came in."""
     spark = nodes.sparkSession
     half = (width + 1) // 2
-    k = 1 << max(2, min(10, int(np.log2(max(n / PER_CELL, 1)) / 2 + 0.5)))
+    k = max(4, min(MOST_WORDS, int(np.sqrt(n / PER_CELL) + 0.5)))
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("node", "copies", "v")
-    sample = next(packs(sample.toArrow().combine_chunks().to_batches(), width, SAMPLE))[2]
-    sample = unit(sample)
+    sample = unit(next(packs(sample.toArrow().combine_chunks().to_batches(), width, SAMPLE))[2])
     books = spark.sparkContext.broadcast((codebook(sample[:, :half], k), codebook(sample[:, half:], k) if width > 1 else np.zeros((1, 0))))
+    reach = traversal_reach(nodes, width, cosine, books, half, target_recall)
 
-    reach = traversal_reach(nodes, width, cosine, books, half)
-
-    def row(i: int, ids, extra, v) -> pa.RecordBatch:
-        packed = [pa.array([x], pa.binary()) for x in (ids.astype(np.int64).tobytes(), extra.astype(np.int64).tobytes(), v.astype(kind).tobytes())]
-        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *packed], ["i", "ids", "extra", "v"])
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many vectors of a task lie in each grid row."""
+        found, grid = np.zeros(len(books.value[0]), np.int64), Grid(books.value, half)
+        for _, _, v in packs(batches, width, 2048):
+            found += np.bincount(nearest(unit(v)[:, :half], grid.books[0]), minlength=len(found))
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["i", "n"])
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Vectors by grid row; extra: column of the cell, and copies."""
-        one, two = books.value
-        for ids, copies, v in packs(batches, width, 8 * PACK):
-            u = unit(v)
-            i, j = nearest(u[:, :half], one), nearest(u[:, half:], two)
-            for r in np.unique(i):
-                at = np.flatnonzero(i == r)
-                for a in range(0, len(at), PACK):
-                    k = at[a : a + PACK]
-                    yield row(r, ids[k], np.stack([j[k], copies[k]]), v[k])
+    pieces = np.ones(k, np.int64)
+    for r in nodes.mapInArrow(rows_of, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row a codeword
+        pieces[r.i] = -(-r.n // MEMBERS)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The vectors that visit a grid row; extra: for each its own cell, copies, and one bit a
-        column."""
-        one, two = books.value
+        """Packs of the vectors that visit a piece of a grid row: its own (guest 0), each with all
+        the cells it visits, and guests with the columns they visit in this row."""
+        grid = Grid(books.value, half)
         for ids, copies, v in packs(batches, width, PACK):
-            u = unit(v)
-            first, second = bounds(u[:, :half], one), bounds(u[:, half:], two)
-            own = nearest(u[:, :half], one), nearest(u[:, half:], two)
+            (first, own_i), (second, own_j) = grid.bounds(unit(v))
             at, i, j = traversal(first, second, reach)
-            for r in np.unique(i):
-                here = i == r
-                who, back = np.unique(at[here], return_inverse=True)
-                seen = np.zeros((len(who), len(two)), bool)
-                seen[back, j[here]] = True
-                yield row(r, ids[who], np.concatenate([own[0][who], own[1][who], copies[who], np.packbits(seen, 1).ravel()]), v[who])
-
-    schema = "i int, ids binary, extra binary, v binary"
-    held = written(nodes.mapInArrow(members, schema), "members")
-    came = written(nodes.mapInArrow(visits, schema), "visits")
+            home = (mixed(ids.astype(np.int64).view(np.uint64)) % pieces[own_i].astype(np.uint64)).astype(np.int64)
+            order = np.argsort(i, kind="stable")
+            at, i, j = at[order], i[order], j[order]
+            cell, out = own_i * grid.width + own_j, []
+
+            def pack(row: int, piece: int, guest: int, who: np.ndarray, of: np.ndarray, seen: np.ndarray):
+                """``seen`` of vectors ``of`` (places in ``who``), in any order."""
+                packed = ids[who], copies[who], cell[who], np.bincount(of, minlength=len(who)), seen[np.argsort(of, kind="stable")]
+                out.append((int(row), int(piece), guest, *(x.astype(np.int64).tobytes() for x in packed), v[who].astype(kind).tobytes()))
+
+            edge = np.flatnonzero(np.diff(i, prepend=-1))
+            for a, b in zip(edge, [*edge[1:], len(i)]):
+                row = i[a]
+                who, back = np.unique(at[a:b], return_inverse=True)
+                for piece in range(pieces[row]):
+                    guests = (own_i[who] != row) | (home[who] != piece)
+                    if guests.any():
+                        keep = guests[back]
+                        pack(row, piece, 1, who[guests], (np.cumsum(guests) - 1)[back[keep]], j[a:b][keep])
+            for row, piece in np.unique(np.stack([own_i, home], 1), axis=0).tolist():
+                who = np.flatnonzero((own_i == row) & (home == piece))
+                keep = np.isin(at, who)
+                pack(row, piece, 0, who, np.searchsorted(who, at[keep]), i[keep] * grid.width + j[keep])
+            types = pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], ["i", "piece", "guest", "ids", "copies", "cell", "n_seen", "seen", "v"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = books.value
+        """Each piece's own vectors come first; then every pack of it meets them."""
+        size = len(books.value[1])
+
+        def unpacked(r):
+            ids, copies, cell, n_seen, seen = (np.frombuffer(x.as_buffer(), np.int64) for x in r[:5])
+            return ids, copies, cell, np.repeat(np.arange(len(ids)), n_seen), seen, unit(np.frombuffer(r[5].as_buffer(), kind).reshape(len(ids), -1))
+
+        def joined(parts):
+            """Own packs as one."""
+            shift = np.cumsum([0, *(len(p[0]) for p in parts)])
+            whole = [np.concatenate([p[k] + (shift[x] if k == 3 else 0) for x, p in enumerate(parts)]) for k in range(6)]
+            column = whole[2] % size
+            order = np.argsort(column, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            ids, copies, cell, v = whole[0][order], whole[1][order], whole[2][order], whole[5][order]
+            return ids, copies, cell, np.sort(place[whole[3]] * (k * size) + whole[4]), v, np.searchsorted(column[order], np.arange(size + 1))
+
+        def met(own, guest, row):
+            """One pack against a piece's own vectors, column by column."""
+            ids, copies, cell, visited, v, column = own
+            to_ids, to_copies, to_cell, of, seen, to_v = guest
+            seen_column = seen % size if row is None else seen[seen // size == row] % size
+            of = of if row is None else of[seen // size == row]
+            order = np.argsort(seen_column, kind="stable")
+            of, seen_column = of[order], seen_column[order]
+            ps, qs = [], []
+            edge = np.flatnonzero(np.diff(seen_column, prepend=-1))
+            for a, b in zip(edge, [*edge[1:], len(of)]):
+                lo, hi = column[seen_column[a]], column[seen_column[a] + 1]
+                if lo < hi:
+                    who = of[a:b]
+                    for x in range(lo, hi, MEMBERS):
+                        y = min(hi, x + MEMBERS)
+                        p, q = np.nonzero((to_v[who] @ v[x:y].T >= cosine) & (to_ids[who][:, None] != ids[x:y]))
+                        ps.append(who[p])
+                        qs.append(q + x)
+            if not ps:
+                return None
+            p, q = np.concatenate(ps), np.concatenate(qs)
+            # Unless the member visits this vector's cell too, the link is met only here.
+            code = q * (k * size) + to_cell[p]
+            at = np.minimum(np.searchsorted(visited, code), max(len(visited) - 1, 0))
+            once = visited[at] != code
+            total = np.bincount(p, copies[q], len(to_ids)).astype(np.int64)
+            back = np.bincount(q[once], to_copies[p[once]], len(ids)).astype(np.int64)
+            names, place = np.unique(np.concatenate([to_ids, ids]), return_inverse=True)
+            node, root = forest(len(names), place[p], place[len(to_ids) + q])
+            some, more = np.flatnonzero(total), np.flatnonzero(back)
+            none = len(some) + len(more)
+            a = pa.array(np.concatenate([to_ids[some], ids[more], names[node]]))
+            b = pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(names[root])])
+            n = pa.concat_arrays([pa.array(np.concatenate([total[some], back[more]])), pa.nulls(len(node), pa.int64())])
+            return pa.RecordBatch.from_arrays([a, b, n], ["a", "b", "n"])
+
+        piece, parts, own = None, [], None
         for batch in batches:
-            for cells in zip(*batch.columns):
-                ids, extra, v, to_ids, seen, to_v = (np.frombuffer(c.as_buffer(), t) for c, t in zip(cells, (np.int64, np.int64, kind, np.int64, np.int64, kind)))
-                (j, copies), v, to_v = extra.reshape(2, -1), unit(v.reshape(len(ids), -1)), unit(to_v.reshape(len(to_ids), -1))
-                n = len(to_ids)
-                (to_i, to_j, to_copies), seen = seen[: 3 * n].reshape(3, n), np.unpackbits(seen[3 * n :].astype(np.uint8).reshape(n, -1), axis=1)[:, : len(two)]
-                first, second = bounds(v[:, :half], one), bounds(v[:, half:], two)
-                back = np.zeros(len(ids), np.int64)
-                total = np.zeros(len(to_ids), np.int64)
-                top: dict[int, int] = {}
-
-                def find(x):
-                    while top.setdefault(x, x) != x:
-                        top[x] = x = top[top[x]]
-                    return x
-
-                edges = []
-                for c in np.unique(j):
-                    who, cell = np.flatnonzero(seen[:, c]), np.flatnonzero(j == c)
-                    if not len(who):
-                        continue
-                    p, q = np.nonzero((to_v[who] @ v[cell].T >= cosine) & (to_ids[who][:, None] != ids[cell]))
-                    np.add.at(total, who[p], copies[cell[q]])
-                    # Unless the member visits this vector's cell too, the link is met only here.
-                    once = first[cell[q], to_i[who[p]]] + second[cell[q], to_j[who[p]]] > reach
-                    np.add.at(back, cell[q[once]], to_copies[who[p[once]]])
-                    for a, b in zip(to_ids[who[p]].tolist(), ids[cell[q]].tolist()):
-                        if (x := find(a)) != (y := find(b)):
-                            top[x] = y
-                            edges.append((a, b))
-                some, more = np.flatnonzero(total), np.flatnonzero(back)
-                counts = np.concatenate([total[some], back[more]]).tolist()
-                a = pa.array(np.concatenate([to_ids[some], ids[more], np.array([e[0] for e in edges], np.int64)]))
-                b = pa.array([None] * len(counts) + [e[1] for e in edges], pa.int64())
-                yield pa.RecordBatch.from_arrays([a, b, pa.array(counts + [None] * len(edges), pa.int64())], ["a", "b", "n"])
-
-    came = came.select("i", F.col("ids").alias("to_ids"), F.col("extra").alias("to_extra"), F.col("v").alias("to_v"))
-    work = held.join(came, "i").select("ids", "extra", "v", "to_ids", "to_extra", "to_v")
+            for r in zip(*(batch.column(x) for x in range(batch.num_columns))):
+                at, guest = (r[0].as_py(), r[1].as_py()), r[2].as_py()
+                if at != piece:
+                    if parts:
+                        own = joined(parts)
+                        yield from filter(None, (met(own, p, piece[0]) for p in parts))
+                    piece, parts, own = at, [], None
+                if not guest:
+                    parts.append(unpacked(r[3:]))
+                    continue
+                if parts:
+                    own = joined(parts)
+                    yield from filter(None, (met(own, p, piece[0]) for p in parts))
+                    parts = []
+                if own and (found := met(own, unpacked(r[3:]), None)):
+                    yield found
+        if parts:
+            own = joined(parts)
+            yield from filter(None, (met(own, p, piece[0]) for p in parts))
+
+    schema = "i int, piece int, guest int, ids binary, copies binary, cell binary, n_seen binary, seen binary, v binary"
+    work = nodes.mapInArrow(visits, schema).repartition("i", "piece").sortWithinPartitions("i", "piece", "guest")
     return written(work.mapInArrow(compared, "a long, b long, n long"), "vector-links")
 
 

@@ -26,11 +26,13 @@ def filled(v, dims=12):
     return np.array([*v, *[0.0] * (dims - len(v))])
 
 
-@pytest.mark.parametrize("cosine", [0.95, 0.5])
-def test_near_duplicates(spark, cosine):
+@pytest.mark.parametrize("cosine,members,pack", [(0.95, 8192, 512), (0.5, 5, 16)])
+def test_near_duplicates(spark, monkeypatch, cosine, members, pack):
+    monkeypatch.setattr(near_dedup, "MEMBERS", members)
+    monkeypatch.setattr(near_dedup, "PACK", pack)
     rows = vectors(1)
     frame = spark.createDataFrame(rows, SCHEMA).withColumns({"node": F.lit(1), "copies": F.lit("x")}).repartition(6)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame, cosine=cosine).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame, cosine=cosine, target_recall=1.0).collect()}
     ok = [(i, filled(v)) for i, v, _ in rows if i is not None and usable(v) and any(v)]
     forest, links = brute.Forest([i for i, _, _ in rows if i is not None]), {}
     for i, a in ok:
@@ -42,6 +44,31 @@ def test_near_duplicates(spark, cosine):
     assert got == want
 
 
+def test_recall_of_near_duplicates(spark, caplog):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    with caplog.at_level("INFO", near_dedup.log.name):
+        got = {r.vec_id: r.n_links for r in near_dedup.near_duplicates(frame).collect()}
+    assert "true links" in caplog.text
+    rows = frame.select("vec_id", "embedding").collect()
+    v = np.array([r.embedding for r in rows], float)
+    v /= np.sqrt((v**2).sum(1))[:, None]
+    true = {r.vec_id: int((v @ v[k] >= 0.95).sum()) - 1 for k, r in enumerate(rows) if r.vec_id % 100 == 0}
+    assert len(true) >= 50 and sum(true.values()) > 0
+    assert all(got[i] <= n for i, n in true.items())
+    assert sum(got[i] for i in true) >= 0.99 * sum(true.values())
+
+
+def test_forest_of_links():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (50, 20), (200, 180), (300, 2000)):
+        p, q = rng.integers(n, size=(2, m))
+        plain = brute.Forest(range(n))
+        for a, b in zip(p.tolist(), q.tolist()):
+            plain.link(a, b)
+        node, root = near_dedup.forest(n, p, q)
+        assert dict(zip(node.tolist(), root.tolist())) == {i: plain.find(i) for i in range(n) if plain.find(i) != i}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame([(5, None, 1)], SCHEMA)).collect()] == [(5, 0, 5, True)]
