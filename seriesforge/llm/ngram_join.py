@@ -216,8 +216,9 @@ def postings(docs: DataFrame, frequent, light: int) -> DataFrame:
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's postings those whose list has two nodes or is shared with other tasks, with the
-    list's pivot: its smallest node, in a light list its smallest set."""
+    """Of a task's postings those whose set may link with another of its list, or whose list is
+    shared with other tasks, with the list's pivot: its smallest node, in a light list its smallest
+    set."""
     columns = [[x.to_numpy() for x in b.columns] for b in batches if b.num_rows]
     if not columns:
         return
@@ -229,8 +230,19 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, part, node, at = key[stay], part[stay], node[stay], at[stay]
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
     n = np.diff(first, append=len(key))
+    size = at >> 32
+    left = size - (at & PLACE)
+    able = (np.repeat(n, n) > 1) & (part < 0) | (part > 0) | (part < -1)
+    two = first[(n == 2) & (part[first] == 0)]
+    able[two] = able[two + 1] = may_link(size[two], left[two], size[two + 1], left[two + 1])
+    for a, m in zip(first[(n > 2) & (part[first] == 0)], n[(n > 2) & (part[first] == 0)]):
+        for x in range(a, a + m, 512) if m <= LIST_ROWS else ():
+            y, z = min(x + 512, a + m), a + m
+            able[x:y] = may_link(size[x:y, None], left[x:y, None], size[a:z], left[a:z]).sum(1) > may_link(size[x:y], left[x:y], size[x:y], left[x:y])
+        if m > LIST_ROWS:
+            able[a : a + m] = True
     pivot, pivot_at = np.repeat(node[first], n), np.repeat(at[first], n)
-    some = np.flatnonzero((np.repeat(n, n) > 1) | (part > 0) | (part < -1))
+    some = np.flatnonzero(able)
     for a in range(0, len(some), 200_000):
         k = some[a : a + 200_000]
         yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (key, part, node, at, pivot, pivot_at)], ["key", "part", "node", "at", "pivot", "pivot_at"])
@@ -309,7 +321,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("x", "y"))
     both = pairs.join(one, "x").join(two, "y").select("x", "y", "x_set", "y_set")
-    return both.mapInArrow(shared, "a long, b long")
+    return both.mapInArrow(shared, "a long, b long").distinct()
 
 
 def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,12 +338,14 @@ def links(docs: DataFrame, nodes: DataFrame, frequent, light: int) -> DataFrame:
     """Edges (a, b) between nodes of ``docs`` (id, text) that connect all that links; ``nodes``
     (node, id): one document for each set."""
     lists = written(postings(docs, frequent, light).repartition("key", "part").mapInArrow(met, "key long, part int, node long, at long, pivot long, pivot_at long"), "lists")
-    # The pivots of the parts of one list meet in the smallest of them.
-    split = lists.where("(part > 0 OR part < -1) AND node = pivot")
-    smallest = F.min(F.struct(F.when(F.col("part") < 0, F.shiftright("at", 32)), F.col("node").alias("pivot"), F.col("at").alias("pivot_at")))
-    top = split.groupBy("key", (F.col("part") < 0).alias("light")).agg(smallest.alias("top")).select("key", "light", "top.pivot", "top.pivot_at")
-    heads = split.select("key", (F.col("part") < 0).alias("light"), "node", "at").join(top, ["key", "light"])
-    met_once = lists.select("key", (F.col("part") < 0).alias("light"), "node", "at", "pivot", "pivot_at").union(heads).where("node <> pivot")
+    # Pivots of lists in parts meet in the smallest of them; a light list needs that for all its members.
+    lists = lists.withColumn("light", F.col("part") < 0)
+    split = lists.where("part > 0 OR part < -1")
+    smallest = F.min(F.struct(F.when(F.col("light"), F.shiftright("at", 32)), F.col("node").alias("pivot"), F.col("at").alias("pivot_at")))
+    top = split.where("node = pivot").groupBy("key", "light").agg(smallest.alias("top")).select("key", "light", "top.pivot", "top.pivot_at")
+    top = written(top, "tops")
+    heads = split.where("light OR node = pivot").select("key", "light", "node", "at").join(top, ["key", "light"])
+    met_once = lists.where("part >= -1").select("key", "light", "node", "at", "pivot", "pivot_at").union(heads).where("node <> pivot")
     size, left = size_and_left("at")
     least, pivot_left = size_and_left("pivot_at")
     subset = F.col("at").bitwiseAND(F.lit(PLACE))
@@ -341,10 +355,11 @@ def links(docs: DataFrame, nodes: DataFrame, frequent, light: int) -> DataFrame:
     stars = met_once.where(~F.col("light") & may_link(size, left, least, pivot_left, F.least)).select(*pair)
     stars = written(stars.distinct(), "stars")
     heavy = lists.where("part >= 0")
-    # All nodes of heavy lists may be asked for; their sets are made once.
-    named = heavy.select("node").distinct().join(nodes, "node")
-    wanted = docs.join(named.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(shingled, "node long, shingles binary")
-    sets = written(wanted.join(named.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    # All nodes of heavy lists may be asked for; their sets are made once, from one row for each id and text.
+    named = written(heavy.select("node").union(heads.where(~F.col("light")).select("pivot")).distinct().join(nodes, "node"), "named")
+    wanted = docs.join(named.select("id").distinct(), "id", "left_semi").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    sets = wanted.select("id", "text").mapInArrow(shingled, "node long, shingles binary")
+    sets = written(sets.join(named.select("node"), "node", "left_semi"), "sets")
     near = written(verified(stars, sets), "star-links").union(found)
     label = components(near).withColumnRenamed("component", "label")
     held = heavy.select("key", "node", "at").distinct().join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
