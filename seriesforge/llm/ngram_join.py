@@ -10,8 +10,8 @@ least by counts over all texts.
 
 A heavy list first compares all its members with one of them only, its pivot (equal sets are one
 node, so copies never meet here). What the pivots have brought together need not be compared any
-more; then the pairs of each list whose members still lie in different components are compared, as
-far as their sizes and the places of the shingle allow a link, in blocks where a list is long. All
+more; then each set scans its lists for members that still lie in another component, and those
+that share as many lists with it as a link takes are compared, in blocks where a list is long. All
 pairs are verified on the whole sets. So a group of thousands of near copies costs a comparison for
 each member and list, and no link between different components is lost.
 
@@ -216,9 +216,8 @@ def postings(docs: DataFrame, frequent, light: int) -> DataFrame:
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's postings those whose set may link with another of its list, or whose list is
-    shared with other tasks, with the list's pivot: its smallest node, in a light list its smallest
-    set."""
+    """Of a task's postings those whose list has two nodes or is shared with other tasks, with the
+    list's pivot: its smallest node, in a light list its smallest set."""
     columns = [[x.to_numpy() for x in b.columns] for b in batches if b.num_rows]
     if not columns:
         return
@@ -230,79 +229,91 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, part, node, at = key[stay], part[stay], node[stay], at[stay]
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
     n = np.diff(first, append=len(key))
-    size = at >> 32
-    left = size - (at & PLACE)
-    able = (np.repeat(n, n) > 1) & (part < 0) | (part > 0) | (part < -1)
-    two = first[(n == 2) & (part[first] == 0)]
-    able[two] = able[two + 1] = may_link(size[two], left[two], size[two + 1], left[two + 1])
-    for a, m in zip(first[(n > 2) & (part[first] == 0)], n[(n > 2) & (part[first] == 0)]):
-        for x in range(a, a + m, 512) if m <= LIST_ROWS else ():
-            y, z = min(x + 512, a + m), a + m
-            able[x:y] = may_link(size[x:y, None], left[x:y, None], size[a:z], left[a:z]).sum(1) > may_link(size[x:y], left[x:y], size[x:y], left[x:y])
-        if m > LIST_ROWS:
-            able[a : a + m] = True
     pivot, pivot_at = np.repeat(node[first], n), np.repeat(at[first], n)
-    some = np.flatnonzero(able)
+    some = np.flatnonzero((np.repeat(n, n) > 1) | (part > 0) | (part < -1))
     for a in range(0, len(some), 200_000):
         k = some[a : a + 200_000]
         yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (key, part, node, at, pivot, pivot_at)], ["key", "part", "node", "at", "pivot", "pivot_at"])
 
 
-def may_link(a, left, b, right, least=np.minimum):
-    """Whether sets of sizes a and b in one list can link: by their sizes, and by what they can
-    still share, from this shingle on (left, right), if it is the first that they have in common."""
-    return (5 * a >= 4 * b) & (5 * b >= 4 * a) & (9 * least(left, right) >= 4 * (a + b))
+def near_sizes(a, b):
+    """Whether sets of sizes a and b can link. On columns or arrays."""
+    return (5 * a >= 4 * b) & (5 * b >= 4 * a)
 
 
-def size_and_left(at) -> tuple[Column, Column]:
-    """Of the column of a list entry: the size of its set, and how many of it are left."""
-    size = F.shiftright(at, 32)
-    return size, size - F.col(at).bitwiseAND(F.lit(PLACE))
+def shared_lists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many lists sets of sizes a and b share at least if they link: what they have in common
+    beyond the prefix that ends first in the order is no more than what that set has there."""
+    return np.maximum(common(a, b) - np.maximum(a - prefix(a), b - prefix(b)), 1)
 
 
 def across(lists: DataFrame) -> DataFrame:
-    """Pairs (x, y) of nodes that share a list (rows key, node, at, label), may link by it, and
-    have different labels. Long lists are worked on in pairs of parts."""
+    """Pairs (x, y) of nodes with different labels that share as many lists (rows key, node, size,
+    label) as a link takes. Long lists are worked on in pairs of parts; a set's partners travel
+    packed, a row for each set and list, and are counted set by set."""
     several = lists.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
     several = written(several.where("low < high").select("key", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("parts")), "mixed-lists")
-    rows = lists.join(several, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.select("key", "node", "at", "label", F.col("part").alias("own"), other.alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "at", "label", "own")
+    rows = lists.join(several, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = rows.select("key", "node", "size", "label", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "size", "label", "own")
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each set of a list with those of the same size or larger that have another label."""
         columns = [[x.to_numpy() for x in b.columns] for b in batches if b.num_rows]
         if not columns:
             return
-        key, low, high, node, at, label, own = (np.concatenate(c) for c in zip(*columns))
-        order = np.lexsort((node, at, high, low, key))
-        key, low, high, node, at, label, own = (c[order] for c in (key, low, high, node, at, label, own))
+        key, low, high, node, size, label, own = (np.concatenate(c) for c in zip(*columns))
+        order = np.lexsort((node, size, high, low, key))
+        key, low, high, node, size, label, own = (c[order] for c in (key, low, high, node, size, label, own))
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-        size = at >> 32
-        left = size - (at & PLACE)
-        found, held = [], 0
+        out: list[tuple] = []
+        held = 0
 
         def sent():
-            pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+            types = pa.int64(), pa.int64(), pa.binary(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], ["x", "size", "partners", "sizes"])
 
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
-            whole = low[a] == high[a]
             reach = np.searchsorted(size[a:b], size[a:b] * 5 // 4, "right") + a  # sorted by size
+            whole = low[a] == high[a]
             for i in range(a, b - 1):
                 j = np.arange(i + 1, reach[i - a])
-                j = j[(label[j] != label[i]) & may_link(size[i], left[i], size[j], left[j])]
-                j = j if whole else j[own[j] != own[i]]
+                j = j[label[j] != label[i]] if whole else j[(label[j] != label[i]) & (own[j] != own[i])]
                 if len(j):
-                    found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
+                    out.append((int(node[i]), int(size[i]), node[j].tobytes(), size[j].astype(np.int32).tobytes()))
                     held += len(j)
-                if held > PAIRS:
+                if held > PAIRS or len(out) > 20_000:
                     yield sent()
-                    found, held = [], 0
-        if held:
+                    out, held = [], 0
+        if out:
             yield sent()
 
-    return rows.repartition("key", "low", "high").mapInArrow(paired, "x long, y long").distinct()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The partners of each set (its rows are neighbours) that share enough lists with it."""
+
+        def enough(x: int, size: int, partners: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+            names, first, n = np.unique(np.concatenate(partners), return_index=True, return_counts=True)
+            return names[n >= shared_lists(np.int64(size), np.concatenate(sizes)[first].astype(np.int64))]
+
+        now, partners, sizes = None, [], []
+        for batch in batches:
+            out = []
+            for x, size, some, their in zip(*(batch.column(c) for c in range(4))):
+                own = x.as_py(), size.as_py()
+                if own != now:
+                    if partners:
+                        out.append((now[0], enough(*now, partners, sizes)))
+                    now, partners, sizes = own, [], []
+                partners.append(np.frombuffer(some.as_buffer(), np.int64))
+                sizes.append(np.frombuffer(their.as_buffer(), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x for x, _ in out], np.int64), [len(y) for _, y in out])), pa.array(np.concatenate([np.zeros(0, np.int64), *(y for _, y in out)]))], ["x", "y"])
+            partners, sizes = [p.copy() for p in partners], [p.copy() for p in sizes]
+        if partners:
+            y = enough(*now, partners, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), now[0])), pa.array(y)], ["x", "y"])
+
+    packed = rows.repartition("key", "low", "high").mapInArrow(paired, "x long, size long, partners binary, sizes binary")
+    return packed.repartition("x").sortWithinPartitions("x", "size").mapInArrow(counted, "x long, y long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -334,36 +345,40 @@ def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(block.prints()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
 
+def sets_of(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes of ``pairs``, from one row of ``docs`` for each id and text."""
+    named = pairs.select("x").union(pairs.select("y")).distinct().join(nodes, F.col("x") == F.col("node")).select("node", "id")
+    named = written(named, "named")
+    wanted = docs.join(named.select("id").distinct(), "id", "left_semi").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    sets = wanted.select("id", "text").mapInArrow(shingled, "node long, shingles binary")
+    return written(sets.join(named.select("node"), "node", "left_semi"), "sets")
+
+
 def links(docs: DataFrame, nodes: DataFrame, frequent, light: int) -> DataFrame:
     """Edges (a, b) between nodes of ``docs`` (id, text) that connect all that links; ``nodes``
     (node, id): one document for each set."""
-    lists = written(postings(docs, frequent, light).repartition("key", "part").mapInArrow(met, "key long, part int, node long, at long, pivot long, pivot_at long"), "lists")
+    lists = postings(docs, frequent, light).repartition("key", "part").mapInArrow(met, "key long, part int, node long, at long, pivot long, pivot_at long")
+    lists = written(lists, "lists").withColumn("light", F.col("part") < 0)
     # Pivots of lists in parts meet in the smallest of them; a light list needs that for all its members.
-    lists = lists.withColumn("light", F.col("part") < 0)
     split = lists.where("part > 0 OR part < -1")
     smallest = F.min(F.struct(F.when(F.col("light"), F.shiftright("at", 32)), F.col("node").alias("pivot"), F.col("at").alias("pivot_at")))
     top = split.where("node = pivot").groupBy("key", "light").agg(smallest.alias("top")).select("key", "light", "top.pivot", "top.pivot_at")
     top = written(top, "tops")
     heads = split.where("light OR node = pivot").select("key", "light", "node", "at").join(top, ["key", "light"])
-    met_once = lists.where("part >= -1").select("key", "light", "node", "at", "pivot", "pivot_at").union(heads).where("node <> pivot")
-    size, left = size_and_left("at")
-    least, pivot_left = size_and_left("pivot_at")
-    subset = F.col("at").bitwiseAND(F.lit(PLACE))
-    pair = F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")
-    found = met_once.where(F.col("light") & (9 * subset >= 4 * (size + least))).select(*pair).distinct()
-    found = written(found.toDF("a", "b"), "light-links")
-    stars = met_once.where(~F.col("light") & may_link(size, left, least, pivot_left, F.least)).select(*pair)
-    stars = written(stars.distinct(), "stars")
-    heavy = lists.where("part >= 0")
-    # All nodes of heavy lists may be asked for; their sets are made once, from one row for each id and text.
-    named = written(heavy.select("node").union(heads.where(~F.col("light")).select("pivot")).distinct().join(nodes, "node"), "named")
-    wanted = docs.join(named.select("id").distinct(), "id", "left_semi").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    sets = wanted.select("id", "text").mapInArrow(shingled, "node long, shingles binary")
-    sets = written(sets.join(named.select("node"), "node", "left_semi"), "sets")
-    near = written(verified(stars, sets), "star-links").union(found)
+    met_once = lists.where("part >= -1").select("key", "light", "node", "at", "pivot", "pivot_at")
+    met_once = met_once.union(lists.where("part > 0").select(*met_once.columns)).union(heads).where("node <> pivot")
+    met_once = met_once.select("light", F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"), F.shiftright("at", 32).alias("a"), F.shiftright("pivot_at", 32).alias("b"), F.col("at").bitwiseAND(F.lit(PLACE)).alias("c"))
+    found = written(met_once.where("light AND 9 * c >= 4 * (a + b)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "light-links")
+    stars = met_once.where(~F.col("light") & near_sizes(F.col("a"), F.col("b")))
+    stars = stars.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.min("b").alias("b"))
+    left = lambda n: F.ceil(4 * n / 5) - 1  # noqa: E731  what a set has beyond its prefix
+    stars = written(stars.where(F.col("n") >= F.expr("ceil(4 * (a + b) / 9)") - F.greatest(left(F.col("a")), left(F.col("b")))).select("x", "y"), "stars")
+    near = written(verified(stars, sets_of(stars, docs, nodes)), "star-links").union(found)
     label = components(near).withColumnRenamed("component", "label")
-    held = heavy.select("key", "node", "at").distinct().join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return near.union(written(verified(across(held), sets), "cross-links"))
+    heavy = lists.where(~F.col("light")).select("key", "node", F.shiftright("at", 32).alias("size")).distinct()
+    heavy = heavy.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pairs = written(across(heavy), "pairs")
+    return near.union(written(verified(pairs, sets_of(pairs, docs, nodes)), "cross-links"))
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
