@@ -217,12 +217,13 @@ def postings(docs: DataFrame, frequent, light: int) -> DataFrame:
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's postings those whose list has two nodes or is shared with other tasks, with the
-    list's pivot: its smallest node, in a light list its smallest set."""
+    list's pivot: in a light list its smallest set, in a heavy one the set that has the shingle
+    earliest in the order, as it has the fewest rare ones of its own (an original among its copies)."""
     columns = [[x.to_numpy() for x in b.columns] for b in batches if b.num_rows]
     if not columns:
         return
     key, part, node, at = (np.concatenate(c) for c in zip(*columns))
-    order = np.lexsort((node, np.where(part < 0, at >> 32, 0), part, key))
+    order = np.lexsort((node, np.where(part < 0, at >> 32, at & PLACE), part, key))
     key, part, node, at = key[order], part[order], node[order], at[order]
     same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
     stay = np.concatenate([[True], ~same | (node[1:] != node[:-1])])
@@ -349,7 +350,8 @@ def sets_of(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes of ``pairs``, from one row of ``docs`` for each id and text."""
     named = pairs.select("x").union(pairs.select("y")).distinct().join(nodes, F.col("x") == F.col("node")).select("node", "id")
     named = written(named, "named")
-    wanted = docs.join(named.select("id").distinct(), "id", "left_semi").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    # Texts and ids both grow with the input: they are shuffled at any size.
+    wanted = docs.join(named.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text"))
     sets = wanted.select("id", "text").mapInArrow(shingled, "node long, shingles binary")
     return written(sets.join(named.select("node"), "node", "left_semi"), "sets")
 
@@ -361,18 +363,19 @@ def links(docs: DataFrame, nodes: DataFrame, frequent, light: int) -> DataFrame:
     lists = written(lists, "lists").withColumn("light", F.col("part") < 0)
     # Pivots of lists in parts meet in the smallest of them; a light list needs that for all its members.
     split = lists.where("part > 0 OR part < -1")
-    smallest = F.min(F.struct(F.when(F.col("light"), F.shiftright("at", 32)), F.col("node").alias("pivot"), F.col("at").alias("pivot_at")))
+    smallest = F.min(F.struct(F.when(F.col("light"), F.shiftright("at", 32)).otherwise(F.col("at").bitwiseAND(F.lit(PLACE))), F.col("node").alias("pivot"), F.col("at").alias("pivot_at")))
     top = split.where("node = pivot").groupBy("key", "light").agg(smallest.alias("top")).select("key", "light", "top.pivot", "top.pivot_at")
     top = written(top, "tops")
     heads = split.where("light OR node = pivot").select("key", "light", "node", "at").join(top, ["key", "light"])
     met_once = lists.where("part >= -1").select("key", "light", "node", "at", "pivot", "pivot_at")
     met_once = met_once.union(lists.where("part > 0").select(*met_once.columns)).union(heads).where("node <> pivot")
-    met_once = met_once.select("light", F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"), F.shiftright("at", 32).alias("a"), F.shiftright("pivot_at", 32).alias("b"), F.col("at").bitwiseAND(F.lit(PLACE)).alias("c"))
+    size, other, place, spot = F.shiftright("at", 32), F.shiftright("pivot_at", 32), F.col("at").bitwiseAND(F.lit(PLACE)), F.col("pivot_at").bitwiseAND(F.lit(PLACE))
+    met_once = met_once.select("light", F.col("node").alias("x"), F.col("pivot").alias("y"), size.alias("a"), other.alias("b"), place.alias("c"), spot.alias("d"))
     found = written(met_once.where("light AND 9 * c >= 4 * (a + b)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "light-links")
+    # A pivot may change from list to list: larger sets must meet one twice, and once where all before may differ.
     stars = met_once.where(~F.col("light") & near_sizes(F.col("a"), F.col("b")))
-    stars = stars.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.min("b").alias("b"))
-    left = lambda n: F.ceil(4 * n / 5) - 1  # noqa: E731  what a set has beyond its prefix
-    stars = written(stars.where(F.col("n") >= F.expr("ceil(4 * (a + b) / 9)") - F.greatest(left(F.col("a")), left(F.col("b")))).select("x", "y"), "stars")
+    stars = stars.groupBy("x", "y").agg(F.count("*").alias("n"), F.max(F.least(F.expr("a - c"), F.expr("b - d"))).alias("left"), F.min(F.expr("a + b")).alias("both"))
+    stars = written(stars.where("9 * left >= 4 * both AND n >= IF(both < 80, 1, 2)").select("x", "y"), "stars")
     near = written(verified(stars, sets_of(stars, docs, nodes)), "star-links").union(found)
     label = components(near).withColumnRenamed("component", "label")
     heavy = lists.where(~F.col("light")).select("key", "node", F.shiftright("at", 32).alias("size")).distinct()
