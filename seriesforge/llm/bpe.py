@@ -45,6 +45,64 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def folded(text: str) -> str:
+    """NFC, then each code point in lower case on its own (no context rules), by Python's tables."""
+    text = unicodedata.normalize("NFC", text)
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
+@lru_cache(maxsize=2)
+def unlike(path: str) -> dict[str, str]:
+    """Code points that the library's Unicode tables treat otherwise than Python's, by what the
+    library's pre-tokenizer takes them for: L, N, S(pace) or O(ther). All code points are probed:
+    among letters (other signs) of its own kind each joins the run, and only the odd ones part it."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    split, fold = library.pre_tokenizer, library.normalizer
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    own = {"L": set(regex.findall(r"\p{L}", every)), "N": set(regex.findall(r"\p{N}", every)), "S": set(regex.findall(r"\s", every))}
+    odd = own["N"] | own["S"]
+    for among, points in (("a", own["L"]), ("!", set(every) - own["L"] - odd)):
+        text = among + "".join(c + among for c in points)
+        joined = [False] * len(text)
+        for _, (start, end) in split.pre_tokenize_str(text):
+            if end - start > 1:
+                joined[start:end] = [True] * (end - start)
+        odd |= {c for c, j in zip(text, joined) if not j and c != among}
+    before = [c for c in every if c != "!" and not c.isspace()]
+    text = "!".join(before)
+    ours = folded(text).split("!")
+    odd |= {c for c, x, y in zip(before, ours, fold.normalize_str(text).split("!"), strict=True) if x != y}
+    odd |= {c for c, x in zip(before, ours) if x != c and not odd.isdisjoint(x)}
+    kinds = {1: "L", 2: "S", 3: "O", 4: "N"}  # pre-tokens of a code point that stands twice between two letters
+    found = {c: kinds[len(split.pre_tokenize_str(f"a{c}{c}b"))] for c in odd}
+    usual = {c: next((k for k, known in own.items() if c in known), "O") for c in odd}
+    other = {c for c in odd if found[c] != usual[c]}
+    return {c: found[c] for c in odd if c in other or found[c] != "S" and (folded(c) != fold.normalize_str(c) or not other.isdisjoint(folded(c)))}
+
+
+def ranges(points: list[int]) -> str:
+    """Code points as the inside of a character class."""
+    points = sorted(points)
+    first = [c for k, c in enumerate(points) if not k or points[k - 1] != c - 1]
+    last = [c for k, c in enumerate(points) if k + 1 == len(points) or points[k + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last))
+
+
+def exact_pattern(odd: dict[str, str]) -> str:
+    """``WORD_PATTERN`` with the library's letters, numbers and spaces."""
+
+    def kind(base: str, name: str) -> str:
+        more = ranges([ord(c) for c, k in odd.items() if k == name])
+        less = ranges([ord(c) for c, k in odd.items() if k != name])
+        return f"[[{base}{more}]--[{less}]]" if less else f"[{base}{more}]"
+
+    letter, number, space = kind(r"\p{L}", "L"), kind(r"\p{N}", "N"), kind(r"\s", "S")
+    pattern = WORD_PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}||{letter}||{number}]")
+    return pattern.replace(r"[\p{L}]", letter).replace(r"[\p{N}]", number)
+
+
 class Generations(dict):
     """A bounded cache: when the young generation is full it becomes the old one, whose entries
     return when they are used again. ``make`` computes an entry that neither has."""
@@ -77,7 +135,9 @@ class Generations(dict):
 class Codec:
     """Encodes and decodes with a public BPE vocabulary file (JSON)."""
 
-    def __init__(self, path: str, cache_entries: int = 100_000):
+    def __init__(self, path: str, odd: dict[str, str] | None = None, cache_entries: int = 100_000):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -93,19 +153,24 @@ class Codec:
         letters = byte_letters()
         self.inner = [self.vocab.get(c) for c in letters]
         self.final = [self.vocab.get(c + self.suffix) for c in letters]
-        self.folds = spec["normalizer"] is not None
+        self.normalizer = Tokenizer.from_file(path).normalizer
         self.bytes_back = spec["decoder"] is not None
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.pre_token = regex.compile(WORD_PATTERN if self.suffix else BYTE_PATTERN)
+        if self.suffix:
+            odd = unlike(path) if odd is None else odd
+            self.odd = frozenset(odd)
+            self.exact = regex.compile(exact_pattern(odd), regex.V1)
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")")
         self.known = Generations(self._entry, cache_entries)
 
-    def normalize(self, text: str) -> str:
-        """NFC, then each code point in lower case on its own (no context rules)."""
-        if not self.folds:
-            return text
-        text = unicodedata.normalize("NFC", text)
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+    def words(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special tokens, normalised as the library does."""
+        if self.normalizer is None:
+            return self.pre_token.findall(text)
+        if text.isascii() or self.odd.isdisjoint(text):
+            return self.pre_token.findall(folded(text))
+        return self.exact.findall(self.normalizer.normalize_str(text))
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The ids left when no adjacent pair can be merged."""
@@ -184,7 +249,7 @@ class Codec:
                 ids.append(special.to_bytes(4, "little"))
                 decoded.append(piece.encode())
             elif piece:
-                for i, d in map(self.known.__getitem__, self.pre_token.findall(self.normalize(piece))):
+                for i, d in map(self.known.__getitem__, self.words(piece)):
                     ids.append(i)
                     decoded.append(d)
         self.known.turn()
@@ -195,9 +260,9 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def codec(path: str, odd: tuple[tuple[str, str], ...] | None = None) -> Codec:
     """One codec for each worker and file."""
-    return Codec(path)
+    return Codec(path, None if odd is None else dict(odd))
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep_text: bool = True) -> DataFrame:
@@ -207,9 +272,11 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     small_batches(df.sparkSession)
     at = [df.columns.index(c) for c in kept]
     where = df.columns.index(text)
+    with open(vocabulary, encoding="utf-8") as f:
+        odd = tuple(unlike(vocabulary).items()) if json.load(f)["model"].get("end_of_word_suffix") else ()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary)
+        c = codec(vocabulary, odd)
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 part = batch.slice(a, BATCH)
@@ -227,7 +294,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
 
     @F.arrow_udf(T.StringType())
     def text_of(packed: pa.Array) -> pa.Array:
-        c = codec(vocabulary)
+        c = codec(vocabulary, ())  # decoding needs no pre-tokens
         return pa.array([c.decode(memoryview(p.as_py() or b"").cast("I").tolist()) for p in packed], pa.string())
 
     return df.withColumn(decoded, text_of(F.col(ids)))

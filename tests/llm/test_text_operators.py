@@ -44,6 +44,15 @@ def test_bpe_merges_of_random_text():
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_of_every_code_point():
+    library, own = Tokenizer.from_file(WORDS), bpe.Codec(WORDS)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 20000):
+        text = "".join(f"a{c}b {c}9 " for c in points[a : a + 20000])
+        ids, _ = own.encode(text)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(text, add_special_tokens=False).ids, hex(ord(points[a]))
+
+
 def test_byte_level_round_trip():
     own = bpe.Codec(BYTES)
     for text in TEXTS:
