@@ -12,14 +12,14 @@ page of the tree, and near copies don't count as differing), so an article that
 stays; its paragraphs and headings are never judged, and are no part of its wrappers' content.
 
 Defined results: null or empty html has no text; broken markup is read as far as it goes, unclosed
-elements end with their parent; a page without any text gives the empty string; repeated rows each
+elements end with their parent, and those nested deeper than ``DEEPEST`` count as neighbours; a page without any text gives the empty string; repeated rows each
 give their row; pages without a host form a site of their own; extra columns pass through.
 """
 
 from __future__ import annotations
 
 import html as entities
-
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +56,8 @@ TOKEN = regex.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>
 #: Elements whose content is raw text: no tag or comment opens in it, only their own end tag counts.
 RAW_END = {tag: regex.compile(rf"</{tag}(?![^\s/>])[^>]*>?", regex.I) for tag in ("script", "style", "textarea", "iframe")}
 ATTRIBUTE = regex.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
+#: Elements nested deeper are read as if they stood beside each other; their text stays.
+DEEPEST = 200
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)"
 
 MIN_PAGES = 4
@@ -95,6 +97,7 @@ def parsed(page: str | None) -> Node:
     """The element tree of a page."""
     root = Node("", 0, False, False)
     stack = [root]
+    flat: Counter[str] = Counter()  # open elements that are too deep for the stack
     for m in tokens(page or ""):
         close, tag, attributes, text = m.groups()
         if text is not None:
@@ -104,6 +107,11 @@ def parsed(page: str | None) -> Node:
             continue
         tag = tag.lower()
         if close:
+            if flat[tag]:
+                flat[tag] -= 1
+                if tag in BLOCKS:  # an empty block, where the line ends
+                    stack[-1].parts.append(Node(tag, stack[-1].key, stack[-1].main, False))
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
@@ -143,7 +151,11 @@ def parsed(page: str | None) -> Node:
             for above in stack:
                 above.holds = True
         up.parts.append(node)
-        if not attributes.endswith("/"):
+        if attributes.endswith("/") and any(n.tag == "math" for n in stack):
+            continue  # elsewhere HTML takes no notice of the slash
+        if len(stack) > DEEPEST and (stack[-1].gone or not gone):
+            flat[tag] += 1
+        else:
             stack.append(node)
     return root
 

@@ -253,6 +253,15 @@ def test_html_article_text_is_not_dropped_by_name():
         assert text.split() == "Search Work Note Law Period Cell Caption So x and Object Comments".split()
 
 
+def test_html_deep_nesting_and_slashes(spark):
+    deep = "<div>" * 5000 + "<p>inner</p>more<p>lines</p><nav>no<ul><li>no</li></ul></nav>" + "</div>" * 5000
+    rows = [(1, "http://d/", f"<article><p>a</p>{deep}<p>z</p></article>"), (2, "http://d/", deep), (3, "http://d/", "<nav>" * 3000 + "no" + "</nav>" * 3000 + "<p>yes"), (4, "http://d/", "<b>" * 4000 + "bold")]
+    rows += [(5, "http://d/", "<article><p>see <a href=http://x/>the link</a> and <math><mspace/><mi>x</mi></math><div/>end</article><p>no"), (6, "http://d/", "<article>" + "word " * 400_000 + "</article>")]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1] == "a\ninner\nmore\nlines\nz" and out[2] == "inner\nmore\nlines" and out[3] == "yes" and out[4] == "bold"
+    assert out[5] == "see the link and x\nend" and out[6] == " ".join(["word"] * 400_000)
+
+
 def test_html_copies_of_an_article_stay(spark):
     page = lambda t: f"<body><div class='top'><p>Top</p></div><div class='wrap'><article><h1>{t}</h1><p>Text of {t}</p></article></div></body>"
     plain = lambda t: f"<body><div class='mid'><h1>{t}</h1><p>Text of {t}</p></div></body>"
