@@ -5,7 +5,7 @@ Schemas are explicit. A session's identity is in its file's name: ``animal_{id}_
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CURVE = "curve STRING, time_min DOUBLE, value DOUBLE"
 _POINTS = "STRUCT<time_min ARRAY<DOUBLE>, value ARRAY<DOUBLE>>"
@@ -16,9 +16,17 @@ NAME = r"animal_([^_/]+)_([0-9]{4}-[0-9]{2}-[0-9]{2})(?:_([0-9]{4}))?\.csv$"
 FLOW, PRESSURE = "Flusso_kg_min", "Pressione_assoluta_0.1bar"
 
 
+def session_file() -> Column:
+    """The session file that a row was read from: the folder's name where sessions are folders, as
+    ``write_sessions`` makes them, else the file's own."""
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, r"/csv_name=([^/]+)/[^/]*$", 1)
+    return F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(F.col("_metadata.file_name"))
+
+
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """(animal_id, date_iso, time_hhmm, curve, t, v, file) of all session files under ``path``."""
-    rows = spark.read.schema(CURVE).option("header", True).csv(path).withColumn("file", F.col("_metadata.file_name"))
+    rows = spark.read.schema(CURVE).option("header", True).csv(path).withColumn("file", session_file())
     part = lambda k: F.nullif(F.regexp_extract("file", NAME, k), F.lit(""))
     return rows.select(part(1).alias("animal_id"), part(2).alias("date_iso"), part(3).alias("time_hhmm"), "curve", F.col("time_min").alias("t"), F.col("value").alias("v"), "file")
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesforge.sources.files import CURVE, NAME
+from seriesforge.sources.files import CURVE, NAME, session_file
 
 
 def session_points(spark: SparkSession, folder: str, files_a_trigger: int = 100) -> DataFrame:
     """New files of a folder as they come: (animal_id, date_iso, curve, t, v)."""
     rows = spark.readStream.schema(CURVE).option("header", True).option("maxFilesPerTrigger", files_a_trigger).csv(folder)
-    name = F.col("_metadata.file_name")
+    name = session_file()
     return rows.select(F.regexp_extract(name, NAME, 1).alias("animal_id"), F.regexp_extract(name, NAME, 2).alias("date_iso"), "curve", F.col("time_min").alias("t"), F.col("value").alias("v"))
 
 

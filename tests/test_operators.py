@@ -119,3 +119,11 @@ def test_page_source_takes_a_reader(spark):
     assert [r for p in reader.partitions() for r in reader.read(p)] == [(0, 1, 0.0, 0.0, 1.0, 1.0, "a"), (0, 1, 0.0, 0.0, 1.0, 1.0, "b")]
     with pytest.raises(ValueError, match="no reader"):
         list(pages.PageSource({"path": "a"}).reader(None).read(reader.partitions()[0]))
+
+
+def test_written_sessions_keep_their_names(spark, tmp_path):
+    c = synthetic.flow_curves(spark, 3).withColumn("csv_name", F.concat(F.lit("animal_"), F.col("chart"), F.lit("_2024-03-07_0815.csv"))).withColumn("curve", F.lit(files.FLOW))
+    files.write_sessions(c, str(tmp_path / "store"))
+    got = files.read_sessions(spark, str(tmp_path / "store"))
+    want = {(str(r.chart), "2024-03-07", "0815", r.t, r.v) for r in c.collect()}
+    assert {(r.animal_id, r.date_iso, r.time_hhmm, r.t, r.v) for r in got.collect()} == want
