@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import duckdb
 import numpy as np
 import pytest
@@ -133,6 +135,62 @@ def test_shards_are_compacted_and_versions_stay(spark, tmp_path):
     assert sharding.ShardStore(spark, f"file://{tmp_path}/none", rows.schema).read().collect() == []
 
 
+def store_of(spark, path, rows, **kw):
+    return sharding.ShardStore(spark, f"file://{path}/store", rows.schema, **kw)
+
+
+def test_shards_merge_runs_of_like_size_only(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id AS doc_id", "repeat('x', 90) AS text", "1 AS __tier", "'s' AS __shard")
+    store = store_of(spark, tmp_path, rows, fanout=3)
+    store.append(rows.where("doc_id >= 100"))
+    for k in range(3):
+        store.append(rows.where(f"doc_id % 3 = {k} AND doc_id < 100"))
+    assert sorted((r.tier, r.n_rows) for r in store.manifest().collect()) == [(0, 1900), (1, 100)] and store.version == 5
+    back = store.read()
+    assert back.count() == 2000 and sorted(back.columns) == ["__shard", "__tier", "doc_id", "text"]
+    assert {r[0] for r in back.select("__tier").distinct().collect()} == {0, 1}
+    run = lambda name, n, settled=False: (name, 0, n, n, settled)
+    big = [run("a", 1 << 40, True), run("b", 1 << 40, True), run("c", 1 << 40, True), run("d", 9)]
+    assert store.due(big) == [] and store.due([*big, run("e", 0), run("f", 12)]) == [run("e", 0), run("d", 9), run("f", 12)]
+
+
+def test_settled_files_are_left_alone(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id AS doc_id", "uuid() AS text")
+    store = store_of(spark, tmp_path, rows, target_bytes=1 << 10, fanout=2)
+    for k in range(4):
+        store.append(rows.where(f"doc_id % 4 = {k}").coalesce(1))
+    assert {(r.tier, r.settled) for r in store.manifest().collect()} == {(0, True)} and store.version == 4
+
+
+def test_racing_writers_lose_nothing_and_a_dead_one_blocks_nothing(spark, tmp_path):
+    rows = spark.range(6).selectExpr("id AS doc_id", "'t' AS text")
+    store_of(spark, tmp_path, rows).append(rows.where("doc_id = 0"))
+    dead = tmp_path / "store" / "manifest" / "_dead"
+    dead.mkdir()
+    (dead / "part-0.parquet").write_text("half")
+
+    def work(k):
+        own, lost = store_of(spark, tmp_path, rows, fanout=9), 0
+        own.refresh()
+        while True:
+            try:
+                own.append(rows.where(f"doc_id = {k}"))
+                return lost
+            except FileExistsError:
+                lost += 1
+                own.refresh()
+
+    with ThreadPoolExecutor(5) as pool:
+        list(pool.map(work, range(1, 6)))
+    last = store_of(spark, tmp_path, rows, fanout=2)
+    assert last.refresh() == 6 and sorted(r.doc_id for r in last.read().collect()) == list(range(6))
+    last.compact()
+    last.clean(keep=1, older_seconds=-60)
+    assert sorted(r.doc_id for r in last.read().collect()) == list(range(6)) and not dead.exists()
+    assert len(list((tmp_path / "store" / "runs").iterdir())) == last.manifest().count()
+    assert [f.name for f in (tmp_path / "store" / "manifest").iterdir()] == [f"version={last.version}"]
+
+
 def test_sql_agrees(spark):
     d = "/root/testdata/sf0.001"
     for name in ("documents", "embeddings"):
