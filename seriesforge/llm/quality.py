@@ -172,11 +172,15 @@ def odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", reject_at: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", reject_at: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """``docs`` with ``risk_low``, ``risk_toxic`` (probabilities after the host and path evidence)
-    and ``kept``: neither reaches ``reject_at``."""
+    and ``kept``: neither reaches ``reject_at``. ``carry`` names the columns of the result (all, if
+    not given): texts are read once, and what is carried is written with their scores."""
     small_batches(docs.sparkSession)
+    carry = docs.columns if carry is None else carry
+    needed = [c for c in docs.columns if c in {*carry, host, path}]
     scored = risks(docs, fitted(docs, labels, id, text), text)
+    scored = written(scored.select(*[F.col(f"`{c}`") for c in needed], *[f"__p_{r}" for r in RISKS]), "scored")
     groups = posteriors(scored.select(host, path, *[f"__p_{r}" for r in RISKS]), host, path)
     groups = written(groups.withColumnsRenamed({"host": "__host", "path": "__path"}), "groups")
     both = scored.join(groups, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
@@ -185,11 +189,11 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
         both = both.withColumn(f"__risk_{r}", 1 / (1 + F.exp(-raw)))
     kept = (F.col("__risk_low") < reject_at) & (F.col("__risk_toxic") < reject_at)
     results = ("risk_low", "risk_toxic", "kept")
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results], F.col("__risk_low").alias("risk_low"), F.col("__risk_toxic").alias("risk_toxic"), F.coalesce(kept, F.lit(True)).alias("kept"))
+    return both.select(*[F.col(f"`{c}`") for c in carry if c not in results], F.col("__risk_low").alias("risk_low"), F.col("__risk_toxic").alias("risk_toxic"), F.coalesce(kept, F.lit(True)).alias("kept"))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` scored and judged."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels).select("doc_id", "source", "lang", "risk_low", "risk_toxic", "kept")
+    return classify(docs, labels, carry=["doc_id", "source", "lang"]).select("doc_id", "source", "lang", "risk_low", "risk_toxic", "kept")

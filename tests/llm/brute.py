@@ -66,3 +66,26 @@ def substring_dedup(docs, size=50):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def path_posteriors(rows):
+    """(corpus mean, {(host, path): posterior mean}) of (host, path, risk) rows."""
+    corpus = sum(p for *_, p in rows) / len(rows)
+    hosts, paths = {}, {}
+    for host, path, p in rows:
+        hosts.setdefault(host, []).append(p)
+        paths.setdefault((host, path), []).append(p)
+
+    def mean(values):
+        return sum(values) / len(values)
+
+    def strength(groups):
+        """Of (values, the mean they are shrunk to): how many rows that mean counts for."""
+        spread = sum(len(v) * (mean(v) - m) ** 2 - m * (1 - m) for v, m in groups)
+        within = sum(len(v) * m * (1 - m) for v, m in groups)
+        return min(max(within / spread, 1.0), 1e6) if spread > 0 else 1e6
+
+    k_host = strength([(v, corpus) for v in hosts.values()])
+    k_path = strength([(v, mean(hosts[h])) for (h, _), v in paths.items()])
+    host_mean = {h: (sum(v) + k_host * corpus) / (len(v) + k_host) for h, v in hosts.items()}
+    return corpus, {k: (sum(v) + k_path * host_mean[k[0]]) / (len(v) + k_path) for k, v in paths.items()}

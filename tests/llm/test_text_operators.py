@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import struct
 
@@ -312,3 +313,30 @@ def test_hosts_are_shrunk_by_their_evidence(spark):
     got = {(r.host, r.path): r for r in quality.posteriors(frame, "host", "path").collect()}
     assert got["big", "x"].path_low > 0.85 and got["big", "y"].path_low < 0.15
     assert abs(got["rare", "x"].path_low - got["rare", "x"].corpus_low) < 0.9 - got["rare", "x"].corpus_low
+
+
+def test_quality_query_is_the_models_risk_moved_by_brute_force_posteriors(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source")
+    models = quality.fitted(docs, spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "text")
+    raw = quality.risks(docs, models, "text").collect()
+    got = {r.doc_id: r for r in quality.op8_quality(spark, d).collect()}
+    assert len(got) == len(raw)
+    odds = lambda p: math.log(max(min(p, 1 - 1e-6), 1e-6) / (1 - max(min(p, 1 - 1e-6), 1e-6)))
+    want = {}
+    for risk in quality.RISKS:
+        corpus, paths = brute.path_posteriors([(r.source, r.lang, r[f"__p_{risk}"]) for r in raw])
+        for r in raw:
+            want[r.doc_id, risk] = 1 / (1 + math.exp(-(odds(r[f"__p_{risk}"]) + odds(paths[r.source, r.lang]) - odds(corpus))))
+            assert abs(got[r.doc_id][f"risk_{risk}"] - want[r.doc_id, risk]) < 1e-9
+    assert all(r.kept == (want[i, "low"] < 0.5 and want[i, "toxic"] < 0.5) for i, r in got.items())
+
+
+def test_quality_long_texts_and_clashing_columns(spark):
+    rows = [(k, "word " * 3 if k else "fine words here " * 200_000, "en", "s", "mine", 7.0, "x") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string, risk_low double, host string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, labels)
+    assert sorted(out.columns) == sorted([*docs.columns, "risk_toxic"]) and dict(out.dtypes)["kept"] == "boolean"
+    assert {r.doc_id: len(r.text) for r in out.collect()} == {r[0]: len(r[1]) for r in rows}
+    assert all(0 <= r.risk_low <= 1 and r.host == "x" for r in out.collect())
