@@ -101,7 +101,8 @@ def upper_median(x: Column) -> Column:
 
 
 def header_fields(text: Column) -> dict[str, Column]:
-    """Fields of a chart header: animal, date, time, weight, farm and codes; null where absent."""
+    """Fields of a chart header: animal, date and time (also as printed), weight, farm and codes;
+    null where absent. The patterns are fixed values: the labels and forms that reports print."""
 
     def pick(pattern: str, group: int = 1) -> Column:
         got = F.regexp_extract(text, pattern, group)
@@ -113,15 +114,19 @@ def header_fields(text: Column) -> dict[str, Column]:
     year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
     labelled, bare = rf"(?iU)ora{sep}([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}}))?", r"\b([0-9]{1,2}):([0-9]{2})\b"
     hour, minute = (F.coalesce(pick(labelled, k), pick(bare, k)) for k in (1, 2))
+    day, month, seconds = F.lpad(day, 2, "0"), F.lpad(month, 2, "0"), pick(labelled, 3)
+    clock = F.concat(F.lpad(hour, 2, "0"), F.lit(":"), minute)
     weight = F.replace(pick(rf"(?iU)latte{sep}([0-9.,]+)\s*kg"), F.lit(","), F.lit("."))
     return {
         "animal_id": F.coalesce(pick(rf"(?iU)animale{sep}([0-9]+)"), pick(rf"(?iU)\bID{sep}([0-9]+)")),
-        "date_iso": F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")),
+        "date_iso": F.concat(year, F.lit("-"), month, F.lit("-"), day),
+        "date_printed": F.concat(day, F.lit("."), month, F.lit("."), year),
         "time_hhmm": F.concat(F.lpad(hour, 2, "0"), minute),
-        "seconds": pick(labelled, 3),
+        "time_full": F.concat(clock, F.coalesce(F.concat(F.lit(":"), seconds), F.lit(""))),
+        "seconds": seconds,
         "milk_kg": weight.try_cast("double"),
-        "farm": pick(rf"(?iU)azienda{sep}([0-9]+)"),
-        "gnr": pick(rf"(?iU)GNR{sep}([0-9]+)"),
-        "bimo": pick(r"(?iU)BIMO\s*=\s*([0-9]+)"),
-        "le": pick(r"(?iU)\bLE\s*=\s*([0-9]+)"),
+        "farm": pick(r"(?iU)numero\s+azienda\s*(\w+)"),
+        "gnr": pick(rf"(?iU)GNR{sep}(\w+)"),
+        "bimo": pick(r"(?iU)BIMO\s*=\s*(\w+)"),
+        "le": pick(r"(?iU)LE\s*=\s*(\w+)"),
     }

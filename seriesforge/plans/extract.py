@@ -16,6 +16,8 @@ from seriesforge.sources import drawn
 from seriesforge.sources.tables import CURVES_SQL
 
 CHART = ["page", "chart"]
+#: Fixed value: a value axis whose ticks miss their line by more is reported.
+RESIDUAL = 0.05
 
 
 def charts_of(blocks: DataFrame, width: float, height: float) -> DataFrame:
@@ -67,25 +69,40 @@ def traced(axes: DataFrame, strokes: DataFrame) -> DataFrame:
     ink = strokes.where(is_blue(c("r"), c("g"), c("b")))
     vertices = ink.select("page", F.explode(F.array(F.struct(c("x0").alias("x"), c("y0").alias("y")), F.struct(c("x1").alias("x"), c("y1").alias("y")))).alias("p")).select("page", "p.x", "p.y")
     top = (c("v_top") - c("intercept")) / c("slope")
-    held = axes.join(vertices, "page").where(in_plot(c("x"), c("y"), c("x_left"), c("x_right"), top - 1.0, c("base")))
+    held = axes.where("x_right > x_left").join(vertices, "page").where(in_plot(c("x"), c("y"), c("x_left"), c("x_right"), top - 1.0, c("base")))
     t = clip(c("t_min") + (c("x") - c("x_left")) / (c("x_right") - c("x_left")) * (c("t_max") - c("t_min")), c("t_min").cast("double"), c("t_max").cast("double"))
     v = clip(c("slope") * c("y") + c("intercept"), c("v_bottom").cast("double"), c("v_top").cast("double"))
     return series.collapse(held.dropDuplicates([*CHART, "x", "y"]).withColumns({"t": rounded(t, 4), "v": rounded(v, 4)}), CHART)
 
 
+def warnings_of(charts: DataFrame, axes: DataFrame, flow: DataFrame) -> DataFrame:
+    """(page, chart, warning): why a chart has no curve, or how far to trust it. A chart whose axes
+    can't be read, or have no width, is skipped and gets that warning alone."""
+    c = F.col
+    found = flow.select(*CHART).distinct().withColumn("has_flow", F.lit(True))
+    seen = charts.select(*CHART).join(axes.select(*CHART, "residual", "x_left", "x_right"), CHART, "left").join(found, CHART, "left")
+    flat, high = c("x_right") <= c("x_left"), c("residual") > RESIDUAL
+    notes = F.array_compact(F.array(
+        F.when(high, F.format_string("Y calibration residual high (%.3f)", c("residual"))),
+        F.when(flat, F.lit("Degenerate X axis: chart skipped")).when(c("has_flow").isNull(), F.lit("Flusso curve not present in vector layer")),
+    ))
+    failed = F.array(F.lit("Axis calibration failed: chart skipped"))
+    return seen.select(*CHART, F.explode(F.when(c("x_left").isNull() | c("x_right").isNull(), failed).otherwise(notes)).alias("warning"))
+
+
 def headers_of(text: DataFrame) -> DataFrame:
     """Header fields of each chart from the text in its window, in order."""
     whole = text.groupBy(*CHART).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "\n").alias("text"))
     return whole.select(*CHART, *[f.alias(n) for n, f in header_fields(F.col("text")).items()])
 
 
-def pages(spark, d: str) -> tuple[DataFrame, DataFrame]:
-    """Blocks and strokes of all users' curves, eight a page."""
+def pages(spark, d: str, drawn_where: str = "true") -> tuple[DataFrame, DataFrame]:
+    """Blocks and strokes of all users' curves, eight a page; charts outside ``drawn_where`` have axes only."""
     c = curves(spark, d).select(F.floor(F.col("chart") / 8).alias("page"), (F.col("chart") % 8).alias("slot"), "t", rounded(F.col("v") * F.lit(0.09), 4).alias("v"))
     c = c.where("t <= 10")
     charts = c.select("page", "slot").distinct()
     header = F.concat(F.lit("Numero Azienda 07010142 Animale: "), F.col("page") * 8 + F.col("slot"), F.lit(" Quantità di latte: 5,52 kg Data: 12.05.2025 Ora: 03:58:23"))
-    return drawn.blocks(charts, header), drawn.strokes(c, charts)
+    return drawn.blocks(charts, header), drawn.strokes(c.where(drawn_where), charts)
 
 
 def extract_axes(spark, d):
@@ -93,7 +110,7 @@ def extract_axes(spark, d):
     charts = charts_of(blocks, drawn.PAGE_WIDTH, drawn.PAGE_HEIGHT)
     text = text_of(charts, blocks)
     made = calibrated(charts, text, strokes).join(headers_of(text).select(*CHART, "animal_id", "milk_kg", "date_iso"), CHART)
-    return made.select("page", "chart", "animal_id", "date_iso", "milk_kg", "n", "t_min", "t_max", "v_bottom", "v_top", "x_source", (F.col("residual") < 0.05).alias("within_residual"))
+    return made.select("page", "chart", "animal_id", "date_iso", "milk_kg", "n", "t_min", "t_max", "v_bottom", "v_top", "x_source", (F.col("residual") < RESIDUAL).alias("within_residual"))
 
 
 def extract_curves(spark, d):
@@ -103,11 +120,27 @@ def extract_curves(spark, d):
     return traced(axes, strokes).select("page", "chart", "t", "v")
 
 
-QUERIES = {f.__name__: f for f in (extract_axes, extract_curves)}
+def extract_warnings(spark, d):
+    """Charts made faulty on purpose, by their place on the page: the third has no value ticks, the
+    sixth no curve, and in the seventh one tick is out of line."""
+    blocks, strokes = pages(spark, d, "slot <> 5")
+    blocks = blocks.where("seq NOT BETWEEN 41 AND 50")
+    moved = F.when(F.col("seq") == 130, F.lit(6.0)).otherwise(F.lit(0.0))
+    blocks = blocks.withColumns({"y0": F.col("y0") + moved, "y1": F.col("y1") + moved})
+    charts = charts_of(blocks, drawn.PAGE_WIDTH, drawn.PAGE_HEIGHT)
+    axes = calibrated(charts, text_of(charts, blocks), strokes)
+    found = warnings_of(charts, axes, traced(axes, strokes))
+    return found.select("page", "chart", F.regexp_replace("warning", r" \([0-9.]+\)$", "").alias("warning"))
+
+
+QUERIES = {f.__name__: f for f in (extract_axes, extract_curves, extract_warnings)}
 DRAWN_SQL = f"{CURVES_SQL}, drawn AS (SELECT chart // 8 AS page, chart % 8 AS slot, chart, t, floor(v * CAST(0.09 AS DOUBLE) * 1e4 + 5e-1) / 1e4 AS v FROM curves WHERE t <= 10)"
 ORACLE_SQL = {
     "extract_axes": f"""WITH {DRAWN_SQL} SELECT DISTINCT page, CAST(row_number() OVER (PARTITION BY page ORDER BY slot) - 1 AS INTEGER) AS chart, CAST(chart AS VARCHAR) AS animal_id, '2025-05-12' AS date_iso, 552e-2 AS milk_kg,
       CAST(10 AS BIGINT) AS n, 0 AS t_min, 10 AS t_max, 0 AS v_bottom, 9 AS v_top, 'ticks' AS x_source, true AS within_residual FROM (SELECT DISTINCT page, slot, chart FROM drawn)""",
     "extract_curves": f"""WITH {DRAWN_SQL}, k AS (SELECT page, slot, CAST(row_number() OVER (PARTITION BY page ORDER BY slot) - 1 AS INTEGER) AS chart FROM (SELECT DISTINCT page, slot FROM drawn))
       SELECT d.page, k.chart, d.t, d.v FROM drawn d JOIN k ON d.page = k.page AND d.slot = k.slot""",
+    "extract_warnings": f"""WITH {DRAWN_SQL}, k AS (SELECT page, slot, CAST(row_number() OVER (PARTITION BY page ORDER BY slot) - 1 AS INTEGER) AS chart FROM (SELECT DISTINCT page, slot FROM drawn))
+      SELECT page, chart, CASE slot WHEN 2 THEN 'Axis calibration failed: chart skipped' WHEN 5 THEN 'Flusso curve not present in vector layer' ELSE 'Y calibration residual high' END AS warning
+      FROM k WHERE slot IN (2, 5, 6)""",
 }

@@ -149,6 +149,8 @@ sessions AS (SELECT o_orderkey, o_custkey, day, 'animal_' || o_custkey || '_' ||
 ORACLE_SQL = {
     "header_parse": """WITH h AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_orderkey % 23 = 0 THEN 2 ELSE 0 END AS style FROM orders)
       SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 17 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS animal_id, strftime(o_orderdate, '%Y-%m-%d') AS date_iso,
+        strftime(o_orderdate, '%d.%m.%Y') AS date_printed,
+        lpad(CAST(o_custkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || CASE WHEN o_orderkey % 3 = 0 THEN ':05' ELSE '' END AS time_full,
         lpad(CAST(o_custkey % 24 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS time_hhmm, CASE WHEN o_orderkey % 3 = 0 THEN '05' END AS seconds,
         CASE WHEN style < 2 THEN CAST(CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') AS DOUBLE) END AS milk_kg,
         '07010142' AS farm, '0' || CAST(o_orderkey % 1000 AS VARCHAR) AS gnr, '1' AS bimo, '0' AS le FROM h""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions import scalars
 from seriesforge.operators import calibration, quality, runs, series
+from seriesforge.plans import extract
 from seriesforge.sources import files, pages, synthetic
 from seriesforge.streaming import sessions
 
@@ -64,13 +65,35 @@ def test_header_variants(spark):
     texts = {
         "Animale: 1001 Data: 7/3/24 Ora: 3:58 latte: 1.234,5 kg": ("1001", "2024-03-07", "0358", None),
         "ID 9 12.05.2025 04:10 Latte 5,52 kg": ("9", "2025-05-12", "0410", 5.52),
-        "nothing here": (None, "", None, None),
+        "nothing here": (None, None, None, None),
     }
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     for r in rows.select("text", *[c.alias(n) for n, c in scalars.header_fields(F.col("text")).items()]).collect():
         assert (r.animal_id, r.date_iso, r.time_hhmm, r.milk_kg) == texts[r.text]
 
 
+def test_header_codes_are_word_characters(spark):
+    text = "Numero Azienda IT07A Animale: 3 Data: 7/3/24 Ora: 3:58:09 GNR: A12 BIMO = x1 LE = B"
+    r = spark.createDataFrame([(text,), (None,)], "text string").select(*[c.alias(n) for n, c in scalars.header_fields(F.col("text")).items()]).collect()
+    assert (r[0].farm, r[0].gnr, r[0].bimo, r[0].le) == ("IT07A", "A12", "x1", "B")
+    assert (r[0].date_printed, r[0].time_full, r[0].time_hhmm) == ("07.03.2024", "03:58:09", "0358")
+    assert set(r[1]) == {None}
+
+
+def test_charts_that_cannot_be_read_are_reported(spark):
+    charts = spark.createDataFrame([(1, k) for k in range(5)], "page long, chart int")
+    axes = spark.createDataFrame([(1, 0, 0.01, 1.0, 50.0), (1, 1, 0.2, 1.0, 50.0), (1, 2, 0.01, 9.0, 9.0), (1, 3, 0.3, 1.0, 50.0)], "page long, chart int, residual double, x_left double, x_right double")
+    flow = spark.createDataFrame([(1, 0, 0.0, 1.0), (1, 1, 0.0, 1.0), (1, 1, 1.0, 1.0)], "page long, chart int, t double, v double")
+    got = sorted((r.chart, r.warning) for r in extract.warnings_of(charts, axes, flow).collect())
+    assert got == [
+        (1, "Y calibration residual high (0.200)"),
+        (2, "Degenerate X axis: chart skipped"),
+        (3, "Flusso curve not present in vector layer"),
+        (3, "Y calibration residual high (0.300)"),
+        (4, "Axis calibration failed: chart skipped"),
+    ]
+
+
 def test_last_run_and_fit(spark):
     p = spark.createDataFrame([(1, y) for y in (3, 4, 9, 10, 12, 30, 31)], "chart int, y int")
     assert [(r.middle, r.runs) for r in runs.last_run(p, K, "y").collect()] == [(30.5, 3)]
