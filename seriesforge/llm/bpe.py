@@ -30,6 +30,8 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 #: Rows of a batch that leaves a task.
 BATCH = 256
+#: Code points probed at a time.
+PROBE = 1 << 12
 NO_MERGE = 1 << 62
 POSITION = (1 << 32) - 1
 
@@ -60,21 +62,28 @@ def unlike(path: str) -> dict[str, str]:
 
     library = Tokenizer.from_file(path)
     split, fold = library.pre_tokenizer, library.normalizer
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    own = {"L": set(regex.findall(r"\p{L}", every)), "N": set(regex.findall(r"\p{N}", every)), "S": set(regex.findall(r"\s", every))}
-    odd = own["N"] | own["S"]
-    for among, points in (("a", own["L"]), ("!", set(every) - own["L"] - odd)):
-        text = among + "".join(c + among for c in points)
-        joined = [False] * len(text)
-        for _, (start, end) in split.pre_tokenize_str(text):
-            if end - start > 1:
-                joined[start:end] = [True] * (end - start)
-        odd |= {c for c, j in zip(text, joined) if not j and c != among}
-    before = [c for c in every if c != "!" and not c.isspace()]
-    text = "!".join(before)
-    ours = folded(text).split("!")
-    odd |= {c for c, x, y in zip(before, ours, fold.normalize_str(text).split("!"), strict=True) if x != y}
-    odd |= {c for c, x in zip(before, ours) if x != c and not odd.isdisjoint(x)}
+    own, odd, changed = {"L": set(), "N": set(), "S": set()}, set(), {}
+    for first in range(0, 0x110000, PROBE):
+        every = "".join(chr(c) for c in range(first, first + PROBE) if not 0xD800 <= c < 0xE000)
+        letters, known = set(regex.findall(r"\p{L}", every)), set(regex.findall(r"[\p{N}\s]", every))
+        own["L"] |= letters
+        own["N"] |= set(regex.findall(r"\p{N}", every))
+        own["S"] |= set(regex.findall(r"\s", every))
+        odd |= known
+        for among, points in (("a", letters), ("!", set(every) - letters - known)):
+            text = among + "".join(c + among for c in points)
+            joined = [False] * len(text)
+            for _, (start, end) in split.pre_tokenize_str(text):
+                if end - start > 1:
+                    joined[start:end] = [True] * (end - start)
+            odd |= {c for c, j in zip(text, joined) if not j and c != among}
+        before = [c for c in every if c != "!" and not c.isspace()]
+        if before:
+            text = "!".join(before)
+            ours, theirs = folded(text).split("!"), fold.normalize_str(text).split("!")
+            odd |= {c for c, x, y in zip(before, ours, theirs, strict=True) if x != y}
+            changed |= {c: x for c, x in zip(before, ours) if x != c}
+    odd |= {c for c, x in changed.items() if not odd.isdisjoint(x)}
     kinds = {1: "L", 2: "S", 3: "O", 4: "N"}  # pre-tokens of a code point that stands twice between two letters
     found = {c: kinds[len(split.pre_tokenize_str(f"a{c}{c}b"))] for c in odd}
     usual = {c: next((k for k, known in own.items() if c in known), "O") for c in odd}
