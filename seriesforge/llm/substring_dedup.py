@@ -9,8 +9,9 @@ document with a smaller id. The sketch never loses a repeated window; its width
 up to ``MAX_CELLS``, beyond which more windows are grouped, with the same result.
 
 What a task has read is decided within the task first: a window that a smaller document of the
-same block holds is removed at once, and each block sends one document at most for a window. So a
-passage in a third of all documents is a few rows a task, not a hot key.
+same block holds is removed at once, and each block sends one document at most for a window, in one
+row for all its starts there. So a passage in a third of all documents, or one that repeats itself
+within a document, is a row a block, not a hot key.
 
 Defined results: a null or empty text has no words; documents shorter than a window lose nothing;
 windows are judged on the input; a null id ranks after all others; rows with the same id don't
@@ -113,11 +114,15 @@ def sketch(docs: DataFrame, text: str, size: int, width: int) -> bytes:
 
 
 def removals(docs: DataFrame, text: str, size: int, width: int, bits) -> DataFrame:
-    """Windows of ``docs`` (columns id, row, text) that go, as (id, row, lo, hi): ranges of window
-    starts, hi exclusive. ``row`` is the text's 64-bit hash, which tells rows of one id apart."""
+    """Windows of ``docs`` (columns id, row, text) that go, as (id, row, lo, hi, more): ranges of
+    window starts, hi exclusive, and further starts (packed 32-bit integers). ``row`` is the text's
+    64-bit hash, which tells rows of one id apart."""
 
-    def found_rows(h1, h2, doc, row, at, n):
-        return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.astype(np.int32)), pa.array(doc), pa.array(row), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h1", "h2", "id", "row", "at", "n"])
+    def found_rows(h1, h2, doc, row, at, n, more, n_more):
+        ends = np.concatenate([[0], np.cumsum(4 * n_more)]).astype(np.int32)
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(more.astype(np.int32))])
+        columns = [h1.view(np.int64), h2.astype(np.int32), doc, row, at.astype(np.int32), n.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), packed], ["h1", "h2", "id", "row", "at", "n", "more"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = np.frombuffer(bits.value, np.uint8)
@@ -139,11 +144,17 @@ def removals(docs: DataFrame, text: str, size: int, width: int, bits) -> DataFra
             first = np.flatnonzero(cut)
             n = np.diff(first, append=len(r))
             d, r, p = d[first], r[first], p[first]
-            yield found_rows(mixed(d.view(np.uint64) ^ mixed(r.view(np.uint64) ^ mixed(p.view(np.uint64)))), np.zeros(len(d)), d, r, p, n)
-            open_ = np.flatnonzero(~gone)
-            for a in range(0, len(open_), 200_000):
-                k = open_[a : a + 200_000]
-                yield found_rows(h1[k], h2[k], doc[k], row[k], at[k], np.zeros(len(k)))
+            none = np.zeros(len(d), np.int64)
+            yield found_rows(mixed(d.view(np.uint64) ^ mixed(r.view(np.uint64) ^ mixed(p.view(np.uint64)))), none, d, r, p, n, none[:0], none)
+            h1, h2, doc, row, at = (x[~gone] for x in (h1, h2, doc, row, at))
+            # All starts of one window in one text are neighbours now, the first of them in front.
+            front = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
+            first = np.flatnonzero(front)
+            n_more = np.diff(first, append=len(at)) - 1
+            for a in range(0, len(first), 200_000):
+                k = first[a : a + 200_000]
+                part = slice(k[0], k[-1] + n_more[a + len(k) - 1] + 1)
+                yield found_rows(h1[k], h2[k], doc[k], row[k], at[k], np.zeros(len(k)), at[part][~front[part]], n_more[a : a + 200_000])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -166,10 +177,10 @@ def removals(docs: DataFrame, text: str, size: int, width: int, bits) -> DataFra
         if held:
             yield from flush()
 
-    found = docs.select("id", "row", text).mapInArrow(judged, "h1 long, h2 int, id long, row long, at int, n int")
+    found = docs.select("id", "row", text).mapInArrow(judged, "h1 long, h2 int, id long, row long, at int, n int, more binary")
     # n is 0 for a window that is still open; ranges already decided pass under keys of their own.
     gone = found.withColumn("least", F.min("id").over(W.partitionBy("h1", "h2"))).where("n > 0 OR id > least")
-    return gone.select("id", "row", F.col("at").alias("lo"), (F.col("at") + F.greatest("n", F.lit(1))).alias("hi"))
+    return gone.select("id", "row", F.col("at").alias("lo"), (F.col("at") + F.greatest("n", F.lit(1))).alias("hi"), "more")
 
 
 def cut(texts: pa.Array, ranges: pa.Array, size: int) -> pa.Array:
@@ -186,6 +197,8 @@ def cut(texts: pa.Array, ranges: pa.Array, size: int) -> pa.Array:
             stay = np.ones(b - a, bool)
             for r in ranges[i + k] or ():
                 stay[r["lo"] : r["hi"] - 1 + size] = False
+                for start in np.frombuffer(r["more"], np.int32).tolist():
+                    stay[start : start + size] = False
             s_k, e_k = s[a:b] - base, e[a:b] - base
             kept.append(b" ".join([raw[x:y] for x, y in zip(s_k[stay].tolist(), e_k[stay].tolist())]).decode())
             words.append(int(b - a))
@@ -206,7 +219,7 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", si
         width *= 2
     bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, text, size, width))
     gone = removals(keyed, text, size, width, bits)
-    gone = gone.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("lo", "hi")).alias("__ranges"))
+    gone = gone.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("lo", "hi", "more")).alias("__ranges"))
 
     @F.arrow_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
     def cut_all(texts: pa.Array, ranges: pa.Array) -> pa.Array:

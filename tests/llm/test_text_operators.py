@@ -204,6 +204,21 @@ def test_a_null_id_ranks_last(spark):
     assert sorted((r.doc_id or -1, r.n_removed) for r in out) == [(-1, 60), (9, 0), (9, 0)]
 
 
+def test_texts_that_repeat_themselves(spark):
+    """Starts of one window in one text travel in one row, however many there are."""
+    swing, line = "to fro " * 90, " ".join(f"l{k}" for k in range(60)) + " "
+    docs = [(1, swing), (2, "a b c " + swing + "d"), (3, line * 5), (4, swing + "e " + line * 2), (5, line * 3 + swing), (6, "to " * 70), (6, "to " * 80), (7, "f to " * 30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute.substring_dedup(docs)
+    out = substring_dedup.dedup_substrings(frame)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()) == sorted((d, len(t.split()), *want[d][1:]) if d != 6 else (6, len(t.split()), 0, t.strip()) for d, t in docs)
+    bits = spark.sparkContext.broadcast(b"\xff" * (substring_dedup.ROWS * substring_dedup.MIN_CELLS // 8))
+    texts = spark.createDataFrame([(1, 1, swing), (2, 2, swing)], "id long, row long, text string").repartition(2, "id")
+    gone = substring_dedup.removals(texts, "text", 50, substring_dedup.MIN_CELLS, bits).collect()
+    starts = sorted(s for r in gone for s in (*range(r.lo, r.hi), *memoryview(bytes(r.more)).cast("i")))
+    assert {r.id for r in gone} == {2} and starts == list(range(131)) and len(gone) <= 2
+
+
 def test_thousands_of_null_ids_are_told_apart(spark):
     fresh = itertools.count()
     words = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n))
