@@ -75,6 +75,11 @@ def in_window(x: Column, y: Column, x0: Column, x1: Column, y0: Column, y1: Colu
     return (x >= x0) & (x < x1) & (y >= y0) & (y <= y1)
 
 
+def in_closed_window(x: Column, y: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Closed on all sides."""
+    return x.between(x0, x1) & y.between(y0, y1)
+
+
 def in_plot(x: Column, y: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
     """Closed, with one point of room at the right and two at the bottom."""
     return (x >= x0) & (x <= x1 + 1.0) & (y >= y0) & (y <= y1 + 2.0)
@@ -130,3 +135,27 @@ def header_fields(text: Column) -> dict[str, Column]:
         "bimo": pick(r"(?iU)BIMO\s*=\s*(\w+)"),
         "le": pick(r"(?iU)LE\s*=\s*(\w+)"),
     }
+
+
+def strict_fields(text: Column) -> dict[str, Column]:
+    """Fields of a header as a report's own form prints them, for checking what ``header_fields``
+    reads: dotted dates with four-digit years, times with seconds, no other labels; null where
+    absent. The patterns are fixed values."""
+
+    def pick(pattern: str, group: int = 1) -> Column:
+        got = F.regexp_extract(text, pattern, group)
+        return F.when(got != "", got)
+
+    date, time = r"(?U)Data[:\s]*([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})", r"(?U)Ora[:\s]*([0-9]{2}:[0-9]{2}:[0-9]{2})"
+    day, month, year = F.lpad(pick(date, 1), 2, "0"), F.lpad(pick(date, 2), 2, "0"), pick(date, 3)
+    return {
+        "animal_id": pick(r"(?U)Animale[:\s]*([0-9]+)"),
+        "date_iso": F.concat(year, F.lit("-"), month, F.lit("-"), day),
+        "date_printed": F.concat(day, F.lit("."), month, F.lit("."), year),
+        "time_full": pick(time),
+        "milk_kg": F.replace(pick(r"(?iU)latte[:\s]*([0-9.,]+)\s*kg"), F.lit(","), F.lit(".")).try_cast("double"),
+        "farm": pick(r"(?U)Numero\s+Azienda\s*(\w+)"),
+        "gnr": pick(r"(?U)GNR[:\s]*(\w+)"),
+        "bimo": pick(r"(?U)BIMO\s*=\s*(\w+)"),
+        "le": pick(r"(?U)LE\s*=\s*(\w+)"),
+    }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from seriesforge.functions.scalars import rounded
+from seriesforge.functions.scalars import channels, in_closed_window, is_near, is_tick_label, rounded
 
 
 def first_of_each(ticks: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -71,3 +71,28 @@ def x_anchor(ticks: Column, lines: Column, labels: Column, least: float = 40.0)
     ok = lambda s: s.isNotNull() & (s["right"] - s["left"] > F.lit(least))
     anchor = F.when(ok(ticks), ticks).when(ok(lines), lines).otherwise(labels)
     return anchor, F.when(ok(ticks), "ticks").when(ok(lines), "grid").when(labels.isNotNull(), "labels")
+
+
+def colour_fit(spans: DataFrame, keys: list[str], box: tuple[Column, Column, Column, Column], target: tuple[float, float, float], order: str, tolerance: float = 0.08) -> DataFrame:
+    """The axis whose numerals are printed in a colour of their own: the line through the tick labels
+    of ``spans`` (keys, text, color, x, y and ``order``) that have it and lie in ``box``
+    (x0, x1, y0, y1). Of labels that show one value, the first in order counts."""
+    colour = tuple(c / F.lit(255.0) for c in channels(F.col("color")))
+    ticks = spans.where(is_tick_label(F.col("text")) & is_near(colour, target, tolerance) & in_closed_window(F.col("x"), F.col("y"), *box))
+    ticks = ticks.groupBy(*keys, F.trim("text").cast("double").alias("value")).agg(F.min_by("y", order).alias("y"))
+    return fit(ticks, keys, "y", "value")
+
+
+def box_fractions(window: tuple[Column, Column, Column, Column], labels: tuple[Column, Column], slope: Column, intercept: Column, v_bottom: Column, v_top: Column, room: float = 4.0, top: float = 9.0) -> Column:
+    """Where a chart's plot box lies in its window (x0, x1, y0, y1), as fractions of the window widened to
+    hold its tick ``labels`` (left, right): a struct of left, right, top, bottom and the values
+    at top and bottom (0 and the default top where unknown); null where the window or axis is flat."""
+    x0, x1, y0, y1 = window
+    x0, x1 = F.least(x0, labels[0] - F.lit(room)), F.greatest(x1, labels[1] + F.lit(room))
+    w, h, low, high = x1 - x0, y1 - y0, F.coalesce(v_bottom, F.lit(0.0)), F.coalesce(v_top, F.lit(top))
+    across, down = (lambda x: rounded((x - x0) / w, 6)), (lambda v: rounded(((v - intercept) / slope - y0) / h, 6))
+    box = F.struct(
+        across(labels[0]).alias("left"), across(labels[1]).alias("right"), down(high).alias("top"), down(low).alias("bottom"),
+        high.alias("v_top"), low.alias("v_bottom"),
+    )
+    return F.when((w > 0) & (h > 0) & (slope != 0), box)

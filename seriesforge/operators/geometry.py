@@ -33,3 +33,11 @@ def padded(rows: DataFrame, groups: DataFrame, keys: list[str], slots: int, slot
     """Every group with all its slots, missing ones as nulls."""
     grid = groups.select(*keys).distinct().withColumn(slot, F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     return grid.join(rows, [*keys, slot], "left")
+
+
+def merged_ahead(blocks: DataFrame, page: str, order: str, y: str, text: str, ahead: int = 2, within: float = 20.0) -> DataFrame:
+    """Adds ``merged``: a block's text and that of each of the next ``ahead`` blocks of its page whose
+    ``y`` is less than ``within`` from its own, joined by spaces; a null text adds nothing."""
+    w = W.partitionBy(page).orderBy(order)
+    following = [F.when(F.abs(F.lead(y, k).over(w) - F.col(y)) < F.lit(within), F.lead(text, k).over(w)) for k in range(1, ahead + 1)]
+    return blocks.withColumn("merged", F.concat_ws(" ", F.col(text), *following))
