@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesforge.llm import bpe, html_extract, mixing, near_dedup, ngram_join, quality, sharding, substring_dedup, token_counts, topk
+from seriesforge.llm import bpe, divergence, filter_audit, html_extract, mixing, near_dedup, ngram_join, quality, sharding, substring_dedup, token_counts, topk, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_topk": topk.op10_topk,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_warc": warc.op13_warc,
 }
 
-ORACLE_SQL = {"op7_sharding": sharding.OP7_SQL, "op10_topk": topk.OP10_SQL}
+ORACLE_SQL = {"op7_sharding": sharding.OP7_SQL, "op10_topk": topk.OP10_SQL, "op11_divergence": divergence.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL, "op13_warc": warc.OP13_SQL}

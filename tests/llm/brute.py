@@ -89,3 +89,65 @@ def path_posteriors(rows):
     k_path = strength([(v, mean(hosts[h])) for (h, _), v in paths.items()])
     host_mean = {h: (sum(v) + k_host * corpus) / (len(v) + k_host) for h, v in hosts.items()}
     return corpus, {k: (sum(v) + k_path * host_mean[k[0]]) / (len(v) + k_path) for k, v in paths.items()}
+
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def divergence(rows, least=3, top=200):
+    """Sorted (lang, source, part, item, value, rank) of (lang, source, text) rows."""
+    docs = [(g or "", s or "", TERM.findall((t or "").translate(LOWER))) for g, s, t in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        own = [d[1:] for d in docs if d[0] == lang]
+        df = collections.Counter(t for _, terms in own for t in set(terms))
+        kept = sorted(t for t, n in df.items() if n >= least)
+        count = collections.defaultdict(collections.Counter)
+        for s, terms in own:
+            count[s].update(t for t in terms if df[t] >= least)
+        every = sum(count.values(), collections.Counter())
+
+        def share(c):
+            n = sum(c.values())
+            return [1 + 10**9 * (c[t] + 1) // (n + len(kept)) for t in kept]
+
+        shares, q = {s: share(c) for s, c in count.items()}, share(every)
+        for s in count:
+            pairs = [(r, sum((a - b) ** 2 // b for a, b in zip(shares[s], shares[r]))) for r in count if r != s]
+            terms = [(t, (a - b) ** 2 // b) for t, a, b in zip(kept, shares[s], q) if count[s][t] and a > b]
+            for part, found in ("pair", pairs), ("term", terms):
+                ranked = sorted(found, key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, i, v, k + 1) for k, (i, v) in enumerate(ranked) if part == "pair" or k < top]
+    return sorted(out)
+
+
+def filter_audit(docs, labels):
+    """Sorted rows of the audit, each order run over the documents, of (doc_id, lang, text) and (doc_id, quality, toxic)."""
+    import itertools
+
+    least = {}
+    for i, _, t in docs:
+        if i is not None:
+            least[t or ""] = min(least.get(t or "", i), i)
+
+    def fails(i, t):
+        w = WORD.findall(t)
+        upper = sum("A" <= c <= "Z" for c in t)
+        late = i is not None and i > least[t]
+        return {f for f, x in zip("ABCDE", (len(w) < 200, 100 * len(set(w)) < 50 * len(w), 100 * upper > 3 * len(t), any(c in "#$%&*|" for c in t), late)) if x}
+
+    good, toxic = ({x[0] for x in labels if x[0] is not None and x[k] == 1} for k in (1, 2))
+    out = []
+    for part in {g or "" for _, g, _ in docs}:
+        own = [(i, fails(i, t or "")) for i, g, t in docs if (g or "") == part]
+        rows, shapley = [], collections.Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = own
+            for k, f in enumerate(order):
+                hit = [d for d in left if f in d[1]]
+                left = [d for d in left if f not in d[1]]
+                shapley[f] += len(hit)
+                redundant = sum(f in d[1] for d in own) - len(hit)
+                rows.append(("".join(order), k + 1, f, len(left), len(hit), redundant, sum(d[1] == {f} for d in own), sum(d[0] in good for d in hit), sum(d[0] in toxic for d in hit)))
+        out += [(part, o, k, *rest, shapley[f]) for o, k, f, *rest in rows]
+    return sorted(out)
