@@ -91,6 +91,28 @@ def unlike(path: str) -> dict[str, str]:
     return {c: found[c] for c in odd if c in other or found[c] != "S" and (folded(c) != fold.normalize_str(c) or not other.isdisjoint(folded(c)))}
 
 
+@lru_cache(maxsize=2)
+def unlike_bytes(path: str) -> dict[str, str]:
+    """``unlike`` for a byte-level vocabulary: what its pre-tokenizer takes a code point for where Python's
+    tables say otherwise. A code point joins its neighbours if it is of their kind: letters, numbers or
+    other signs; white space joins none. ASCII is the same in both."""
+    from tokenizers import Tokenizer
+
+    split, found = Tokenizer.from_file(path).pre_tokenizer, {}
+    for first in range(0x80, 0x110000, PROBE):
+        every = [chr(c) for c in range(first, min(first + PROBE, 0x110000)) if not 0xD800 <= c < 0xE000]
+        kind = dict.fromkeys(every, "S")
+        for name, among in ("L", "a"), ("N", "1"), ("O", "!"):
+            text = among + "".join(c + among for c in every)
+            for _, (start, end) in split.pre_tokenize_str(text):
+                if end - start > 1:
+                    kind |= dict.fromkeys(set(text[start:end]) - {among}, name)
+        whole = "".join(every)
+        own = {c: n for n, p in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s")) for c in regex.findall(p, whole)}
+        found |= {c: k for c, k in kind.items() if k != own.get(c, "O")}
+    return found
+
+
 def ranges(points: list[int]) -> str:
     """Code points as the inside of a character class."""
     points = sorted(points)
@@ -99,8 +121,8 @@ def ranges(points: list[int]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last))
 
 
-def exact_pattern(odd: dict[str, str]) -> str:
-    """``WORD_PATTERN`` with the library's letters, numbers and spaces."""
+def exact_pattern(odd: dict[str, str], pattern: str = WORD_PATTERN) -> str:
+    """``pattern`` with the library's letters, numbers and spaces."""
 
     def kind(base: str, name: str) -> str:
         more = ranges([ord(c) for c, k in odd.items() if k == name])
@@ -108,8 +130,10 @@ def exact_pattern(odd: dict[str, str]) -> str:
         return f"[[{base}{more}]--[{less}]]" if less else f"[{base}{more}]"
 
     letter, number, space = kind(r"\p{L}", "L"), kind(r"\p{N}", "N"), kind(r"\s", "S")
-    pattern = WORD_PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}||{letter}||{number}]")
-    return pattern.replace(r"[\p{L}]", letter).replace(r"[\p{N}]", number)
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}||{letter}||{number}]").replace(r"\S", f"[^{space}]")
+    for base, exact in (r"\p{L}", letter), (r"\p{N}", number), (r"\s", space):
+        pattern = pattern.replace(f"[{base}]", exact).replace(f"{base}+", f"{exact}+")
+    return pattern
 
 
 class Generations(dict):
@@ -165,21 +189,21 @@ class Codec:
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.bytes_back = spec["decoder"] is not None
         self.byte_of = {c: b for b, c in enumerate(letters)}
-        self.pre_token = regex.compile(WORD_PATTERN if self.suffix else BYTE_PATTERN)
-        if self.suffix:
-            odd = unlike(path) if odd is None else odd
-            self.odd = frozenset(odd)
-            self.exact = regex.compile(exact_pattern(odd), regex.V1)
+        pattern = WORD_PATTERN if self.suffix else BYTE_PATTERN
+        self.pre_token = regex.compile(pattern)
+        if odd is None:
+            odd = unlike(path) if self.suffix else unlike_bytes(path)
+        self.odd = frozenset(odd)
+        self.exact = regex.compile(exact_pattern(odd, pattern), regex.V1)
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")")
         self.known = Generations(self._entry, cache_entries)
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text without special tokens, normalised as the library does."""
-        if self.normalizer is None:
-            return self.pre_token.findall(text)
-        if text.isascii() or self.odd.isdisjoint(text):
-            return self.pre_token.findall(folded(text))
-        return self.exact.findall(self.normalizer.normalize_str(text))
+        usual = text.isascii() or self.odd.isdisjoint(text)
+        if self.normalizer is not None:
+            text = folded(text) if usual else self.normalizer.normalize_str(text)
+        return (self.pre_token if usual else self.exact).findall(text)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The ids left when no adjacent pair can be merged."""
@@ -282,7 +306,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     at = [df.columns.index(c) for c in kept]
     where = df.columns.index(text)
     with open(vocabulary, encoding="utf-8") as f:
-        odd = tuple(unlike(vocabulary).items()) if json.load(f)["model"].get("end_of_word_suffix") else ()
+        odd = tuple((unlike if json.load(f)["model"].get("end_of_word_suffix") else unlike_bytes)(vocabulary).items())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, odd)

@@ -4,7 +4,8 @@ Tier 1 is a compact table of the lengths of frequent pre-tokens, broadcast to ev
 ``FREQUENT`` entries, each key at most ``KEY_CHARS`` letters: a proven bound of a few MB). Tier 2
 is each worker's bounded cache; what neither has is encoded once. The frequent words come from all
 texts: every partition sends only the summary of its own words (at most ``PER_PARTITION`` rows).
-The table decides speed alone; a count never depends on it.
+The table decides speed alone; a count never depends on it. Texts with code points that the
+library's Unicode tables treat otherwise than Python's are split by the library's classes.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows each give their row.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from seriesforge.llm.bpe import BYTE_PATTERN, Generations, byte_letters
+from seriesforge.llm.bpe import BYTE_PATTERN, Generations, byte_letters, exact_pattern, unlike_bytes
 
 FREQUENT = 1 << 16
 PER_PARTITION = 1 << 14
@@ -48,12 +49,14 @@ def frequent_words(df: DataFrame, text: str, most: int) -> list[str]:
 class TokenCounter:
     """Counts with the broadcast table first, the worker's cache second."""
 
-    def __init__(self, path: str, frequent: dict[str, int], cache_entries: int = 400_000):
+    def __init__(self, path: str, frequent: dict[str, int], odd: dict[str, str] | None = None, cache_entries: int = 400_000):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
         specials = [t.content for t in whole.get_added_tokens_decoder().values()]
         self.model, self.pattern = whole.model, regex.compile(BYTE_PATTERN)
+        odd = unlike_bytes(path) if odd is None else odd
+        self.odd, self.exact = frozenset(odd), regex.compile(exact_pattern(odd, BYTE_PATTERN), regex.V1)
         self.specials = specials
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")")
         self.letters = {b: c for b, c in enumerate(byte_letters())}
@@ -71,9 +74,10 @@ class TokenCounter:
 
     def count(self, text: str) -> int:
         pieces = self.special_split.split(text) if any(s in text for s in self.specials) else [text]
+        pattern = self.pattern if text.isascii() or self.odd.isdisjoint(text) else self.exact
         n = 0
         for piece in pieces:
-            n += 1 if piece in self.specials else sum(map(self.frequent.__getitem__, self.pattern.findall(piece)))
+            n += 1 if piece in self.specials else sum(map(self.frequent.__getitem__, pattern.findall(piece)))
         self.rare.turn()
         return n
 
@@ -85,7 +89,8 @@ _ready: dict[str, TokenCounter] = {}
 def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", n_tokens: str = "n_tokens", frequent: int = FREQUENT) -> DataFrame:
     """Adds the number of tokens of every whole text, special strings counted as their token."""
     spark = df.sparkSession
-    counter = TokenCounter(vocabulary, {})
+    odd = unlike_bytes(vocabulary)
+    counter = TokenCounter(vocabulary, {}, odd)
     table = {}
     for w in frequent_words(df, text, frequent):
         for p in counter.pattern.findall(" " + w):
@@ -98,7 +103,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", n_tokens: s
     def counted(texts: pa.Array) -> pa.Array:
         if (c := _ready.get(run)) is None:
             names, lengths = packed.value
-            c = TokenCounter(vocabulary, dict(zip(names.decode().split("\n"), lengths)) if lengths else {})
+            c = TokenCounter(vocabulary, dict(zip(names.decode().split("\n"), lengths)) if lengths else {}, odd)
             _ready.clear()
             _ready[run] = c
         return pa.array([c.count(t.as_py() or "") for t in texts], pa.int64())

@@ -54,6 +54,17 @@ def test_bpe_of_every_code_point():
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(text, add_special_tokens=False).ids, hex(ord(points[a]))
 
 
+def test_byte_level_of_every_code_point():
+    """In three surroundings: within a word, before a contraction, and between a space and a number."""
+    library, own, counter = Tokenizer.from_file(BYTES), bpe.Codec(BYTES), token_counts.TokenCounter(BYTES, {})
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 20000):
+        text = "".join(f"a{c}b {c}'s {c}1 {c}\n" for c in points[a : a + 20000])
+        ids, want = own.encode(text)[0], library.encode(text, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want, hex(ord(points[a]))
+        assert counter.count(text) == len(want)
+
+
 def test_byte_level_round_trip():
     own = bpe.Codec(BYTES)
     for text in TEXTS:
