@@ -99,15 +99,18 @@ def unlike_bytes(path: str) -> dict[str, str]:
     from tokenizers import Tokenizer
 
     split, found = Tokenizer.from_file(path).pre_tokenizer, {}
-    for first in range(0x80, 0x110000, PROBE):
-        every = [chr(c) for c in range(first, min(first + PROBE, 0x110000)) if not 0xD800 <= c < 0xE000]
+    for first in range(0x80, 0x110000, 0x80):
+        every = [chr(c) for c in range(first, first + 0x80) if not 0xD800 <= c < 0xE000]
+        whole = "".join(every)
         kind = dict.fromkeys(every, "S")
-        for name, among in ("L", "a"), ("N", "1"), ("O", "!"):
+        for name, among in ("O", "!"), ("L", "a"), ("N", "1"):
+            if len(split.pre_tokenize_str(among + whole)) == 1:  # all of them are of this kind
+                kind = dict.fromkeys(every, name)
+                break
             text = among + "".join(c + among for c in every)
             for _, (start, end) in split.pre_tokenize_str(text):
                 if end - start > 1:
                     kind |= dict.fromkeys(set(text[start:end]) - {among}, name)
-        whole = "".join(every)
         own = {c: n for n, p in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s")) for c in regex.findall(p, whole)}
         found |= {c: k for c, k in kind.items() if k != own.get(c, "O")}
     return found

@@ -5,7 +5,7 @@ Native expressions turn a text into a mask of the filters that it fails (bit 0 i
 * A: under 200 words; B: fewer than half of the words are distinct; C: over 3 % of the code points
   are A-Z; D: holds any of ``#$%&*|``; E: a smaller id has the same text, anywhere in the table.
 
-E comes from a groupBy on the text's SHA-256, of which only those with copies are joined back. All
+E comes from a groupBy on the text's SHA-256, whose least id is joined back by hash and id. All
 that the audit needs of a part are then the rows of its 32 masks: every prefix of every order, and
 the Shapley sums, are added up from these cells, so no permutation touches a document.
 
@@ -46,7 +46,9 @@ def text_mask(text: Column) -> Column:
 
 
 def masked(docs: DataFrame, part: str = "lang", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, part, mask) of every row. Texts are read once; what is shuffled are their hashes."""
+    """(doc_id, part, mask, n): how many rows have an id and a mask. Texts are read once; what is shuffled
+    are their hashes. The rows of a text's least id are found by hash and id, so the copies of a
+    text don't meet in one task."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -55,10 +57,13 @@ def masked(docs: DataFrame, part: str = "lang", text: str = "text", doc_id: str
         text_mask(F.col(text)).alias("mask"),
     )
     rows = written(rows, "masks")
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    late = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
-    mask = F.col("mask") + F.when(late, 1 << FILTERS.index("E")).otherwise(0)
-    return rows.join(first.select("digest", "least"), "digest", "left").select("doc_id", "part", mask.alias("mask"))
+    named = rows.where("doc_id is not null")
+    first = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    same = named.groupBy("digest", "doc_id", "part", "mask").agg(F.count("*").alias("n"))
+    late = F.when(F.col("first"), 0).otherwise(1 << FILTERS.index("E"))
+    judged = same.join(first, ["digest", "doc_id"], "left").select("doc_id", "part", (F.col("mask") + late).alias("mask"), "n")
+    unnamed = rows.where("doc_id is null").groupBy("doc_id", "part", "mask").agg(F.count("*").alias("n"))
+    return judged.unionByName(unnamed)
 
 
 def cells(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -68,8 +73,8 @@ def cells(rows: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(F.max((F.col("quality") == 1).cast("int")), F.lit(0)).alias("good"),
         F.coalesce(F.max((F.col("toxic") == 1).cast("int")), F.lit(0)).alias("toxic"),
     )
-    every = rows.groupBy("part", "mask").agg(F.count("*").alias("n")).withColumns({"good": F.lit(0), "toxic": F.lit(0)})
-    known = rows.join(marks, "doc_id").groupBy("part", "mask").agg(F.lit(0).alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
+    every = rows.groupBy("part", "mask").agg(F.sum("n").alias("n")).withColumns({"good": F.lit(0), "toxic": F.lit(0)})
+    known = rows.join(marks, "doc_id").groupBy("part", "mask").agg(F.lit(0).alias("none"), F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("toxic")).withColumnRenamed("none", "n")
     both = every.unionByName(known)
     count = lambda c: F.array(*[F.sum(F.when(F.col("mask") == m, F.col(c)).otherwise(0)).cast("long") for m in range(CELLS)])
     return both.groupBy("part").agg(count("n").alias("n"), count("good").alias("good"), count("toxic").alias("toxic"))
