@@ -65,6 +65,24 @@ def lowest(rows: DataFrame, keys: list[str], y: str, order: str) -> DataFrame:
     return rows.withColumn("__r", rank).where("__r = 1").drop("__r")
 
 
+def is_tick_stroke(r: Column, g: Column, b: Column, x0: Column, y0: Column, x1: Column, y1: Column, base: Column) -> Column:
+    """A short dark upright stroke that hangs from the base line of an axis."""
+    length, top = F.abs(y0 - y1), F.least(y0, y1)
+    return (F.greatest(r, g, b) <= 0.25) & (F.abs(x0 - x1) < 0.3) & (length > 0.4) & (length < 7.0) & (top >= base - 8.0) & (top <= base + 4.0)
+
+
+def is_grid_line(r: Column, g: Column, b: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """A long grey level stroke."""
+    grey = [F.abs(c - 0.75) < 0.08 for c in (r, g, b)]
+    return grey[0] & grey[1] & grey[2] & (F.abs(y0 - y1) < 0.25) & (F.abs(x0 - x1) > 40.0)
+
+
+def label_numbers(text: Column) -> Column:
+    """The numbers of a block of lines; null if a line that isn't blank is something else."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.when(F.forall(lines, lambda s: s.rlike("^[0-9]+$")), F.transform(lines, lambda s: s.try_cast("double")))
+
+
 def x_anchor(ticks: Column, lines: Column, labels: Column, least: float = 40.0) -> tuple[Column, Column]:
     """(anchor, source): tick strokes, then grid lines, then labels; the first wide enough wins.
     Each is a struct (left, right)."""
@@ -73,10 +91,10 @@ def x_anchor(ticks: Column, lines: Column, labels: Column, least: float = 40.0)
     return anchor, F.when(ok(ticks), "ticks").when(ok(lines), "grid").when(labels.isNotNull(), "labels")
 
 
-def colour_fit(spans: DataFrame, keys: list[str], box: tuple[Column, Column, Column, Column], target: tuple[float, float, float], order: str, tolerance: float = 0.08) -> DataFrame:
+def colour_fit(spans: DataFrame, keys: list[str], box: tuple[Column, Column, Column, Column], target: tuple, order: str, tolerance: float = 0.08) -> DataFrame:
     """The axis whose numerals are printed in a colour of their own: the line through the tick labels
-    of ``spans`` (keys, text, color, x, y and ``order``) that have it and lie in ``box``
-    (x0, x1, y0, y1). Of labels that show one value, the first in order counts."""
+    of ``spans`` (keys, text, color, x, y and ``order``) that have it (``target``, numbers or columns of
+    the span) and lie in ``box`` (x0, x1, y0, y1). Of labels that show one value, the first in order counts."""
     colour = tuple(c / F.lit(255.0) for c in channels(F.col("color")))
     ticks = spans.where(is_tick_label(F.col("text")) & is_near(colour, target, tolerance) & in_closed_window(F.col("x"), F.col("y"), *box))
     ticks = ticks.groupBy(*keys, F.trim("text").cast("double").alias("value")).agg(F.min_by("y", order).alias("y"))

@@ -1,7 +1,8 @@
 """Charts on a page: reading order, row extent, and joins of what lies inside a window.
 
-The range joins have an equi key (the page) and a residual predicate, so they plan as hash joins
-with a condition, never as nested loops; which side is broadcast is left to the optimizer.
+The range joins have an equi key (the page, or the page and a cell of it) and a residual predicate,
+so they plan as hash joins with a condition, never as nested loops; which side is broadcast is left
+to the optimizer.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ def reading_order(heads: DataFrame, page: str, x: str, y: str, order: str, middl
     return made.withColumn("chart", (F.row_number().over(by) - 1).cast("int"))
 
 
-def row_extent(heads: DataFrame, page: str, height: float, pad: float = 6.0) -> DataFrame:
-    """(page, row_top, row_bottom): a row ends above the next one, the last at the page's end."""
-    rows = heads.select(page, "row_top").distinct()
-    following = F.lead("row_top").over(W.partitionBy(page).orderBy("row_top"))
+def row_extent(heads: DataFrame, page: str, height: float, pad: float = 6.0, top: str = "row_top") -> DataFrame:
+    """(page, ``top``, row_bottom): a row ends above the next one, the last at the page's end."""
+    rows = heads.select(page, top).distinct()
+    following = F.lead(top).over(W.partitionBy(page).orderBy(top))
     return rows.withColumn("row_bottom", F.coalesce(following - F.lit(pad), F.lit(height)))
 
 
@@ -29,6 +30,20 @@ def inside(windows: DataFrame, items: DataFrame, on: list[str], holds: Column) -
     return windows.join(items, on).where(holds)
 
 
+def inside_cells(windows: DataFrame, items: DataFrame, on: list[str], box: tuple[Column, Column, Column, Column], point: tuple[Column, Column], holds: Column, cell: tuple[float, float] = (150.0, 40.0)) -> DataFrame:
+    """``inside`` as an indexed range join. The plane is cut into cells; a window (``box`` of x0, x1, y0, y1,
+    which must hold all that ``holds`` accepts) is entered in each cell that it meets, an item in
+    the one of its ``point``. Both join by ``on`` and cell, so an item meets the windows near it
+    only, a pair meets once, and one page's items are dealt over its cells. Windows without bounds
+    hold nothing. Columns that both sides have besides ``on`` must not be used in ``holds``."""
+    (x0, x1, y0, y1), (w, h) = box, cell
+    index = lambda v, size: F.floor(v / F.lit(size)).cast("long")
+    spread = windows.withColumn("__cx", F.explode(F.sequence(index(x0, w), F.greatest(index(x0, w), index(x1, w)))))
+    spread = spread.withColumn("__cy", F.explode(F.sequence(index(y0, h), F.greatest(index(y0, h), index(y1, h)))))
+    placed = items.withColumns({"__cx": index(point[0], w), "__cy": index(point[1], h)})
+    return spread.join(placed, [*on, "__cx", "__cy"]).where(holds).drop("__cx", "__cy")
+
+
 def padded(rows: DataFrame, groups: DataFrame, keys: list[str], slots: int, slot: str = "slot") -> DataFrame:
     """Every group with all its slots, missing ones as nulls."""
     grid = groups.select(*keys).distinct().withColumn(slot, F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))

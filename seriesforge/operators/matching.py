@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from seriesforge.functions.scalars import header_fields
+
 
 def session_names(rows: DataFrame, base: list[str], order: list[str], name: Column, suffix: Column) -> DataFrame:
     """Adds ``csv_name``: the first of a base gets its name, later ones a suffix (or a number)."""
@@ -44,3 +46,51 @@ def differing(pairs: list[tuple[str, Column, Column, float | None]]) -> Column:
 def missing(wanted: DataFrame, there: DataFrame, on: list[str]) -> DataFrame:
     """Rows that nothing answers: reported, never averaged away."""
     return wanted.join(there, on, "left_anti")
+
+
+def prefix_matches(wanted: DataFrame, names: DataFrame, prefix: str, name: str) -> DataFrame:
+    """Left join of ``wanted`` with the ``names`` that start with its ``prefix``. Each name is entered under each of
+    its own beginnings, so the join is on equal texts; names are short, and their number is multiplied
+    by their length only while they are dealt out."""
+    longest = F.col(name)
+    starts = names.withColumn("__start", F.explode(F.transform(F.sequence(F.lit(0), F.length(longest)), lambda n: F.substring(longest, F.lit(1), n))))
+    return wanted.join(starts, F.col(prefix) == F.col("__start"), "left").drop("__start")
+
+
+def session_file(wanted: DataFrame, files: DataFrame, key: list[str], prefix: str, time: str, name: str = "file") -> DataFrame:
+    """For each wanted session (``key``, ``prefix`` without the ending, ``time`` or null) its file: the only one that
+    starts with the prefix; else the one that ends with the time; else the plain name; else the
+    first in order. Null where there is none. Adds ``matches`` and ``priority`` (1 only or time, 2
+    plain, 3 first, 4 none)."""
+    both = prefix_matches(wanted, files.select(name).distinct(), prefix, name)
+    n = F.count(name).over(W.partitionBy(*key))
+    timed = F.endswith(F.col(name), F.concat(F.lit("_"), F.col(time), F.lit(".csv")))
+    plain = F.col(name) == F.concat(F.col(prefix), F.lit(".csv"))
+    priority = F.when(F.col(name).isNull(), 4).when((F.col("matches") == 1) | F.coalesce(timed, F.lit(False)), 1).when(plain, 2).otherwise(3)
+    ranked = both.withColumn("matches", n).withColumn("priority", priority)
+    rank = F.row_number().over(W.partitionBy(*key).orderBy("priority", name))
+    return ranked.withColumn("__r", rank).where("__r = 1").drop("__r")
+
+
+def header_lines(text: Column, most: int = 8, ahead: int = 3, skip: int = 2) -> Column:
+    """Headers read line by line from a page's text: an array of at most ``most`` structs (animal_id, date_iso,
+    time_hhmm), filled up with nulls. A line with an animal's number opens a header, whose other
+    fields may be in it or the lines after it (``ahead`` in all); reading goes on ``skip`` lines below it.
+    Lines are folded in order with the next line to look at as state; a null text has no header."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    marked = F.transform(lines, lambda s: header_fields(s)["animal_id"].isNotNull())
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at"))
+
+    def step(state: Column, i: Column) -> Column:
+        opens = (i >= state["next"]) & (F.size(state["at"]) < most) & F.get(marked, i)
+        return F.when(opens, F.struct((i + skip).alias("next"), F.concat(state["at"], F.array(i)).alias("at"))).otherwise(state)
+
+    at = F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), start, step, lambda state: state["at"])
+
+    def fields(i: Column) -> Column:
+        block = header_fields(F.array_join(F.slice(lines, i + 1, ahead), " "))
+        own = header_fields(F.get(lines, i))["animal_id"]
+        return F.struct(own.alias("animal_id"), block["date_iso"].alias("date_iso"), block["time_hhmm"].alias("time_hhmm"))
+
+    none = F.lit(None).cast("struct<animal_id string, date_iso string, time_hhmm string>")
+    return F.concat(F.transform(at, fields), F.array_repeat(none, F.lit(most) - F.size(at)))

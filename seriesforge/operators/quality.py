@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seriesforge.functions.scalars import GATE, accuracy_pct, rounded, upper_median
-from seriesforge.operators.series import at_times
+from seriesforge.functions.scalars import GATE, accuracy_pct, rounded
+from seriesforge.operators.selection import middle, selected, upper
+from seriesforge.operators.series import both_at_times
 
 
 def even_times(spans: DataFrame, keys: list[str], start: Column, end: Column, n: int) -> DataFrame:
@@ -15,11 +16,9 @@ def even_times(spans: DataFrame, keys: list[str], start: Column, end: Column, n:
 
 
 def errors_at(truth: DataFrame, found: DataFrame, probes: DataFrame, keys: list[str], outside: str = "clamp") -> DataFrame:
-    """|truth - found| at the probes: (keys, t, v, w, error). Both sides are interpolated by one
-    exchange each, on the same keys."""
-    a = at_times(truth, probes, keys, outside)
-    b = at_times(found, probes, keys, outside).withColumnRenamed("v", "w")
-    return a.join(b, [*keys, "t"]).withColumn("error", F.abs(F.col("v") - F.col("w")))
+    """|truth - found| at the probes: (keys, t, v, w, error), a row for each probe. Both sides are
+    interpolated by one exchange."""
+    return both_at_times(truth, found, probes, keys, outside).withColumn("error", F.abs(F.col("v") - F.col("w")))
 
 
 def error_stats(errors: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,17 +39,42 @@ def pooled(rows: DataFrame, mae: str, coverage: str) -> DataFrame:
     )
 
 
+def accuracy_report(rows: DataFrame) -> DataFrame:
+    """Errors of charts (dataset, chart, curve, found, mae, coverage) for every chart, every data set and over all, in
+    one aggregation: (level, dataset, chart, curve) with how many charts there are, were found and have
+    an error, and the mean, median and largest error and mean coverage of the found ones. Where a
+    found chart lacks the curve, its error is left out and its coverage counts as 0."""
+    none = F.lit(None).cast("string")
+    levels = [("chart", F.col("dataset"), F.col("chart").cast("string")), ("dataset", F.col("dataset"), none), ("all", none, none)]
+    spread = F.inline(F.array(*[F.struct(F.lit(n).alias("level"), d.cast("string").alias("dataset"), c.alias("chart")) for n, d, c in levels]))
+    mae, coverage = F.when(F.col("found"), F.col("mae")), F.when(F.col("found"), F.coalesce(F.col("coverage"), F.lit(0.0)))
+    keys = ["level", "dataset", "chart", "curve"]
+    long = rows.select("curve", "found", mae.alias("mae"), coverage.alias("coverage"), spread)
+    sums = long.groupBy(*keys).agg(
+        F.count("*").alias("charts"), F.count_if("found").alias("found"), F.count("mae").alias("detected"),
+        rounded(F.avg("mae"), 4).alias("mae_mean"), rounded(F.max("mae"), 4).alias("mae_max"), rounded(F.avg("coverage"), 4).alias("coverage_mean"),
+    )
+    medians = middle(long, keys, "mae").select(*[F.col(k).alias(f"m_{k}") for k in keys], rounded(F.col("median"), 4).alias("mae_median"))
+    same = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]
+    return sums.join(medians, same, "left").drop(*[f"m_{k}" for k in keys])
+
+
 def report_summary(charts: DataFrame, keys: list[str], gate: float = GATE) -> DataFrame:
     """One row a report. Medians are upper medians; if any chart has a score, one without counts as
     failing; totals of printed and measured weight are over charts that have both."""
     complete = ~F.col("reaches_axis_end") & F.col("printed").isNotNull() & (F.col("printed") > 0)
     scored = F.count("accuracy_pct")
+    ratio = F.when(F.col("printed") > 0, F.col("measured") / F.col("printed"))
+    values = F.inline(F.array(*[F.struct(F.lit(n).alias("of"), x.alias("x")) for n, x in (("accuracy", F.col("accuracy_pct")), ("yield", ratio))]))
+    medians = selected(charts.select(*keys, values), [*keys, "of"], "x", {"median": upper})
+    pick = lambda n, places: rounded(F.max(F.when(F.col("of") == n, F.col("median"))), places)
+    medians = medians.groupBy(*keys).agg(pick("accuracy", 2).alias("accuracy_median"), pick("yield", 4).alias("yield_median"))
     failing = F.coalesce(F.col("accuracy_pct"), F.lit(0.0)) < F.lit(gate)
-    return charts.groupBy(*keys).agg(
-        F.count("*").alias("charts"), scored.alias("scored"), rounded(upper_median(F.col("accuracy_pct")), 2).alias("accuracy_median"), F.min("accuracy_pct").alias("accuracy_worst"),
+    sums = charts.groupBy(*keys).agg(
+        F.count("*").alias("charts"), scored.alias("scored"), F.min("accuracy_pct").alias("accuracy_worst"),
         F.when(scored > 0, F.count_if(failing)).otherwise(F.lit(0)).alias("below_gate"),
         F.when(scored > 0, F.array_sort(F.collect_list(F.when(failing, F.col("chart"))))).alias("failing"),
         F.count_if(F.col("reason") == "applied").alias("calibrated"), F.count_if(F.col("reason") == "exceeds_pen_width").alias("refused"),
         rounded(F.coalesce(F.sum(F.when(complete, F.col("measured"))), F.lit(0.0)) / F.sum(F.when(complete, F.col("printed"))) * 100, 2).alias("milk_pct_complete"),
-        rounded(upper_median(F.when(F.col("printed") > 0, F.col("measured") / F.col("printed"))), 4).alias("yield_median"),
     )
+    return sums.join(medians, keys, "left")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from seriesforge.functions.scalars import END_OF_FLOW, HALF_PEN_KG, HALF_PEN_POINTS, PEN_SLACK, clip, rounded
+from seriesforge.functions.scalars import END_OF_FLOW, HALF_PEN_KG, HALF_PEN_POINTS, PEN_SLACK, STEP, clip, rounded
 
 
 def collapse(points: DataFrame, keys: list[str], t: Column | None = None, v: Column | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -17,6 +17,35 @@ def collapse(points: DataFrame, keys: list[str], t: Column | None = None, v: Col
     return points.select(*keys, t.alias("t"), v.alias("v")).groupBy(*keys, "t").agg(F.median("v").alias("v"), F.count("*").alias("vertices"))
 
 
+def anchors(points: DataFrame, keys: list[str], within: float = 1e-6) -> DataFrame:
+    """Adds ``anchor``: the time that stands for a point's own. Going up, a time opens a group unless it is
+    less than ``within`` after the one that opened the last, so a chain of near times is cut
+    anew at each anchor. A gap of ``within`` or more always opens a group; between two of them all times
+    mostly fit one. Only where they don't are the distinct times folded in order."""
+    w = W.partitionBy(*keys).orderBy("t")
+    island = F.sum(F.when(F.col("t") - F.lag("t").over(w) < F.lit(within), 0).otherwise(1)).over(w.rangeBetween(W.unboundedPreceding, 0))
+    made = points.withColumn("__island", island)
+    own = W.partitionBy(*keys, "__island")
+    made = made.withColumns({"anchor": F.min("t").over(own), "__end": F.max("t").over(own)})
+    short = made.where(F.col("__end") - F.col("anchor") < F.lit(within))
+    long = made.where(F.col("__end") - F.col("anchor") >= F.lit(within)).drop("anchor")
+    opened = F.aggregate(
+        F.array_sort(F.collect_set("t")), F.array().cast("array<double>"),
+        lambda a, t: F.when((F.size(a) > 0) & (t - F.element_at(a, -1) < F.lit(within)), a).otherwise(F.concat(a, F.array(t))),
+    )
+    folded = long.groupBy(*keys, "__island").agg(opened.alias("__opened"))
+    long = long.join(folded, [*keys, "__island"]).withColumn("anchor", F.array_max(F.filter("__opened", lambda a: a <= F.col("t")))).drop("__opened")
+    return short.unionByName(long).drop("__island", "__end")
+
+
+def collapse_anchored(points: DataFrame, keys: list[str], within: float = 1e-6, places: int = 4) -> DataFrame:
+    """Points (keys, t, v) to a series: those of one anchor become its time and the median of their values,
+    both rounded. Equal times can remain after rounding, as groups are made before it."""
+    made = anchors(points.select(*keys, "t", "v"), keys, within)
+    made = made.groupBy(*keys, "anchor").agg(F.median("v").alias("v"), F.count("*").alias("vertices"))
+    return made.select(*keys, rounded(F.col("anchor"), places).alias("t"), rounded(F.col("v"), places).alias("v"), "vertices")
+
+
 def trapezoid(keys: list[str], t: str = "t", v: str = "v") -> Column:
     """The area between a point and the one before it; its sum is the integral."""
     w = W.partitionBy(*keys).orderBy(t)
@@ -78,6 +107,48 @@ def at_times(curve: DataFrame, probes: DataFrame, keys: list[str], outside: str
     return made.select(*keys, "t", value.alias("v"))
 
 
+def both_at_times(one: DataFrame, two: DataFrame, probes: DataFrame, keys: list[str], outside: str = "clamp") -> DataFrame:
+    """``probes`` (keys, t) with the values ``v`` of curve ``one`` and ``w`` of curve ``two`` there, as
+    ``at_times`` gives them: a union of all three, one exchange and one sort. A probe comes back as
+    often as it was asked, one of a series that a curve lacks with null."""
+    tagged = lambda rows, v, p: rows.select(*keys, "t", v.alias("v"), F.lit(p).alias("p"))
+    rows = tagged(one, F.col("v"), 0).unionByName(tagged(two, F.col("v"), 1)).unionByName(tagged(probes, F.lit(None).cast("double"), 2))
+    w = W.partitionBy(*keys).orderBy("t", "p")
+    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    for p, name in ((0, "v"), (1, "w")):
+        point = F.when(F.col("p") == p, F.struct("t", "v"))
+        rows = rows.withColumns({f"__a{name}": F.last(point, True).over(back), f"__b{name}": F.first(point, True).over(ahead)})
+
+    def value(a: Column, b: Column) -> Column:
+        t = F.col("t")
+        inner = F.when((a["t"] == t) | (b["t"] == a["t"]), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (t - a["t"]) / (b["t"] - a["t"]))
+        if outside == "clamp":
+            return F.when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(inner)
+        return F.when(a.isNotNull() & (b.isNotNull() | (a["t"] == t)), inner)
+
+    made = rows.where("p = 2")
+    return made.select(*keys, "t", value(F.col("__av"), F.col("__bv")).alias("v"), value(F.col("__aw"), F.col("__bw")).alias("w"))
+
+
+def long_table(curves: DataFrame, keys: list[str], totals: DataFrame | None = None, step: float = STEP, flow: str | None = None) -> DataFrame:
+    """(keys, t, v) on an even grid, rounded to four places: series of under two points or without a time
+    over 0 are left out. ``totals`` (keys but the curve's name, ``total``) are stated totals that curves
+    of the name ``flow`` have been scaled to: where a curve's area on the grid is within a thousandth
+    of it, its values take up the rest."""
+    known = W.partitionBy(*keys)
+    worth = curves.withColumns({"__n": F.count("*").over(known), "__end": F.max("t").over(known)}).where("__n > 1 AND __end > 0").drop("__n", "__end")
+    grid = resample(worth, keys, step)
+    last = F.max("t").over(known)
+    grid = grid.withColumn("__last", last).where(~((F.col("t") < F.col("__last")) & (F.col("__last") - F.col("t") <= 1e-9))).drop("__last")
+    grid = grid.withColumn("t", rounded(F.col("t"), 4))
+    if totals is not None:
+        area = grid.withColumn("__a", trapezoid(keys)).withColumn("__area", F.sum("__a").over(known)).drop("__a")
+        k = F.when((F.col("curve") == F.lit(flow)) & (F.col("__area") > 0), F.col("total") / F.col("__area"))
+        grid = area.join(totals, [c for c in keys if c != "curve"], "left")
+        grid = grid.withColumn("v", F.when(F.abs(k - 1.0) <= 1e-3, F.col("v") * k).otherwise(F.col("v")))
+    return grid.select(*keys, "t", rounded(F.col("v"), 4).alias("v"))
+
+
 def scaled_to_total(area: Column, printed: Column, duration: Column, points: Column, slope: Column | None = None, enabled: bool = True) -> tuple[Column, Column]:
     """(scale, reason): a curve is scaled to its printed total if the difference is within what half
     the pen's width can explain; else the reason says why not."""

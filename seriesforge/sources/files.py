@@ -5,7 +5,9 @@ Schemas are explicit. A session's identity is in its file's name: ``animal_{id}_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from seriesforge.operators import matching
 
 CURVE = "curve STRING, time_min DOUBLE, value DOUBLE"
 _POINTS = "STRUCT<time_min ARRAY<DOUBLE>, value ARRAY<DOUBLE>>"
@@ -31,11 +33,13 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(part(1).alias("animal_id"), part(2).alias("date_iso"), part(3).alias("time_hhmm"), "curve", F.col("time_min").alias("t"), F.col("value").alias("v"), "file")
 
 
-def read_truth(spark: SparkSession, path: str, datasets: list[str]) -> DataFrame:
-    """(dataset, page, chart, animal_id, curve, t, v) of a truth file: dataset -> list of charts."""
-    schema = ", ".join(f"`{d}` ARRAY<{TRUTH_CHART}>" for d in datasets)
-    whole = spark.read.schema(schema).option("multiLine", True).json(path)
-    charts = whole.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dataset"), F.col(f"`{d}`").alias("charts")) for d in datasets])).alias("s")).select("s.dataset", F.explode("s.charts").alias("c"))
+def read_truth(spark: SparkSession, path: str, datasets: list[str] | None = None) -> DataFrame:
+    """(dataset, page, chart, animal_id, curve, t, v) of truth files: data set -> list of charts, whatever the
+    data sets are called; ``datasets`` keeps some of them."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"MAP<STRING, ARRAY<{TRUTH_CHART}>>").alias("m"))
+    charts = whole.select(F.explode("m").alias("dataset", "charts")).select("dataset", F.explode("charts").alias("c"))
+    if datasets is not None:
+        charts = charts.where(F.col("dataset").isin(*datasets))
     kinds = F.array(*[F.struct(F.lit(n).alias("curve"), F.col(f"c.{f}").alias("p")) for n, f in ((FLOW, "flusso"), (PRESSURE, "pressione"))])
     long = charts.select("dataset", "c.page", "c.chart", "c.metadata.animal_id", F.explode(kinds).alias("k"))
     points = F.explode(F.arrays_zip(F.col("k.p.time_min").alias("t"), F.col("k.p.value").alias("v"))).alias("p")
@@ -54,6 +58,8 @@ def write_report(summary: DataFrame, path: str) -> None:
 
 
 def by_prefix(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Files whose name starts with ``animal_{id}_{date}``, for each wanted session, in order."""
-    parts = files.select("file", F.regexp_extract("file", NAME, 1).alias("animal_id"), F.regexp_extract("file", NAME, 2).alias("date_iso"))
-    return wanted.join(parts, ["animal_id", "date_iso"], "left").orderBy("animal_id", "date_iso", "file")
+    """For each wanted session (animal_id, date_iso) the files whose name starts with ``animal_{id}_{date}``, with
+    their place in order; null where there is none."""
+    prefix = F.concat(F.lit("animal_"), "animal_id", F.lit("_"), "date_iso")
+    found = matching.prefix_matches(wanted.withColumn("__prefix", prefix), files.select("file").distinct(), "__prefix", "file").drop("__prefix")
+    return found.withColumn("place", F.row_number().over(W.partitionBy("animal_id", "date_iso").orderBy("file")))
