@@ -48,7 +48,7 @@ PIECE, HELD = 1 << 20, 1 << 18
 #: A posting pair costs as much as so many cells of a tile; sources that a light term has at most.
 PAIR_COST, MOST_POSTINGS = 8, 512
 #: Cells of a tile, and the sources whose rows of pairs it sums.
-TILE, STRIPE = 1 << 18, 256
+TILE, STRIPE = 1 << 15, 256
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
