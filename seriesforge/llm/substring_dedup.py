@@ -134,6 +134,9 @@ def removals(docs: DataFrame, text: str, size: int, width: int, bits) -> DataFra
             held.clear()
             order = np.lexsort((at, row, doc, h2, h1))
             h1, h2, doc, row, at = (x[order] for x in (h1, h2, doc, row, at))
+            # Copies of a row without an id, or of one that is there twice, are one text.
+            own = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1])])
+            h1, h2, doc, row, at = (x[own] for x in (h1, h2, doc, row, at))
             fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
             least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
             gone = doc > least
@@ -219,6 +222,8 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", si
         width *= 2
     bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, text, size, width))
     gone = removals(keyed, text, size, width, bits)
+    # What several tasks found in copies of one row is kept once, in the exchange that collects a row's ranges.
+    gone = gone.repartition("id", "row").dropDuplicates(["id", "row", "lo", "hi", "more"])
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("lo", "hi", "more")).alias("__ranges"))
 
     @F.arrow_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))

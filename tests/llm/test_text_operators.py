@@ -231,6 +231,16 @@ def test_texts_that_repeat_themselves(spark):
     assert {r.id for r in gone} == {2} and starts == list(range(131)) and len(gone) <= 2
 
 
+def test_thousands_of_copies_without_an_id_are_one_text(spark):
+    """Copies of a long text, without an id or with one, cost no more than reading them."""
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(400)}" for _ in range(1000))
+    passage = " ".join(text.split()[100:200])
+    rows = [(None, text)] * 5000 + [(9, text)] * 300 + [(4, passage)]
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(None, 1000, 1000, 5000), (9, 1000, 100, 300), (4, 100, 0, 1)], key=str)
+
+
 def test_thousands_of_null_ids_are_told_apart(spark):
     fresh = itertools.count()
     words = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n))
