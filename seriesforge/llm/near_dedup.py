@@ -5,9 +5,10 @@ the cell of its nearest codewords. A vector visits cells by the multi-sequence o
 (the distances of both halves to the codewords' Voronoi regions) until the target recall is
 reached, and verifies what it meets in doubles. How far that is, is measured first: the true links
 of ``PROBES`` vectors against all others, found by brute force in blocks, show at which bound the
-target share of them has been met; the traversal goes twice as far, and at least ``LEAST`` of the
-way at which no link at all could be missed. A target recall of 1 goes all that way: the exact
-result. A link found from either side counts for both.
+target share of them has been met, each probe that has links counting alike; the traversal goes
+twice as far, and at least ``LEAST`` of the way at which no link at all could be missed. Where too few
+probes have links to tell, and they aren't all vectors, or with a target recall of 1, it goes all
+that way: the exact result. A link found from either side counts for both.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors; all are indexed. Equal vectors are one node
 with a count. A grid row is one piece of work, cut by a hash into pieces of about ``MEMBERS``
@@ -26,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from seriesforge.llm.common import components, written
 from seriesforge.llm.vectors import packs, usable, width_of
 from seriesforge.llm.words import mixed
 
 SAMPLE = 16_384
-PROBES = 1000
+#: Vectors probed; the larger number if under ENOUGH of the smaller one have links.
+PROBES, ENOUGH = (1000, 8000), 200
+STEPS = 1000
 TARGET_RECALL = 0.999
 LEAST = 0.02
 PACK = 512
@@ -157,38 +160,54 @@ class Grid:
         return tuple(bounds(x, b, a) for x, b, a in zip((unit_vectors[:, : self.half], unit_vectors[:, self.half :]), self.books, self.apart))
 
 
-def traversal_reach(nodes: DataFrame, width: int, cosine: float, books, half: int, target_recall: float) -> float:
+def traversal_reach(nodes: DataFrame, n: int, width: int, cosine: float, books, half: int, target_recall: float) -> float:
     """The bound at which the traversal ends (see above)."""
-    spark, whole = nodes.sparkSession, 2 - 2 * cosine + 1e-9
+    whole = 2 - 2 * cosine + 1e-9
     if target_recall >= 1:
         return whole
-    probes = nodes.orderBy(F.xxhash64(F.lit(3), "node"), "node").limit(PROBES).select("node", "copies", "v")
-    ids, _, v = next(packs(probes.toArrow().combine_chunks().to_batches(), width, PROBES))
+    for wanted in PROBES:
+        by_step, linked = probed(nodes, wanted, width, cosine, books, half)
+        if linked >= ENOUGH or wanted >= n:
+            break
+    else:
+        log.info("under %d of %d probes have links: the traversal goes the whole way", ENOUGH, wanted)
+        return whole
+    so_far, share = 0.0, 0.0
+    for step in sorted(by_step):
+        so_far += by_step[step] / linked
+        share = 2 * (step + 1) / STEPS
+        if so_far >= target_recall:
+            break
+    reach = min(max(share, LEAST), 1) * whole
+    there = sum(v for k, v in by_step.items() if (k + 1) / STEPS * whole <= reach) / max(linked, 1)
+    log.info("of %d probes with links %.5f of each one's links lie within the traversal", linked, there)
+    return reach
+
+
+def probed(nodes: DataFrame, wanted: int, width: int, cosine: float, books, half: int) -> tuple[dict[int, float], int]:
+    """({step: share}, probes): the links of ``wanted`` vectors, found by brute force, by the thousandth of the
+    whole way at which they are met. Each probe that has links counts alike, however many they are,
+    so one large group doesn't outvote the sparse pairs."""
+    spark, whole = nodes.sparkSession, 2 - 2 * cosine + 1e-9
+    probes = nodes.orderBy(F.xxhash64(F.lit(3), "node"), "node").limit(wanted).select("node", "copies", "v")
+    ids, _, v = next(packs(probes.toArrow().combine_chunks().to_batches(), width, wanted))
     held = spark.sparkContext.broadcast((ids, unit(v)))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many true links lie within each thousandth of the whole way."""
-        grid, (own, probe), found = Grid(books.value, half), held.value, np.zeros(1001, np.int64)
+        grid, (own, probe) = Grid(books.value, half), held.value
         (first, _), (second, _) = grid.bounds(probe)
         for ids, _, v in packs(batches, width, PACK):
             u = unit(v)
             p, q = np.nonzero((probe @ u.T >= cosine) & (own[:, None] != ids))
             i, j = grid.cells(u)
-            found += np.bincount(np.minimum((first[p, i[q]] + second[p, j[q]]) / whole * 1000, 1000).astype(int), minlength=1001)
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["step", "n"])
-
-    steps = nodes.mapInArrow(met, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()
-    total, so_far, share = sum(r.n for r in steps), 0, 0.0
-    for r in steps:
-        so_far += r.n
-        if so_far >= target_recall * total:
-            share = 2 * (r.step + 1) / 1000
-            break
-    reach = min(max(share, LEAST), 1) * whole
-    met_there = sum(r.n for r in steps if (r.step + 1) / 1000 * whole <= reach)
-    log.info("%d of %d true links of %d probes lie within the traversal", met_there, total, len(ids))
-    return reach
+            at = np.minimum((first[p, i[q]] + second[p, j[q]]) / whole * STEPS, STEPS).astype(np.int64)
+            key, count = np.unique(p * (STEPS + 1) + at, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key // (STEPS + 1)), pa.array(key % (STEPS + 1)), pa.array(count)], ["probe", "step", "n"])
+
+    found = nodes.mapInArrow(met, "probe long, step long, n long").groupBy("probe", "step").agg(F.sum("n").alias("n"))
+    shares = found.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("probe")))
+    by_step = {r.step: r.share for r in shares.groupBy("step").agg(F.sum("share").alias("share")).collect()}  # at most STEPS + 1 rows
+    return by_step, round(sum(by_step.values()))
 
 
 def links(nodes: DataFrame, n: int, width: int, cosine: float, kind: type, target_recall: float) -> DataFrame:
@@ -200,7 +219,7 @@ def links(nodes: DataFrame, n: int, width: int, cosine: float, kind: type, targe
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("node", "copies", "v")
     sample = unit(next(packs(sample.toArrow().combine_chunks().to_batches(), width, SAMPLE))[2])
     books = spark.sparkContext.broadcast((codebook(sample[:, :half], k), codebook(sample[:, half:], k) if width > 1 else np.zeros((1, 0))))
-    reach = traversal_reach(nodes, width, cosine, books, half, target_recall)
+    reach = traversal_reach(nodes, n, width, cosine, books, half, target_recall)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many vectors of a task lie in each grid row."""

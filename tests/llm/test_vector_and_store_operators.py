@@ -56,7 +56,7 @@ def test_recall_of_near_duplicates(spark, caplog):
     frame = spark.createDataFrame([(k, x, 0) for k, x in enumerate(v.tolist())], SCHEMA).repartition(5)
     with caplog.at_level("INFO", near_dedup.log.name):
         got = {r.vec_id: r.n_links for r in near_dedup.near_duplicates(frame).collect()}
-    assert "true links" in caplog.text
+    assert "lie within the traversal" in caplog.text
     v = v.astype(float)
     v /= np.sqrt((v**2).sum(1))[:, None]
     true = {k: int((v @ v[k] >= 0.95).sum()) - 1 for k in range(0, len(v), 100)}
@@ -64,6 +64,43 @@ def test_recall_of_near_duplicates(spark, caplog):
     assert sum(got[k] for k in true) >= 0.99 * sum(true.values())
 
 
+def near_pairs(v):
+    v = v.astype(np.float32).astype(float)
+    v /= np.sqrt((v**2).sum(1))[:, None]
+    p, q = np.nonzero(np.triu(v @ v.T >= 0.95, 1))
+    return set(zip(p.tolist(), q.tolist()))
+
+
+def test_a_huge_group_does_not_outvote_sparse_pairs(spark, monkeypatch):
+    """1,500 near copies of one vector and 700 pairs elsewhere: at least 0.99 of the links of each kind."""
+    monkeypatch.setattr(near_dedup, "ENOUGH", 50)
+    rng = np.random.default_rng(11)
+    group = rng.normal(size=32) + 0.02 * rng.normal(size=(1500, 32))
+    one = rng.normal(size=(700, 32))
+    v = np.concatenate([group, one, one + 0.28 * rng.normal(size=one.shape)]).astype(np.float32)
+    true = near_pairs(v)
+    links = np.bincount(np.array(sorted(true)).ravel(), minlength=len(v))
+    frame = spark.createDataFrame([(k, x, 0) for k, x in enumerate(v.tolist())], SCHEMA).repartition(5)
+    got = {r.vec_id: r.n_links for r in near_dedup.near_duplicates(frame).collect()}
+    for rows in range(1500), range(1500, len(v)):
+        assert sum(links[k] for k in rows) > 300 and all(got[k] <= links[k] for k in rows)
+        assert sum(got[k] for k in rows) >= 0.99 * sum(links[k] for k in rows)
+
+
+def test_without_evidence_the_traversal_goes_the_whole_way(spark, monkeypatch, caplog):
+    """Ten pairs among 3,000 vectors, hardly any of them probed: none is lost."""
+    monkeypatch.setattr(near_dedup, "PROBES", (50, 100))
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(3000, 16))
+    v[2990:] = v[:10] + 0.25 * rng.normal(size=(10, 16))
+    true = near_pairs(v)
+    frame = spark.createDataFrame([(k, x, 0) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<float>, label int").repartition(3)
+    with caplog.at_level("INFO", near_dedup.log.name):
+        got = {r.vec_id: r.n_links for r in near_dedup.near_duplicates(frame).collect() if r.n_links}
+    assert "the whole way" in caplog.text and len(true) >= 5
+    assert sum(got.values()) == 2 * len(true)
+
+
 def test_forest_of_links():
     rng = np.random.default_rng(3)
     for n, m in ((1, 0), (50, 20), (200, 180), (300, 2000)):
