@@ -65,6 +65,32 @@ def saturation(r: Column, g: Column, b: Column) -> Column:
     return F.when(top == 0, F.lit(0.0)).otherwise((top - F.least(r, g, b)) * 255.0 / top)
 
 
+def blue_pixel(r: Column, g: Column, b: Column) -> Column:
+    """A flow pixel by hue, saturation and value (8-bit channels; fixed limits)."""
+    return hue(r, g, b).between(95, 135) & (saturation(r, g, b) >= 60) & (F.greatest(r, g, b) >= 60)
+
+
+def green_pixel(r: Column, g: Column, b: Column) -> Column:
+    """A pressure pixel."""
+    return hue(r, g, b).between(40, 90) & (saturation(r, g, b) >= 40) & (F.greatest(r, g, b) >= 40)
+
+
+def plain_blue(r: Column, g: Column, b: Column) -> Column:
+    """A flow pixel by its channels alone, as a check that doesn't share the other's limits."""
+    return (b > 150) & (r < 90) & (g < 90)
+
+
+def plain_green(r: Column, g: Column, b: Column) -> Column:
+    return (g > 90) & (r < 90) & (b < 90)
+
+
+def accepted_upload(name: Column) -> Column:
+    """Whether a file's name has an ending that reports come with. A name that only begins with a dot has
+    no ending; a null name isn't accepted."""
+    ending = F.regexp_extract(F.lower(name), r"[^/\\.][^/\\]*(\.[^./\\]+)$", 1)
+    return F.coalesce(ending.isin(".pdf", ".png", ".jpg", ".jpeg"), F.lit(False))
+
+
 def is_tick_label(text: Column) -> Column:
     """One or two digits, white space around them aside."""
     return F.trim(text).rlike("^[0-9]{1,2}$")

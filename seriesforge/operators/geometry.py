@@ -56,3 +56,27 @@ def merged_ahead(blocks: DataFrame, page: str, order: str, y: str, text: str, ah
     w = W.partitionBy(page).orderBy(order)
     following = [F.when(F.abs(F.lead(y, k).over(w) - F.col(y)) < F.lit(within), F.lead(text, k).over(w)) for k in range(1, ahead + 1)]
     return blocks.withColumn("merged", F.concat_ws(" ", F.col(text), *following))
+
+
+def page_windows(headers: DataFrame, pages: DataFrame, y: str, rows: int = 4, columns: int = 2) -> DataFrame:
+    """(page, chart, x0, x1, y0, y1): the pixel windows of the charts of ``pages`` (page, width and height in pixels,
+    points: the page's height, scale: pixels a point). The distinct tops ``y`` of ``headers`` (page), to a point,
+    begin the rows, each ending 2 points above the next, the last at the page's end; a page with
+    fewer header rows than ``rows`` is cut into an even grid within its margins instead."""
+    c = F.col
+    tops = headers.select("page", F.bround(y).alias("top")).distinct()
+    w = W.partitionBy("page").orderBy("top")
+    tops = tops.select("page", "top", (F.row_number().over(w) - 1).alias("row"), F.lead("top").over(w).alias("below"), F.count("*").over(W.partitionBy("page")).alias("found"))
+    grid = pages.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    both = grid.join(tops.where(c("row") < rows), ["page", "row"], "left")
+    by_header = F.coalesce(F.max("found").over(W.partitionBy("page")) >= rows, F.lit(False))
+    px = lambda points: (points * c("scale")).cast("int")
+    part = lambda size, share: (size * F.lit(share)).cast("int")
+    high = F.floor((c("height") - part(c("height"), 0.015) - part(c("height"), 0.005)) / rows).cast("int")
+    wide = F.floor((c("width") - 2 * part(c("width"), 0.005)) / columns).cast("int")
+    half = F.floor(c("width") / columns).cast("int")
+    both = both.withColumn("by_header", by_header)
+    x0 = F.when(c("by_header"), c("column") * half).otherwise(part(c("width"), 0.005) + c("column") * wide)
+    y0 = F.when(c("by_header"), F.greatest(F.lit(0), px(c("top") - 2))).otherwise(part(c("height"), 0.015) + c("row") * high)
+    y1 = F.when(c("by_header"), F.least(c("height"), px(F.coalesce(c("below") - 2, c("points"))))).otherwise(part(c("height"), 0.015) + (c("row") + 1) * high)
+    return both.select("page", (c("row") * columns + c("column")).cast("int").alias("chart"), x0.alias("x0"), (x0 + F.when(c("by_header"), half).otherwise(wide)).alias("x1"), y0.alias("y0"), y1.alias("y1"))

@@ -94,3 +94,22 @@ def header_lines(text: Column, most: int = 8, ahead: int = 3, skip: int = 2) ->
 
     none = F.lit(None).cast("struct<animal_id string, date_iso string, time_hhmm string>")
     return F.concat(F.transform(at, fields), F.array_repeat(none, F.lit(most) - F.size(at)))
+
+
+#: The fields that a report prints with a chart.
+FIELDS = ("farm", "animal_id", "date_iso", "date_printed", "time_full", "milk_kg", "gnr", "bimo", "le")
+
+
+def metadata_check(extracted: DataFrame, truth: DataFrame, key: list[str], order: str) -> DataFrame:
+    """What was read of each chart (``key`` and ``header_fields``) against the printed text's own ``strict_fields``
+    (``truth``, of which only complete ones count), by animal and time; of several true ones the last in
+    ``order``. (key, animal_id, time_full, matched, differs): the names of the fields that differ, in order;
+    a chart that nothing matches fails with none."""
+    complete = truth.dropna(subset=["animal_id", "date_iso", "time_full", "milk_kg"])
+    complete = complete.withColumn("time_hhmm", F.concat(F.substring("time_full", 1, 2), F.substring("time_full", 4, 2)))
+    same = ["animal_id", "time_hhmm"]
+    known = last_wins(complete, same, order).select(*same, F.struct(*FIELDS).alias("t"), F.lit(True).alias("matched"))
+    both = extracted.join(known, same, "left")
+    fields = differing([(n, F.col(n), F.col(f"t.{n}"), 1e-9 if n == "milk_kg" else None) for n in FIELDS])
+    matched = F.coalesce("matched", F.lit(False))
+    return both.select(*key, "animal_id", "time_full", matched.alias("matched"), F.when(matched, fields).otherwise(F.array().cast("array<string>")).alias("differs"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesforge.functions.scalars import GATE, accuracy_pct, rounded
 from seriesforge.operators.selection import middle, selected, upper
-from seriesforge.operators.series import both_at_times
+from seriesforge.operators.series import both_at_times, trapezoid
 
 
 def even_times(spans: DataFrame, keys: list[str], start: Column, end: Column, n: int) -> DataFrame:
@@ -59,6 +59,24 @@ def accuracy_report(rows: DataFrame) -> DataFrame:
     return sums.join(medians, same, "left").drop(*[f"m_{k}" for k in keys])
 
 
+def session_scores(truth: DataFrame, found: DataFrame, stated: DataFrame, keys: list[str], probes: int = 200) -> DataFrame:
+    """How well sessions were recovered: curves ``truth`` and ``found`` (keys, t, v) and what is ``stated`` of the
+    true ones (keys, milk_kg). Errors are taken at even times from 0 to the earlier of both ends; with them
+    those of the peak and the end, and the found area in percent of the stated weight (0 without
+    one). Sessions that weren't found have nulls."""
+    sizes = lambda rows, n: rows.groupBy(*keys).agg(F.max("t").alias(f"end_{n}"), F.max("v").alias(f"peak_{n}"))
+    area = found.withColumn("__a", trapezoid(keys)).groupBy(*keys).agg(F.coalesce(F.sum("__a"), F.lit(0.0)).alias("area"))
+    both = sizes(truth, 1).join(sizes(found, 2), keys, "left").join(area, keys, "left").join(stated, keys, "left")
+    grid = even_times(both.where("end_2 is not null"), keys, F.lit(0.0), F.least("end_1", "end_2"), probes)
+    errors = errors_at(truth, found, grid, keys).groupBy(*keys).agg(F.avg("error").alias("mean"), F.max("error").alias("max"))
+    pct = F.when(F.col("area").isNotNull(), F.coalesce(F.when(F.col("milk_kg") != 0, 100.0 * F.col("area") / F.col("milk_kg")), F.lit(0.0)))
+    made = both.join(errors, keys, "left")
+    return made.select(
+        *keys, F.col("end_2").isNotNull().alias("found"), rounded(F.col("mean"), 4).alias("curve_mean"), rounded(F.col("max"), 4).alias("curve_max"),
+        rounded(F.abs(F.col("peak_2") - F.col("peak_1")), 4).alias("peak_error"), rounded(F.abs(F.col("end_2") - F.col("end_1")), 4).alias("end_error"), rounded(pct, 2).alias("milk_pct"),
+    )
+
+
 def report_summary(charts: DataFrame, keys: list[str], gate: float = GATE) -> DataFrame:
     """One row a report. Medians are upper medians; if any chart has a score, one without counts as
     failing; totals of printed and measured weight are over charts that have both."""

@@ -179,6 +179,18 @@ def threshold_stats(curve: DataFrame, keys: list[str], threshold: float = END_OF
     )
 
 
+def session_stats(curves: DataFrame, keys: list[str], flow: str, pressure: str, threshold: float = END_OF_FLOW) -> DataFrame:
+    """Of each session's curves (keys, curve, t, v): the flow's peak, how long it lasts above the threshold and its
+    area (the estimated yield), and the pressure's mean. A session without one of them has nulls."""
+    is_flow, is_pressure = F.col("curve") == F.lit(flow), F.col("curve") == F.lit(pressure)
+    over = F.when(is_flow & (F.col("v") >= F.lit(threshold)), F.col("t"))
+    made = curves.withColumn("__a", trapezoid([*keys, "curve"]))
+    return made.groupBy(*keys).agg(
+        F.max(F.when(is_flow, F.col("v"))).alias("peak"), F.when(F.count(F.when(is_flow, 1)) > 0, F.coalesce(F.max(over) - F.min(over), F.lit(0.0))).alias("duration"),
+        rounded(F.sum(F.when(is_flow, F.coalesce("__a", F.lit(0.0)))), 4).alias("estimated_yield"), rounded(F.avg(F.when(is_pressure, F.col("v"))), 4).alias("mean_pressure"),
+    )
+
+
 def even_sample(curve: DataFrame, keys: list[str], most: int) -> DataFrame:
     """At most ``most`` points at evenly spaced ranks, the first and the last among them."""
     w = W.partitionBy(*keys)

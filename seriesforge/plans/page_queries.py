@@ -118,11 +118,10 @@ def colour_unpack(spark, d):
     r, g, b = scalars.channels(packed)
     o = table(spark, d, "orders").select("o_orderkey", r.alias("r"), g.alias("g"), b.alias("b"))
     r, g, b = (F.col(n) for n in "rgb")
-    h, s = scalars.hue(r, g, b), scalars.saturation(r, g, b)
-    v = F.greatest(r, g, b)
-    blue = h.between(95, 135) & (s >= 60) & (v >= 60)
-    green = h.between(40, 90) & (s >= 40) & (v >= 40)
-    return o.select("o_orderkey", "r", "g", "b", blue.alias("blue_pixel"), green.alias("green_pixel"), ((b > 150) & (r < 90) & (g < 90)).alias("blue_plain"), ((g > 90) & (r < 90) & (b < 90)).alias("green_plain"))
+    return o.select(
+        "o_orderkey", "r", "g", "b", scalars.blue_pixel(r, g, b).alias("blue_pixel"), scalars.green_pixel(r, g, b).alias("green_pixel"),
+        scalars.plain_blue(r, g, b).alias("blue_plain"), scalars.plain_green(r, g, b).alias("green_plain"),
+    )
 
 
 def tick_strokes(spark, d):

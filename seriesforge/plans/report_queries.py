@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesforge.functions.scalars import rounded
-from seriesforge.operators import matching, quality, runs, selection, series
-from seriesforge.plans.record_queries import SESSIONS_SQL, sessions
-from seriesforge.plans.series_queries import KEY, MAE_SQL, curves, mae, off
+from seriesforge.functions.scalars import accepted_upload, header_fields, rounded, strict_fields
+from seriesforge.operators import geometry, matching, quality, runs, selection, series
+from seriesforge.plans import axis_queries, record_queries
+from seriesforge.plans.record_queries import SESSIONS_SQL, headers, sessions
+from seriesforge.plans.series_queries import KEY, MAE_SQL, METRICS_SQL, OFF_SQL, PROBE_SQL, curves, mae, off
 from seriesforge.sources.tables import CURVES_SQL, POINTS_SQL, points, table
 
 
@@ -68,7 +69,48 @@ def pixel_curves(spark, d):
     return runs.pixels_to_curve(pixels, boxes, ["l_suppkey"], 10.0, 9.0, 120, anchor_end=True)
 
 
-QUERIES = {f.__name__: f for f in (upper_median, accuracy_report, header_line_scan, anchored_collapse, two_curves_at_probes, session_prefix_match, pixel_curves)}
+def metadata_check(spark, d):
+    """What headers were read as against what they print in the report's own form."""
+    texts = headers(spark, d)
+    pick = lambda fields: texts.select("o_orderkey", *[c.alias(n) for n, c in fields.items()])
+    found = matching.metadata_check(pick(header_fields(F.col("text"))), pick(strict_fields(F.col("text"))), ["o_orderkey"], "o_orderkey")
+    return found.withColumn("differs", F.concat_ws(",", "differs"))
+
+
+def session_scores(spark, d):
+    """Curves against a version that is a little off, and areas against a weight that isn't always printed."""
+    c = curves(spark, d)
+    m = series.metrics(c, KEY)
+    stated = m.select("chart", F.when(F.col("chart") % 6 == 0, F.lit(0.0)).otherwise(F.col("integral")).alias("milk_kg"))
+    return quality.session_scores(c, off(c).where("t <= 8"), stated, KEY)
+
+
+def session_stats(spark, d):
+    """Peak, duration and yield of flow, and mean pressure, of each user's purchases and other events."""
+    e = points(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("seq"), "event_type"), "seq")
+    kind = F.when(F.col("event_type") == "purchase", F.lit("pressure")).otherwise(F.lit("flow"))
+    c = series.collapse(e.withColumn("curve", kind).where("chart % 9 <> 0 OR curve = 'flow'"), ["chart", "curve"], low=0.0, high=100.0)
+    return series.session_stats(c, KEY, "flow", "pressure", 20.0)
+
+
+def page_windows(spark, d):
+    """Chart windows of pages made of brands: header rows from prices, and pages of few rows as a grid."""
+    part = table(spark, d, "part").select(F.col("p_brand").alias("page"), (F.col("p_retailprice") / 2.5).alias("y"), "p_partkey", "p_size")
+    heads = part.where(F.when(F.length("page") % 2 == 0, F.col("p_partkey") % 40 == 0).otherwise(F.col("p_size") < 45))
+    pages = part.groupBy("page").agg((F.lit(1200) + F.max("p_size")).alias("width"), F.lit(1754).alias("height"), F.lit(841.92).alias("points"), F.lit(150 / 72.0).alias("scale"))
+    return geometry.page_windows(heads, pages, "y")
+
+
+def accepted_uploads(spark, d):
+    """Files by whether their names' endings are those of reports."""
+    key = F.col("o_orderkey")
+    endings = ("pdf", "PNG", "jpeg", "tar.gz", "pdf.exe", "Jpg")
+    end = F.element_at(F.array(*map(F.lit, endings)), (key % 6 + 1).cast("int"))
+    name = F.when(key % 11 == 0, F.concat(F.lit("."), end)).when(key % 13 == 0, None).otherwise(F.concat(F.lit("in.d/r"), key, F.lit("."), end))
+    return table(spark, d, "orders").select(name.alias("name")).groupBy(accepted_upload(F.col("name")).alias("accepted")).agg(F.count("*").alias("n"), F.max("name").alias("last"))
+
+
+QUERIES = {f.__name__: f for f in (metadata_check, session_scores, session_stats, page_windows, accepted_uploads, upper_median, accuracy_report, header_line_scan, anchored_collapse, two_curves_at_probes, session_prefix_match, pixel_curves)}
 
 LEVELS_SQL = ", ".join(
     f"""{n} AS (SELECT '{n}' AS level, {d} AS dataset, {c} AS chart, curve, count(*) AS charts, count(*) FILTER (found) AS found, count(mae) FILTER (found) AS detected,
@@ -113,4 +155,34 @@ ORACLE_SQL = {
         FROM probes p ASOF LEFT JOIN known a ON p.k = a.k AND p.t >= a.t ASOF LEFT JOIN known b ON p.k = b.k AND p.t <= b.t)
       SELECT k AS l_suppkey, CAST(t AS INTEGER) AS col, floor(least(greatest((t + 1e1 - 1e1) / w * 1e1, 0e0), 1e1) * 1e4 + 5e-1) / 1e4 AS t,
         floor(least(greatest((5e0 + h - (v + 5e0)) / h * 9e0, 0e0), 9e0) * 1e4 + 5e-1) / 1e4 AS v FROM rows JOIN plots USING (k)""",
+    "metadata_check": f"""WITH found AS ({record_queries.ORACLE_SQL["header_parse"]}), strict AS ({axis_queries.ORACLE_SQL["strict_header_parse"]}),
+      known AS (SELECT *, substr(time_full, 1, 2) || substr(time_full, 4, 2) AS time_hhmm FROM strict QUALIFY row_number() OVER (PARTITION BY animal_id, substr(time_full, 1, 5) ORDER BY o_orderkey DESC) = 1)
+      SELECT f.o_orderkey, f.animal_id, f.time_full, k.o_orderkey IS NOT NULL AS matched, CASE WHEN k.o_orderkey IS NULL THEN '' ELSE concat_ws(',', CASE WHEN f.farm IS DISTINCT FROM k.farm THEN 'farm' END,
+        CASE WHEN f.date_iso IS DISTINCT FROM k.date_iso THEN 'date_iso' END, CASE WHEN f.date_printed IS DISTINCT FROM k.date_printed THEN 'date_printed' END, CASE WHEN f.time_full IS DISTINCT FROM k.time_full THEN 'time_full' END,
+        CASE WHEN f.milk_kg IS NULL OR abs(f.milk_kg - k.milk_kg) > 1e-9 THEN 'milk_kg' END, CASE WHEN f.gnr IS DISTINCT FROM k.gnr THEN 'gnr' END, CASE WHEN f.bimo IS DISTINCT FROM k.bimo THEN 'bimo' END, CASE WHEN f.le IS DISTINCT FROM k.le THEN 'le' END) END AS differs
+      FROM found f LEFT JOIN known k ON f.animal_id = k.animal_id AND f.time_hhmm = k.time_hhmm""",
+    "session_scores": f"""WITH {CURVES_SQL}, {OFF_SQL.replace("chart % 10 <> 9", "chart % 10 <> 9 AND t <= 8")}, {METRICS_SQL},
+      ends AS (SELECT a.chart, a.t9, a.v9, b.t9 AS t8, b.v9 AS v8 FROM (SELECT chart, max(t) AS t9, max(v) AS v9 FROM curves GROUP BY chart) a LEFT JOIN (SELECT chart, max(t) AS t9, max(v) AS v9 FROM off GROUP BY chart) b USING (chart)),
+      probes AS (SELECT chart, 0e0 + (least(t9, t8) - 0e0) * i / CAST(199 AS DOUBLE) AS t FROM ends, range(0, 200) r(i) WHERE t8 IS NOT NULL),
+      one AS ({PROBE_SQL.format(curve="curves", out="v")}), two AS ({PROBE_SQL.format(curve="off", out="w")}),
+      e AS (SELECT one.chart, avg(abs(v - w)) AS mean, max(abs(v - w)) AS top FROM one JOIN two ON one.chart = two.chart AND one.t = two.t GROUP BY one.chart),
+      oa AS (SELECT chart, (v + lag(v) OVER w) / 2e0 * (t - lag(t) OVER w) AS a FROM off WINDOW w AS (PARTITION BY chart ORDER BY t)), os AS (SELECT chart, coalesce(sum(a), 0e0) AS area FROM oa GROUP BY chart)
+      SELECT chart, t8 IS NOT NULL AS found, floor(mean * 1e4 + 5e-1) / 1e4 AS curve_mean, floor(top * 1e4 + 5e-1) / 1e4 AS curve_max, floor(abs(v8 - v9) * 1e4 + 5e-1) / 1e4 AS peak_error, floor(abs(t8 - t9) * 1e4 + 5e-1) / 1e4 AS end_error,
+        CASE WHEN area IS NOT NULL THEN floor(CASE WHEN chart % 6 <> 0 AND integral <> 0 THEN 1e2 * area / integral ELSE 0e0 END * 1e2 + 5e-1) / 1e2 END AS milk_pct
+      FROM ends LEFT JOIN e USING (chart) LEFT JOIN os USING (chart) LEFT JOIN metrics USING (chart)""",
+    "session_stats": f"""WITH {POINTS_SQL}, kinds AS (SELECT p.chart, p.t, p.v, CASE WHEN event_type = 'purchase' THEN 'pressure' ELSE 'flow' END AS curve FROM points p JOIN events ON event_id = seq),
+      c AS (SELECT chart, curve, t, median(least(greatest(v, 0e0), 1e2)) AS v FROM kinds WHERE chart % 9 <> 0 OR curve = 'flow' GROUP BY 1, 2, 3), a AS (SELECT *, (v + lag(v) OVER w) / 2e0 * (t - lag(t) OVER w) AS a FROM c WINDOW w AS (PARTITION BY chart, curve ORDER BY t))
+      SELECT chart, max(v) FILTER (curve = 'flow') AS peak, CASE WHEN count(*) FILTER (curve = 'flow') > 0 THEN coalesce(max(t) FILTER (curve = 'flow' AND v >= 2e1) - min(t) FILTER (curve = 'flow' AND v >= 2e1), 0e0) END AS duration,
+        floor(sum(coalesce(a, 0e0)) FILTER (curve = 'flow') * 1e4 + 5e-1) / 1e4 AS estimated_yield, floor(avg(v) FILTER (curve = 'pressure') * 1e4 + 5e-1) / 1e4 AS mean_pressure FROM a GROUP BY chart""",
+    "page_windows": """WITH heads AS (SELECT DISTINCT p_brand AS page, round_even(p_retailprice / 25e-1, 0) AS top FROM part WHERE CASE WHEN length(p_brand) % 2 = 0 THEN p_partkey % 40 = 0 ELSE p_size < 45 END),
+      tops AS (SELECT *, row_number() OVER w - 1 AS row, lead(top) OVER w AS below, count(*) OVER (PARTITION BY page) AS found FROM heads WINDOW w AS (PARTITION BY page ORDER BY top)),
+      cells AS (SELECT p.page, w, r.row, c.col FROM (SELECT p_brand AS page, 1200 + max(p_size) AS w FROM part GROUP BY 1) p, range(0, 4) r(row), range(0, 2) c(col)),
+      made AS (SELECT c.page, c.row, c.col, w, top, below, coalesce(found >= 4, false) AS by_header, CAST(trunc(w * 5e-3) AS INTEGER) AS mx, CAST(trunc(1754 * 15e-3) AS INTEGER) AS my FROM cells c LEFT JOIN tops t ON t.page = c.page AND t.row = c.row),
+      boxes AS (SELECT *, (w - 2 * mx) // 2 AS wide, w // 2 AS half, (1754 - my - CAST(trunc(1754 * 5e-3) AS INTEGER)) // 4 AS high FROM made)
+      SELECT page, CAST(row * 2 + col AS INTEGER) AS chart, CAST(CASE WHEN by_header THEN col * half ELSE mx + col * wide END AS INTEGER) AS x0, CAST(CASE WHEN by_header THEN (col + 1) * half ELSE mx + (col + 1) * wide END AS INTEGER) AS x1,
+        CAST(CASE WHEN by_header THEN greatest(0, trunc((top - 2) * (15e1 / 72e0))) ELSE my + row * high END AS INTEGER) AS y0,
+        CAST(CASE WHEN by_header THEN least(1754, trunc(coalesce(below - 2, CAST(841.92 AS DOUBLE)) * (15e1 / 72e0))) ELSE my + (row + 1) * high END AS INTEGER) AS y1 FROM boxes""",
+    "accepted_uploads": """WITH n AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN '.' || e WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'in.d/r' || o_orderkey || '.' || e END AS name, o_orderkey % 11 = 0 AS dot, o_orderkey % 6 AS k
+        FROM (SELECT *, ['pdf', 'PNG', 'jpeg', 'tar.gz', 'pdf.exe', 'Jpg'][o_orderkey % 6 + 1] AS e FROM orders))
+      SELECT name IS NOT NULL AND NOT dot AND k IN (0, 1, 2, 5) AS accepted, count(*) AS n, max(name) AS last FROM n GROUP BY 1""",
 }
