@@ -13,7 +13,8 @@ partition becomes one file. Run bytes are those of the columns, so buckets don't
 A commit writes the manifest under a hidden name and renames it to its version, which fails if that
 version exists: a reader sees the old set or the new one, a writer that dies leaves nothing that
 blocks, and of two writers one gets ``FileExistsError``, calls ``refresh`` and appends again.
-``clean`` removes old versions and runs that no version kept names.
+``clean`` removes old versions and runs that no version kept names. A store needs a file system whose
+rename is atomic; object stores without one aren't covered.
 
 Defined results: rows come back as they were appended, nulls, repeated rows and extra columns
 included; an empty arrival is committed as a run without rows; an empty store has version 0; columns
@@ -26,7 +27,7 @@ import time
 from uuid import uuid4
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from seriesforge.llm.common import removed, shared_folder
 
@@ -77,14 +78,16 @@ class ShardStore:
         """The runs of this version: a few of each size, and the settled ones."""
         return [tuple(r) for r in self.manifest().orderBy("tier", "run").collect()]
 
-    def _measured(self, name: str, tier: int) -> tuple:
-        run = self.spark.read.schema(self.schema).parquet(f"{self.root}/runs/{name}")
+    def _measured(self, rows: DataFrame, name: str, tier: int) -> tuple:
+        """Writes a run, and counts its rows and bytes on the way."""
         n_bytes = sum(
             (F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in self.schema.fields),
             F.lit(0),
         )
-        n = run.agg(F.count("*"), F.coalesce(F.sum(n_bytes), F.lit(0)).cast("long")).first()
-        return name, tier, n[0], n[1], self._settled(name)
+        seen = Observation()
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(n_bytes), F.lit(0)).cast("long").alias("n_bytes"))
+        rows.write.option("compression", "zstd").parquet(f"{self.root}/runs/{name}")
+        return name, tier, seen.get["n"], seen.get["n_bytes"], self._settled(name)
 
     def _settled(self, name: str) -> bool:
         """Whether the stored files of a run average half the target size or more."""
@@ -95,8 +98,7 @@ class ShardStore:
     def append(self, rows: DataFrame) -> None:
         """An arrival becomes a run; then buckets that are full are merged."""
         name = f"tier0-{uuid4().hex}"
-        rows.write.option("compression", "zstd").parquet(f"{self.root}/runs/{name}")
-        self.commit([*self.live(), self._measured(name, 0)])
+        self.commit([*self.live(), self._measured(rows, name, 0)])
         self.compact()
 
     def due(self, live: list[tuple]) -> list[tuple]:
@@ -152,10 +154,14 @@ class ShardStore:
 def op7_sharding(spark, sf_dir: str, arrivals: int = 8) -> DataFrame:
     """All ``documents`` appended in eight arrivals, compacted, and read back by the manifest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    store = ShardStore(spark, f"{shared_folder(spark)}/store-{uuid4().hex}", docs.schema)
-    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))
+    root = f"{shared_folder(spark)}/store-{uuid4().hex}"
+    store = ShardStore(spark, root, docs.schema)
+    # The table is split into its arrivals once; each is then read where it lies.
+    docs.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))).write.option("compression", "zstd").partitionBy("__arrival").parquet(f"{root}/arrivals")
+    split = spark.read.parquet(f"{root}/arrivals")
     for k in range(arrivals):
-        store.append(docs.where(arrival == k))
+        store.append(split.where(F.col("__arrival") == k).select(docs.columns))
+    removed(spark, f"{root}/arrivals")
     out = store.read()
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return out.select("doc_id", "lang", "source", n_bytes.alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("__tier").alias("tier"), F.lit(store.version).alias("version"))
