@@ -1,3 +1,4 @@
+import collections
 import itertools
 import math
 import random
@@ -300,6 +301,50 @@ def test_html_deep_nesting_and_slashes(spark):
     assert out[5] == "see the link and x\nend" and out[6] == " ".join(["word"] * 400_000)
 
 
+def style_tree(pages):
+    """{host: low paths} of (url, html), added up in plain Python."""
+    sites = {}
+    for url, page in pages:
+        host = (url or "").lower().partition("//")[2].partition("/")[0]
+        found, root = {}, html_extract.parsed(page)
+        html_extract.style(root, found)
+        html_extract.inner(root, found)
+        text = html_extract.main_text(root, set())
+        for key, (look, content, other) in found.items():
+            sites.setdefault((host, key), {}).setdefault(text, []).append((look, content, other))
+
+    def entropy(values):
+        n = len(values)
+        return 1.0 if n == 1 else -sum(c / n * math.log(c / n) for c in collections.Counter(values).values()) / math.log(n)
+
+    low = {}
+    for (host, key), by_text in sites.items():
+        looks, contents, others = zip(*(rows[0] for rows in by_text.values()))
+        known = [o for o in others if o is not None]
+        apart = len(set(known)) / len(known) if known else 1.0
+        importance = (1 - html_extract.DEPTH_SHARE) * entropy(looks) + html_extract.DEPTH_SHARE * entropy(contents)
+        if len(looks) >= html_extract.MIN_PAGES and importance < html_extract.LOW and apart >= html_extract.APART:
+            low.setdefault(host, set()).add(key)
+    return low
+
+
+def test_html_style_tree_is_the_plain_one(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(40)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pages = []
+    for host in range(5):
+        fixed = [some(8) for _ in range(3)]
+        for _ in range(rng.randrange(2, 12)):
+            boxes = [f"<div class='x{k}'><p>{fixed[k] if rng.random() < (0.99, 0.9, 0.4)[k] else some(8)}</p></div>" for k in range(3)]
+            inner_box = f"<section class='y'><ul><li>{fixed[0]}</li></ul></section>" if host % 2 else ""
+            body = f"<article><p>{some(30)}</p>{inner_box}</article>" if host < 4 else f"<div class='c'><p>{some(30)}</p></div>"
+            pages.append((f"http://h{host}.org/{len(pages)}", f"<html><body>{boxes[0]}{boxes[1]}{body}{boxes[2]}</body></html>"))
+    want = style_tree(pages)
+    rows = html_extract.low_branches(spark.createDataFrame(pages, "url string, html string").repartition(5), "url", "html").collect()
+    assert {r.host: set(r["__low"]) for r in rows} == want and sum(map(len, want.values())) >= 4
+
+
 def test_html_copies_of_an_article_stay(spark):
     page = lambda t: f"<body><div class='top'><p>Top</p></div><div class='wrap'><article><h1>{t}</h1><p>Text of {t}</p></article></div></body>"
     plain = lambda t: f"<body><div class='mid'><h1>{t}</h1><p>Text of {t}</p></div></body>"
