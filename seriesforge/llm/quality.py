@@ -5,7 +5,8 @@ features, fitted on the labelled documents, at most ``TRAIN_ROWS`` of them (the
 sample; those with the smallest hash of their id). Host and path level: over all documents, the
 mean predicted risk of a host is shrunk toward that of the corpus, and a path's toward its host's,
 by the weight of their evidence; how strongly follows from how much hosts (paths) really differ.
-The final odds are the document's odds moved by what its path's posterior adds to the corpus's.
+The final odds are the document's odds moved by what its path's posterior, of all other documents,
+adds to the corpus's.
 
 Every document is scored. The groups' evidence is one grouped aggregation (partial sums before the
 shuffle, so a host with a third of all rows is a few rows), joined back by Spark's own choice.
@@ -163,7 +164,16 @@ def posteriors(scored: DataFrame, host: str, path: str) -> DataFrame:
         host_mean = (F.col(f"h_{r}") + k_host * corpus) / (F.col("hn") + k_host)
         k_path = strength(out, "n", F.col(f"s_{r}") / F.col("n"), F.col(f"h_{r}") / F.col("hn"), F.col(f"h_{r}") / F.col("hn"))
         columns += [corpus.alias(f"corpus_{r}"), ((F.col(f"s_{r}") + k_path * host_mean) / (F.col("n") + k_path)).alias(f"path_{r}")]
-    return out.select("host", "path", *columns)
+        columns += [F.col(f"s_{r}"), F.col(f"h_{r}"), F.lit(k_host).alias(f"k_host_{r}"), F.lit(k_path).alias(f"k_path_{r}")]
+    return out.select("host", "path", "n", "hn", *columns)
+
+
+def path_of_others(r: str) -> Column:
+    """A document's path's posterior mean without the document itself, whose evidence counts once."""
+    g = F.col("__g")
+    p, k_host, k_path = F.col(f"__p_{r}"), g[f"k_host_{r}"], g[f"k_path_{r}"]
+    host_mean = (g[f"h_{r}"] - p + k_host * g[f"corpus_{r}"]) / (g["hn"] - 1 + k_host)
+    return (g[f"s_{r}"] - p + k_path * host_mean) / (g["n"] - 1 + k_path)
 
 
 def odds(p: Column) -> Column:
@@ -182,10 +192,10 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     scored = risks(docs, fitted(docs, labels, id, text), text)
     scored = written(scored.select(*[F.col(f"`{c}`") for c in needed], *[f"__p_{r}" for r in RISKS]), "scored")
     groups = posteriors(scored.select(host, path, *[f"__p_{r}" for r in RISKS]), host, path)
-    groups = written(groups.withColumnsRenamed({"host": "__host", "path": "__path"}), "groups")
-    both = scored.join(groups, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
+    groups = groups.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.struct(*groups.columns[2:]).alias("__g"))
+    both = scored.join(written(groups, "groups"), F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
     for r in RISKS:
-        raw = odds(F.col(f"__p_{r}")) + odds(F.col(f"path_{r}")) - odds(F.col(f"corpus_{r}"))
+        raw = odds(F.col(f"__p_{r}")) + odds(path_of_others(r)) - odds(F.col(f"__g.corpus_{r}"))
         both = both.withColumn(f"__risk_{r}", 1 / (1 + F.exp(-raw)))
     kept = (F.col("__risk_low") < reject_at) & (F.col("__risk_toxic") < reject_at)
     results = ("risk_low", "risk_toxic", "kept")

@@ -69,7 +69,7 @@ def sha(text):
 
 
 def path_posteriors(rows):
-    """(corpus mean, {(host, path): posterior mean}) of (host, path, risk) rows."""
+    """(corpus mean, for each of the (host, path, risk) rows the posterior mean of its path without the row)."""
     corpus = sum(p for *_, p in rows) / len(rows)
     hosts, paths = {}, {}
     for host, path, p in rows:
@@ -87,8 +87,12 @@ def path_posteriors(rows):
 
     k_host = strength([(v, corpus) for v in hosts.values()])
     k_path = strength([(v, mean(hosts[h])) for (h, _), v in paths.items()])
-    host_mean = {h: (sum(v) + k_host * corpus) / (len(v) + k_host) for h, v in hosts.items()}
-    return corpus, {k: (sum(v) + k_path * host_mean[k[0]]) / (len(v) + k_path) for k, v in paths.items()}
+    out = []
+    for host, path, p in rows:
+        h, v = hosts[host], paths[host, path]
+        host_mean = (sum(h) - p + k_host * corpus) / (len(h) - 1 + k_host)
+        out.append((sum(v) - p + k_path * host_mean) / (len(v) - 1 + k_path))
+    return corpus, out
 
 
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")

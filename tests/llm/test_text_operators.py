@@ -397,6 +397,15 @@ def test_hosts_are_shrunk_by_their_evidence(spark):
     assert abs(got["rare", "x"].path_low - got["rare", "x"].corpus_low) < 0.9 - got["rare", "x"].corpus_low
 
 
+def test_a_document_is_no_evidence_for_itself(spark):
+    """Alone on its path and host, a document's risk is its own and the corpus's, not its own twice."""
+    frame = spark.createDataFrame([("big", "x", v) for v in (0.2, 0.4) * 50] + [("alone", "y", 0.9)], "host string, path string, __p_low double").withColumn("__p_toxic", F.lit(0.5))
+    groups = quality.posteriors(frame, "host", "path")
+    g = groups.select(F.col("host").alias("h"), F.struct(*groups.columns[2:]).alias("__g"))
+    row = frame.join(g, F.col("host") == F.col("h")).where("host = 'alone'").select(quality.path_of_others("low").alias("p"), "__g.corpus_low").first()
+    assert abs(row.p - row.corpus_low) < 1e-9
+
+
 def test_quality_query_is_the_models_risk_moved_by_brute_force_posteriors(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source")
@@ -408,8 +417,8 @@ def test_quality_query_is_the_models_risk_moved_by_brute_force_posteriors(spark)
     want = {}
     for risk in quality.RISKS:
         corpus, paths = brute.path_posteriors([(r.source, r.lang, r[f"__p_{risk}"]) for r in raw])
-        for r in raw:
-            want[r.doc_id, risk] = 1 / (1 + math.exp(-(odds(r[f"__p_{risk}"]) + odds(paths[r.source, r.lang]) - odds(corpus))))
+        for r, of_others in zip(raw, paths):
+            want[r.doc_id, risk] = 1 / (1 + math.exp(-(odds(r[f"__p_{risk}"]) + odds(of_others) - odds(corpus))))
             assert abs(got[r.doc_id][f"risk_{risk}"] - want[r.doc_id, risk]) < 1e-9
     assert all(r.kept == (want[i, "low"] < 0.5 and want[i, "toxic"] < 0.5) for i, r in got.items())
 
