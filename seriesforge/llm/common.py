@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesforge.sources.shared import shared_folder, written, written_at
 
-__all__ = ["components", "removed", "shared_folder", "small_batches", "written", "written_at"]
+__all__ = ["components", "removed", "shared_folder", "small_batches", "whole_groups", "written", "written_at"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -23,6 +26,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 19) -> Iterator[list[np.ndarray]]:
+    """A task's sorted rows as arrays, in pieces of about ``rows`` rows that never cut a group of equal values in
+    the first ``keys`` columns: memory follows the piece and the largest group, not the partition."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy() for c in batch.columns])
+        n += batch.num_rows
+        if n < rows:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held)]
+        last = np.ones(n, bool)
+        for c in columns[:keys]:
+            last &= c == c[-1]
+        cut = n - int(last[::-1].argmin()) if not last.all() else 0
+        if cut:
+            yield [c[:cut] for c in columns]
+        held, n = [[c[cut:] for c in columns]], n - cut
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seriesforge.llm.common import components, small_batches, written
+from seriesforge.llm.common import components, small_batches, whole_groups, written
 from seriesforge.llm.words import mixed, windows, word_hashes
 
 SHINGLE = 5
@@ -218,13 +218,14 @@ def postings(docs: DataFrame, frequent, light: int) -> DataFrame:
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's postings those whose list has two nodes or is shared with other tasks, with the
     list's pivot: in a light list its smallest set, in a heavy one the set that has the shingle
-    earliest in the order, as it has the fewest rare ones of its own (an original among its copies)."""
-    columns = [[x.to_numpy() for x in b.columns] for b in batches if b.num_rows]
-    if not columns:
-        return
-    key, part, node, at = (np.concatenate(c) for c in zip(*columns))
-    order = np.lexsort((node, np.where(part < 0, at >> 32, at & PLACE), part, key))
-    key, part, node, at = key[order], part[order], node[order], at[order]
+    earliest in the order, as it has the fewest rare ones of its own (an original among its copies).
+    Postings come sorted, and are worked on some lists at a time."""
+    for columns in whole_groups(batches, 2):
+        yield from met_lists(*columns)
+
+
+def met_lists(key: np.ndarray, part: np.ndarray, node: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``met`` of whole lists, each sorted by size or place in the order, then node."""
     same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
     stay = np.concatenate([[True], ~same | (node[1:] != node[:-1])])
     key, part, node, at = key[stay], part[stay], node[stay], at[stay]
@@ -259,13 +260,11 @@ def across(lists: DataFrame) -> DataFrame:
     rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "size", "label", "own")
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each set of a list with those of the same size or larger that have another label."""
-        columns = [[x.to_numpy() for x in b.columns] for b in batches if b.num_rows]
-        if not columns:
-            return
-        key, low, high, node, size, label, own = (np.concatenate(c) for c in zip(*columns))
-        order = np.lexsort((node, size, high, low, key))
-        key, low, high, node, size, label, own = (c[order] for c in (key, low, high, node, size, label, own))
+        """Each set of a list with those of the same size or larger that have another label. Lists come sorted."""
+        for columns in whole_groups(batches, 3):
+            yield from pairs_of(*columns)
+
+    def pairs_of(key, low, high, node, size, label, own):
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
         out: list[tuple] = []
         held = 0
@@ -313,7 +312,8 @@ def across(lists: DataFrame) -> DataFrame:
             y = enough(*now, partners, sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), now[0])), pa.array(y)], ["x", "y"])
 
-    packed = rows.repartition("key", "low", "high").mapInArrow(paired, "x long, size long, partners binary, sizes binary")
+    ordered = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "size", "node")
+    packed = ordered.mapInArrow(paired, "x long, size long, partners binary, sizes binary")
     return packed.repartition("x").sortWithinPartitions("x", "size").mapInArrow(counted, "x long, y long")
 
 
@@ -359,7 +359,8 @@ def sets_of(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, frequent, light: int) -> DataFrame:
     """Edges (a, b) between nodes of ``docs`` (id, text) that connect all that links; ``nodes``
     (node, id): one document for each set."""
-    lists = postings(docs, frequent, light).repartition("key", "part").mapInArrow(met, "key long, part int, node long, at long, pivot long, pivot_at long")
+    place_in_list = F.when(F.col("part") < 0, F.shiftright("at", 32)).otherwise(F.col("at").bitwiseAND(F.lit(PLACE)))
+    lists = postings(docs, frequent, light).repartition("key", "part").sortWithinPartitions("key", "part", place_in_list, "node").mapInArrow(met, "key long, part int, node long, at long, pivot long, pivot_at long")
     lists = written(lists, "lists").withColumn("light", F.col("part") < 0)
     # Pivots of lists in parts meet in the smallest of them; a light list needs that for all its members.
     split = lists.where("part > 0 OR part < -1")

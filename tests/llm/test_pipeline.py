@@ -72,5 +72,5 @@ def test_mixed_words_come_to_their_sources_targets(spark):
 
 def test_all_queries_are_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)

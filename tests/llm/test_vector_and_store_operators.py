@@ -2,11 +2,12 @@ from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from seriesforge.llm import near_dedup, sharding, topk
-from seriesforge.llm.common import components, shared_folder
+from seriesforge.llm.common import components, shared_folder, whole_groups
 from tests.llm import brute
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -241,3 +242,19 @@ def test_sql_agrees(spark):
 
 def test_the_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_whole_groups_cut_no_group():
+    rng = np.random.default_rng(5)
+    a = np.sort(rng.integers(0, 60, 3000))
+    b = np.sort(rng.integers(0, 2, 3000))
+    order = np.lexsort((b, a))
+    columns = a[order], b[order], np.arange(3000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 70]) for c in columns], ["a", "b", "c"]) for k in range(0, 3000, 70)]
+    for rows in (1, 100, 5000):
+        pieces = list(whole_groups(iter(batches), 2, rows))
+        assert all((np.concatenate(c) == want).all() for c, want in zip(zip(*pieces), columns))
+        ends = [(p[0][-1], p[1][-1]) for p in pieces]
+        assert len(set(ends)) == len(ends) and all((p[0][0], p[1][0]) != e for p, e in zip(pieces[1:], ends))
+    one = [pa.RecordBatch.from_arrays([pa.array([7] * 50), pa.array([1] * 50)], ["a", "b"])] * 4
+    assert [len(p[0]) for p in whole_groups(iter(one), 2, 60)] == [200] and list(whole_groups(iter([]), 2)) == []
