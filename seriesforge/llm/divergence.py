@@ -44,7 +44,7 @@ LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 
 #: Characters that a task takes terms from at a time, and terms that it holds before it sends them.
-PIECE, HELD = 1 << 20, 1 << 18
+PIECE, HELD = 1 << 20, 1 << 19
 #: A posting pair costs as much as so many cells of a tile; sources that a light term has at most.
 PAIR_COST, MOST_POSTINGS = 8, 512
 #: Cells of a tile, and the sources whose rows of pairs it sums.
@@ -68,12 +68,11 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def sent() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in held.items():
-            terms = ["", *n]
-            for a in range(0, len(terms), 10_000):
-                some = terms[a : a + 10_000]
-                columns = [pa.array(x, pa.string()) for x in ([lang] * len(some), [source] * len(some), some)]
-                columns += [pa.array([c[t] for t in some], pa.int64()) for c in (n, docs)]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+            own = pa.array(["", *n], pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, n)], pa.int64())
+            for a in range(0, len(n) + 1, 10_000):
+                terms, counts, in_docs = (c.slice(a, 10_000) for c in own)
+                names = (pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source))
+                yield pa.RecordBatch.from_arrays([*names, terms, counts, in_docs], ["lang", "source", "term", "n", "docs"])
         held.clear()
 
     for batch in batches:
