@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from seriesforge.functions import scalars
 from seriesforge.operators import calibration, quality, runs, series
 from seriesforge.plans import extract
-from seriesforge.sources import files, pages, synthetic
+from seriesforge.sources import files, pages
 from seriesforge.streaming import sessions
+from tests import synthetic
 
 K = ["chart"]
 
