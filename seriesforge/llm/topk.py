@@ -8,8 +8,8 @@ the entries' distances to the page's vector. The search takes pages best first;
 entry whose stored distances already show that it lies beyond the k-th best, by the triangle
 inequality, is passed over without computing its distance. Ties at the k-th score are all looked at.
 
-The stated queries meet every block as packed rows; each piece of work returns its k best, which a
-window merges. Nothing is sampled.
+The stated queries meet every block as packed rows, in packs that grow with their number; each piece
+of work returns its k best, which a window merges. Nothing is sampled.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part,
 nor do null ids; shorter vectors count as filled up with zeros; a query is never its own candidate
@@ -31,7 +31,8 @@ from seriesforge.llm.common import written
 from seriesforge.llm.vectors import packs, usable, width_of
 
 BLOCK = 8192
-QUERIES = 256
+#: Queries of a pack: an eighth of all, within these bounds. A block is read once for each pack.
+QUERIES, MOST_QUERIES = 256, 4096
 PAGE = 128
 FAN = 16
 
@@ -138,8 +139,9 @@ def top_k(df: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str =
 
     schema = "ids binary, v binary, tree binary"
     blocks = written(rows.mapInArrow(packed(BLOCK), schema), "blocks")
-    asked = rows.where("q = 1").groupBy("id", "q").agg(F.min("v").alias("v"))  # one query an id: its least vector
-    asked = written(asked.mapInArrow(packed(QUERIES), schema).withColumn("pack", F.monotonically_increasing_id()), "queries")
+    asked = written(rows.where("q = 1").groupBy("id", "q").agg(F.min("v").alias("v")), "asked")  # one query an id: its least vector
+    size = min(max(QUERIES, asked.count() // 8), MOST_QUERIES)
+    asked = written(asked.mapInArrow(packed(size), schema).withColumn("pack", F.monotonically_increasing_id()), "queries")
     # Every block meets every pack of queries; both sides are packed, so these are few rows.
     n_packs, n_blocks = asked.count(), blocks.count()
     work = blocks.crossJoin(F.broadcast(asked.select("pack")))  # only the packs' ids
