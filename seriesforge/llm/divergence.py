@@ -39,7 +39,6 @@ from seriesforge.llm.common import small_batches, written
 
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 GAP = re.compile("[\x00-\x40\x5b-\x60\x7b-\x7f]")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 
@@ -51,6 +50,11 @@ PAIR_COST, MOST_POSTINGS = 8, 512
 TILE, STRIPE = 1 << 15, 256
 
 
+def lower(text: str) -> str:
+    """A-Z in lower case, nothing else changed."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     """A text in pieces that cut no term."""
     at = 0
@@ -80,7 +84,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, docs = held.setdefault((lang, source), (Counter(), Counter()))
             own: set[str] = set()
             for piece in pieces(text):
-                terms = TERM.findall(piece.translate(LOWER))
+                terms = TERM.findall(lower(piece))
                 n.update(terms)
                 own.update(terms)
             docs.update(own)
