@@ -53,22 +53,28 @@ def folded(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
+def library_rules(path: str):
+    """The library's normalizer and pre-tokenizer of a vocabulary file. The vocabulary itself isn't
+    loaded into the library: what it takes would stay with the process."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"] |= {"vocab": {}, "merges": []}
+    rules = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None}))
+    return rules.normalizer, rules.pre_tokenizer
+
+
 @lru_cache(maxsize=2)
 def unlike(path: str) -> dict[str, str]:
     """Code points that the library's Unicode tables treat otherwise than Python's, by what the
     library's pre-tokenizer takes them for: L, N, S(pace) or O(ther). All code points are probed:
     among letters (other signs) of its own kind each joins the run, and only the odd ones part it."""
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    split, fold = library.pre_tokenizer, library.normalizer
-    own, odd, changed = {"L": set(), "N": set(), "S": set()}, set(), {}
+    fold, split = library_rules(path)
+    odd, changed = set(), {}
     for first in range(0, 0x110000, PROBE):
         every = "".join(chr(c) for c in range(first, first + PROBE) if not 0xD800 <= c < 0xE000)
         letters, known = set(regex.findall(r"\p{L}", every)), set(regex.findall(r"[\p{N}\s]", every))
-        own["L"] |= letters
-        own["N"] |= set(regex.findall(r"\p{N}", every))
-        own["S"] |= set(regex.findall(r"\s", every))
         odd |= known
         for among, points in (("a", letters), ("!", set(every) - letters - known)):
             text = among + "".join(c + among for c in points)
@@ -86,7 +92,8 @@ def unlike(path: str) -> dict[str, str]:
     odd |= {c for c, x in changed.items() if not odd.isdisjoint(x)}
     kinds = {1: "L", 2: "S", 3: "O", 4: "N"}  # pre-tokens of a code point that stands twice between two letters
     found = {c: kinds[len(split.pre_tokenize_str(f"a{c}{c}b"))] for c in odd}
-    usual = {c: next((k for k, known in own.items() if c in known), "O") for c in odd}
+    own = {"L": regex.compile(r"\p{L}"), "N": regex.compile(r"\p{N}"), "S": regex.compile(r"\s")}
+    usual = {c: next((k for k, p in own.items() if p.match(c)), "O") for c in odd}
     other = {c for c in odd if found[c] != usual[c]}
     return {c: found[c] for c in odd if c in other or found[c] != "S" and (folded(c) != fold.normalize_str(c) or not other.isdisjoint(folded(c)))}
 
@@ -96,9 +103,7 @@ def unlike_bytes(path: str) -> dict[str, str]:
     """``unlike`` for a byte-level vocabulary: what its pre-tokenizer takes a code point for where Python's
     tables say otherwise. A code point joins its neighbours if it is of their kind: letters, numbers or
     other signs; white space joins none. ASCII is the same in both."""
-    from tokenizers import Tokenizer
-
-    split, found = Tokenizer.from_file(path).pre_tokenizer, {}
+    split, found = library_rules(path)[1], {}
     for first in range(0x80, 0x110000, 0x80):
         every = [chr(c) for c in range(first, first + 0x80) if not 0xD800 <= c < 0xE000]
         whole = "".join(every)
@@ -172,8 +177,6 @@ class Codec:
     """Encodes and decodes with a public BPE vocabulary file (JSON)."""
 
     def __init__(self, path: str, odd: dict[str, str] | None = None, cache_entries: int = 100_000):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -189,7 +192,7 @@ class Codec:
         letters = byte_letters()
         self.inner = [self.vocab.get(c) for c in letters]
         self.final = [self.vocab.get(c + self.suffix) for c in letters]
-        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.normalizer = library_rules(path)[0]
         self.bytes_back = spec["decoder"] is not None
         self.byte_of = {c: b for b, c in enumerate(letters)}
         pattern = WORD_PATTERN if self.suffix else BYTE_PATTERN

@@ -97,7 +97,8 @@ def logistic(buckets, counts, shapes, wanted, steps: int = 300, ridge: float = 2
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id: str, text: str) -> dict:
-    """For each risk its weights, or the share of its class where the labels have but one."""
+    """For each risk its weights, or the share of its class where the labels have but one. The sample, which is
+    bounded, is fitted in a task: the driver gets the weights that aren't zero."""
     wanted = labels.where(F.col(id).isNotNull()).groupBy(id).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     wanted = wanted.orderBy(F.xxhash64(id), id).limit(TRAIN_ROWS)
     wanted = wanted.select(id, (F.coalesce("quality", F.lit(1)) == 0).cast("int").alias("low"), (F.coalesce("toxic", F.lit(0)) == 1).cast("int").alias("toxic"))
@@ -109,16 +110,29 @@ def fitted(docs: DataFrame, labels: DataFrame, id: str, text: str) -> dict:
             words = [buckets[e - n : e].tobytes() for e, n in zip(ends, counts)]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(shapes.tolist(), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["words", "shape", *RISKS])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, shapes, classes = [], [], []
+        for batch in batches:
+            words += [np.frombuffer(w, np.int32) for w in batch.column(0).to_pylist()]
+            shapes += batch.column(1).to_pylist()
+            classes.append(np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()], 1).astype(float))
+        if not shapes:
+            return
+        sample = np.concatenate(words), np.array([len(w) for w in words]), np.array(shapes)
+        for risk, is_so in zip(RISKS, np.concatenate(classes).T):
+            share = float(is_so.mean())
+            weights = logistic(*sample, is_so) if 0 < share < 1 else np.zeros(0)
+            at = np.flatnonzero(weights)
+            yield pa.RecordBatch.from_arrays([pa.array([risk]), pa.array([share]), pa.array([len(weights)]), pa.array([at.tobytes()], pa.binary()), pa.array([weights[at].tobytes()], pa.binary())], ["risk", "share", "size", "at", "weights"])
+
     rows = docs.select(id, text).join(F.broadcast(wanted), id).select(text, *RISKS)
-    rows = rows.mapInArrow(read, "words binary, shape array<double>, low int, toxic int").orderBy(F.xxhash64("words"), *RISKS).limit(TRAIN_ROWS).collect()
-    words = [np.frombuffer(r.words, np.int32) for r in rows]
-    found = {}
-    for risk in RISKS:
-        is_so = np.array([r[risk] for r in rows], float)
-        if 0 < is_so.sum() < len(rows):
-            found[risk] = logistic(np.concatenate(words), np.array([len(w) for w in words]), np.array([r["shape"] for r in rows]), is_so)
-        else:
-            found[risk] = float(is_so.mean()) if rows else 0.0
+    rows = rows.mapInArrow(read, "words binary, shape array<double>, low int, toxic int").orderBy(F.xxhash64("words"), *RISKS).limit(TRAIN_ROWS).coalesce(1)
+    found: dict = dict.fromkeys(RISKS, 0.0)
+    for r in rows.mapInArrow(fit, "risk string, share double, size long, at binary, weights binary").collect():
+        found[r.risk] = r.share
+        if r["size"]:
+            found[r.risk] = np.zeros(r["size"])
+            found[r.risk][np.frombuffer(r.at, np.int64)] = np.frombuffer(r.weights)
     return found
 
 

@@ -1,8 +1,11 @@
 import collections
 import itertools
 import math
+import os
 import random
 import struct
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -55,6 +58,24 @@ def test_bpe_of_every_code_point():
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(text, add_special_tokens=False).ids, hex(ord(points[a]))
 
 
+def test_library_rules_are_read_without_the_vocabulary():
+    """The driver's memory keeps what the library takes for a vocabulary, so it isn't loaded there (it grew by 53 MB)."""
+    script = """if True:
+        import re, tokenizers
+        from seriesforge.llm import bpe
+
+        def held():
+            return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+        before = held()
+        assert bpe.unlike(PATH)
+        print(held() - before)
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", script.replace("PATH", repr(WORDS))], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=120, check=True)
+    assert float(out.stdout) < 25
+
+
 def test_byte_level_of_every_code_point():
     """Within a word, before a contraction, before a number and at a line's end. Planes 3 to 13, 15 and 16
     hold no assigned code points beyond those taken here."""
@@ -367,6 +388,17 @@ def test_html_boxes_that_articles_of_a_site_repeat_go(spark):
         assert out[200 + k] == f"T\n{body(0)} and {k}\nGet our letter\nEnd of T"
 
 
+def test_quality_is_fitted_in_a_task(spark, monkeypatch):
+    """The sample stays on the executors: the driver collects a row a risk (before: the words of each labelled document)."""
+    docs = spark.createDataFrame([(i, ("bad spam " if i % 2 else "good words ") * 20 + f"w{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    collected, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: collected.append(rows := collect(self)) or rows)
+    models = quality.fitted(docs, labels, "doc_id", "text")
+    assert sum(map(len, collected)) == 2 and models["toxic"] == 0.0 and len(models["low"]) > quality.BUCKETS
+    assert quality.fitted(docs.limit(0), labels, "doc_id", "text") == {"low": 0.0, "toxic": 0.0}
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source")
