@@ -4,6 +4,8 @@ A pre-token's merges run on a segment tree over its adjacent pairs: leaf ``i`` h
 ``rank << 32 | i`` of the pair that starts at symbol ``i`` (or "no merge"), every inner node the
 smaller of its children, so the root is always the leftmost pair of the lowest rank. A merge
 changes three leaves, each updated in logarithmic time; the loop ends when the root has no pair.
+The trees of a piece's new pre-tokens stand side by side in arrays and take their merges together;
+those of over ``BESIDE`` symbols have a tree of their own.
 Finished pre-tokens are kept in a bounded two-generation cache of the Python worker.
 
 Defined results: a null text is the empty text; an empty text has no ids and decodes to the empty
@@ -17,7 +19,9 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -32,6 +36,11 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 BATCH = 256
 #: Code points probed at a time.
 PROBE = 1 << 12
+#: Code points of the texts whose new pre-tokens are merged together.
+PIECE = 1 << 20
+#: Symbols of the longest pre-token whose tree stands beside others, and tree nodes held at a time.
+BESIDE = 65
+NODES = 1 << 16
 NO_MERGE = 1 << 62
 POSITION = (1 << 32) - 1
 
@@ -166,6 +175,12 @@ class Generations(dict):
         self.clear()
         self.old = {}
 
+    def lacking(self, keys: set) -> list:
+        """Which of ``keys`` neither generation has; those that the old one has return to the young."""
+        keys = [k for k in keys if k not in self]
+        self.update((k, self.old[k]) for k in keys if k in self.old)
+        return [k for k in keys if k not in self.old]
+
     def turn(self) -> None:
         """Called between texts."""
         if len(self) > self.limit:
@@ -189,9 +204,15 @@ class Codec:
         for left, right in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             self.pairs[self.vocab[left] << 24 | self.vocab[right]] = len(self.results)
             self.results.append(self.vocab[left + right])
+        keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_keys = np.append(keys, np.int64(1 << 62))
+        self.pair_ranks = np.append(np.array([self.pairs[k] for k in keys.tolist()], np.int64), 0) << 32
+        self.pair_results = np.array(self.results, np.int64)
         letters = byte_letters()
         self.inner = [self.vocab.get(c) for c in letters]
         self.final = [self.vocab.get(c + self.suffix) for c in letters]
+        self.first = np.array([[-1 if i is None else i for i in kind] for kind in (self.inner, self.final)], np.int64)
+        self.token_bytes = {i: t.encode() for i, t in self.tokens.items()}
         self.normalizer = library_rules(path)[0]
         self.bytes_back = spec["decoder"] is not None
         self.byte_of = {c: b for b, c in enumerate(letters)}
@@ -259,6 +280,95 @@ class Codec:
         rank = self.pairs.get(symbols[left] << 24 | symbols[right])
         return NO_MERGE if rank is None else rank << 32 | left
 
+    def _leaves(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The leaves of the pairs of symbols that start at ``at``; -1 is no symbol."""
+        keys = (left << 24) | right
+        found = self.pair_keys.searchsorted(keys)
+        return np.where((self.pair_keys[found] == keys) & (left >= 0), self.pair_ranks[found] | at, NO_MERGE)
+
+    def _merge_beside(self, symbols: np.ndarray, depth: int) -> np.ndarray:
+        """``merge`` of each column, -1 after its end; the trees have 2 ** depth leaves. Row p of the
+        result is the symbol that starts at p, or -1."""
+        size, m = 1 << depth, symbols.shape[1]
+        # Symbols from row 1 on: before and after them stand rows of none.
+        own = np.full((size + 4, m), -1, np.int64)
+        own[1 : len(symbols) + 1] = symbols
+        tree = np.empty((2 * size, m), np.int64)
+        tree[size:] = self._leaves(own[1 : size + 1], own[2 : size + 2], np.arange(1, size + 1)[:, None])
+        for level in range(depth - 1, -1, -1):
+            a, b = 1 << level, 2 << level
+            np.minimum(tree[b : 2 * b : 2], tree[b + 1 : 2 * b : 2], out=tree[a:b])
+        before, after = (np.repeat(np.arange(size + 4) + step, m) for step in (-1, 1))
+        own, tree, rows = own.ravel(), tree.ravel(), np.arange(m)
+        while True:
+            top = tree[m + rows]
+            live = top != NO_MERGE
+            if not live.all():
+                top, rows = top[live], rows[live]
+            if not len(rows):
+                return own.reshape(size + 4, m)[1 : len(symbols) + 1]
+            at = top & POSITION
+            here = at * m + rows
+            gone = after[here]
+            away = gone * m + rows
+            right = after[away]
+            own[here], own[away] = self.pair_results[top >> 32], -1
+            after[here] = right
+            next_to = right * m + rows
+            before[next_to] = at
+            left = before[here]
+            x = own[here]
+            n = len(rows)
+            made = self._leaves(np.concatenate([x, own[left * m + rows]]), np.concatenate([own[next_to], x]), np.concatenate([at, left]))
+            # A pair that would start before the first or at the last symbol has no leaf: ``at`` is put twice.
+            no_left, last = left == 0, gone > size
+            nodes = np.concatenate([np.where(last, at, gone), at, np.where(no_left, at, left)]) + (size - 1)
+            values = np.concatenate([np.where(last, made[:n], NO_MERGE), made[:n], np.where(no_left, made[:n], made[n:])])
+            columns = np.concatenate([rows, rows, rows])
+            tree[nodes * m + columns] = values
+            for _ in range(depth):
+                nodes >>= 1
+                child = nodes * (2 * m) + columns
+                tree[nodes * m + columns] = np.minimum(tree[child], tree[child + m])
+
+    def _entries(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """``_entry`` of each word."""
+        out: list = [None] * len(words)
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        for k in np.flatnonzero(sizes > BESIDE):
+            out[k] = self._entry(words[k])
+        least = 0
+        for depth in range((BESIDE - 1).bit_length()):
+            most = (1 << depth) + 1
+            chosen, least = np.flatnonzero((sizes > least) & (sizes <= most)), most
+            step = NODES >> (depth + 1)
+            for a in range(0, len(chosen), step):
+                part = chosen[a : a + step]
+                n = sizes[part]
+                ends = np.cumsum(n)
+                data = np.frombuffer(b"".join([raw[k] for k in part]), np.uint8)
+                found = self.first[0][data]
+                found[ends - 1] = self.first[1][data[ends - 1]]
+                column = np.repeat(np.arange(len(part)), n)
+                place = np.arange(len(data)) - np.repeat(ends - n, n)
+                if (found < 0).any():  # bytes without a token are left out
+                    have = found >= 0
+                    passed = np.cumsum(have)
+                    place = passed - 1 - np.repeat(np.append(0, passed)[ends - n], n)
+                    found, column, place = found[have], column[have], place[have]
+                symbols = np.full((most, len(part)), -1, np.int64)
+                symbols[place, column] = found
+                left = self._merge_beside(symbols, depth).T
+                some = left >= 0
+                ids = left[some]
+                stops = np.cumsum(some.sum(1)).tolist()
+                packed, names, at = ids.astype("<u4").tobytes(), [] if self.bytes_back else [*map(self.token_bytes.__getitem__, ids.tolist())], 0
+                for k, stop in zip(part.tolist(), stops):
+                    out[k] = packed[4 * at : 4 * stop], b" ".join(names[at:stop])
+                    at = stop
+        return out
+
     def _entry(self, word: str) -> tuple[bytes, bytes]:
         raw = word.encode("utf-8", "surrogatepass")
         inner = self.inner
@@ -278,24 +388,44 @@ class Codec:
             out += bytes(map(self.byte_of.__getitem__, t)) if all(c in self.byte_of for c in t) else t.encode()
         return out.decode("utf-8", "replace")
 
-    def encode(self, text: str) -> tuple[bytes, str]:
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """``encode`` of each text; pre-tokens that are new are merged together, some texts at a time."""
+        out: list[tuple[bytes, str]] = []
+        while len(out) < len(texts):
+            first, held, split = len(out), 0, []
+            while first + len(split) < len(texts) and (not split or held < PIECE):
+                text = texts[first + len(split)]
+                held += len(text)
+                split.append(None if any(s in text for s in self.specials) else self.words(text))
+            new = self.known.lacking(set().union(*(w for w in split if w)))
+            self.known.update(zip(new, self._entries(new)))
+            for k, words in enumerate(split):
+                out.append(self.encode(texts[first + k], False) if words is None else self._joined([*map(self.known.__getitem__, words)]))
+            for w in new:
+                if len(w) > self.known.longest:
+                    del self.known[w]
+            self.known.turn()
+        return out
+
+    def _joined(self, entries: list[tuple[bytes, bytes]]) -> tuple[bytes, str]:
+        packed = b"".join(map(itemgetter(0), entries))
+        if self.bytes_back:
+            return packed, self.decode(memoryview(packed).cast("I").tolist())
+        return packed, b" ".join(filter(None, map(itemgetter(1), entries))).decode()
+
+    def encode(self, text: str, turn: bool = True) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
-        ids, decoded = [], []
+        entries = []
         pieces = self.special_split.split(text) if any(s in text for s in self.specials) else [text]
         for piece in pieces:
             special = self.specials.get(piece)
             if special is not None:
-                ids.append(special.to_bytes(4, "little"))
-                decoded.append(piece.encode())
+                entries.append((special.to_bytes(4, "little"), piece.encode()))
             elif piece:
-                for i, d in map(self.known.__getitem__, self.words(piece)):
-                    ids.append(i)
-                    decoded.append(d)
-        self.known.turn()
-        packed = b"".join(ids)
-        if self.bytes_back:
-            return packed, self.decode(memoryview(packed).cast("I").tolist())
-        return packed, b" ".join(d for d in decoded if d).decode()
+                entries += map(self.known.__getitem__, self.words(piece))
+        if turn:
+            self.known.turn()
+        return self._joined(entries)
 
 
 @lru_cache(maxsize=2)
@@ -319,7 +449,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 part = batch.slice(a, BATCH)
-                out = [c.encode(t.as_py() or "") for t in part.column(where)]
+                out = c.encode_all([t.as_py() or "" for t in part.column(where)])
                 made = pa.array([i for i, _ in out], pa.binary()), pa.array([d for _, d in out], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in at), *made], [*kept, ids, decoded])
         c.known.forget()  # the worker may serve other operators next

@@ -76,6 +76,34 @@ def test_library_rules_are_read_without_the_vocabulary():
     assert float(out.stdout) < 25
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_merges_side_by_side_are_those_of_single_words(path):
+    own, rng = bpe.Codec(path), random.Random(11)
+    words = {"".join(rng.choice(("a", "b", "th", "in", "é", "日", "😀", "'")) for _ in range(rng.randrange(1, 80))) for _ in range(3000)}
+    words |= {"a" * n for n in range(1, 140)} | {"é" * n for n in range(1, 70)}
+    words = sorted(words)
+    assert own._entries(words) == [own._entry(w) for w in words]
+    assert own._entries([]) == []
+    own.first[:, ord("b")] = own.inner[ord("b")] = own.final[ord("b")] = -1  # a byte without a token is left out
+    own.inner[ord("b")] = own.final[ord("b")] = None
+    assert own._entries(words) == [own._entry(w) for w in words] and own._entries(["b", "bb"]) == [(b"", b"")] * 2
+
+
+def test_new_words_take_their_merges_together(monkeypatch):
+    """A tree for each new word cost most of op1's time: only words of over 65 bytes still have one."""
+    library, own, calls, rng = Tokenizer.from_file(WORDS), bpe.codec(WORDS), [], random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(1, 20))) for _ in range(40)) for _ in range(50)]
+    texts += ["", "<|endoftext|> and <|startoftext|>", "z" * 66]
+    single = bpe.Codec.merge
+    monkeypatch.setattr(bpe.Codec, "merge", lambda self, symbols: calls.append(len(symbols)) or single(self, symbols))
+    own.known.forget()
+    got = own.encode_all(texts)
+    for text, (ids, decoded) in zip(texts, got, strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want and decoded == library.decode(want, skip_special_tokens=False)
+    assert 66 in calls and len(calls) < 5 and "z" * 66 not in own.known
+
+
 def test_byte_level_of_every_code_point():
     """Within a word, before a contraction, before a number and at a line's end. Planes 3 to 13, 15 and 16
     hold no assigned code points beyond those taken here."""
