@@ -230,6 +230,8 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     def cut_all(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         return cut(texts, ranges, size)
 
+    # A filter on the results would run a deterministic function a second time, in two more Python workers an executor.
+    cut_all = cut_all.asNondeterministic()
     joined = docs.withColumns({"__id": own_id, "__row": row}).join(gone, ["__id", "__row"], "left")
     made = joined.withColumn("__cut", cut_all(F.col(text), F.col("__ranges")))
     results = ("kept", "n_words", "n_removed")

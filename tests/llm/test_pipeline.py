@@ -74,3 +74,12 @@ def test_all_queries_are_registered():
     names = __spark_entry__.queries()
     assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_texts_are_cut_once(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, f"{text} more", "en", "a", len(text) + 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.cut(spark, docs, SF)
+    # A second pass of Python in one stage is a second worker for each task, which then stays.
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, text), (2, "more")]
