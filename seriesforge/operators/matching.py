@@ -49,12 +49,13 @@ def missing(wanted: DataFrame, there: DataFrame, on: list[str]) -> DataFrame:
 
 
 def prefix_matches(wanted: DataFrame, names: DataFrame, prefix: str, name: str) -> DataFrame:
-    """Left join of ``wanted`` with the ``names`` that start with its ``prefix``. Each name is entered under each of
-    its own beginnings, so the join is on equal texts; names are short, and their number is multiplied
-    by their length only while they are dealt out."""
-    longest = F.col(name)
-    starts = names.withColumn("__start", F.explode(F.transform(F.sequence(F.lit(0), F.length(longest)), lambda n: F.substring(longest, F.lit(1), n))))
-    return wanted.join(starts, F.col(prefix) == F.col("__start"), "left").drop("__start")
+    """Left join of ``wanted`` with the ``names`` that start with its ``prefix``. Each name is entered under those of
+    its own beginnings that are as long as some prefix, so the join is on equal texts. Beginnings are
+    many times the names, which no estimate of sizes sees, so they are dealt out and never broadcast.
+    ``wanted`` is read twice."""
+    lengths = wanted.select(F.length(prefix).alias("__n")).distinct()
+    starts = names.join(F.broadcast(lengths), F.col("__n") <= F.length(name)).withColumn("__start", F.substring(F.col(name), F.lit(1), F.col("__n"))).drop("__n")
+    return wanted.join(starts.hint("merge"), F.col(prefix) == F.col("__start"), "left").drop("__start")
 
 
 def session_file(wanted: DataFrame, files: DataFrame, key: list[str], prefix: str, time: str, name: str = "file") -> DataFrame:

@@ -175,6 +175,17 @@ def test_files_by_prefix(spark):
     assert got == {1: (names[3], 1), 2: (names[1], 2), 3: (names[4], 1), 4: (None, 4), 5: (names[3], 3)}
 
 
+def test_beginnings_of_names_are_never_broadcast(spark):
+    """However small the names are thought to be, and only beginnings as long as a prefix are made."""
+    names = spark.createDataFrame([("ab.csv",), ("àb.csv",), ("ab_1.csv",), ("",), (None,)], "file string")
+    wanted = spark.createDataFrame([(1, ""), (2, "ab"), (3, "ab_1.csv"), (4, "ab_1.csv2"), (5, None), (6, "à"), (7, "ab")], "id int, prefix string")
+    met = matching.prefix_matches(wanted, names, "prefix", "file")
+    got = sorted((r.id, r.file or ("" if r.id == 1 else "none")) for r in met.collect())
+    assert got == sorted([*[(1, n) for n in ("ab.csv", "àb.csv", "ab_1.csv", "")], *[(i, n) for i in (2, 7) for n in ("ab.csv", "ab_1.csv")], (3, "ab_1.csv"), (4, "none"), (5, "none"), (6, "àb.csv")])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "Generate" not in plan
+
+
 def test_truth_of_any_data_sets(spark, tmp_path):
     chart = {"page": 0, "chart": 1, "metadata": {"animal_id": "07"}, "flusso": {"time_min": [0.0], "value": [2.0]}, "pressione": {"time_min": [], "value": []}}
     (tmp_path / "t.json").write_text(json.dumps({"a b": [chart], "any": [chart, chart], "none": []}, indent=1))
