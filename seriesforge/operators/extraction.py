@@ -10,6 +10,7 @@ The inputs are read more than once: give tables, not plans that are costly to co
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -88,7 +89,7 @@ def calibrated(charts: DataFrame, text: DataFrame, strokes: DataFrame) -> DataFr
     ends = calibration.value_range(ticks, CHART, "value").select(*CHART, c("v_bottom").cast("double").alias("v_bottom"), c("v_top").cast("double").alias("v_top"))
     rows = text.withColumn("numbers", calibration.label_numbers(c("text"))).where(calibration.is_label_row(c("numbers"), c("width")))
     labels = calibration.lowest(rows, CHART, "top", "seq").select(*CHART, "left", "right", F.element_at("numbers", 1).alias("t_min"), F.element_at("numbers", -1).alias("t_max"))
-    made = axis.join(labels, CHART).join(ends, CHART, "left").join(charts.select(*CHART, "cx0", "cx1", c("x0").alias("wx0"), c("x1").alias("wx1"), c("y0").alias("wy0"), c("y1").alias("wy1")), CHART)
+    made = axis.join(labels, CHART).join(ends, CHART, "left").join(charts.select(*CHART, "cx0", "cx1", c("x0").alias("wx0"), c("x1").alias("wx1"), c("y0").alias("wy0"), c("y1").alias("wy1")).hint("merge"), CHART)
     made = made.withColumn("base", F.coalesce(-c("intercept") / F.when(c("slope") != 0, c("slope")), c("wy1")))
 
     ends_of = [c(n) for n in ("r", "g", "b", "x0", "y0", "x1", "y1")]
@@ -136,16 +137,19 @@ def traced(axes: DataFrame, strokes: DataFrame, traces: DataFrame | None = None,
     c = F.col
     ink = strokes.select("page", "x0", "y0", "x1", "y1", F.explode(ink_of(c("r"), c("g"), c("b"), curves)).alias("curve"))
     vertices = ink.select("page", "curve", F.explode(F.array(F.struct(c("x0").alias("x"), c("y0").alias("y")), F.struct(c("x1").alias("x"), c("y1").alias("y")))).alias("p")).select("page", "curve", "p.x", "p.y")
-    plots = axes.where("x_right > x_left").withColumns({"gx0": c("x_left") - 1.0, "gx1": c("x_right") + 1.0})
+    plots = axes.where("x_right > x_left")
+    if traces is None:
+        plots = plots.withColumn("traces", F.lit(None).cast("map<string, struct<slope: double, intercept: double>>"))
+    else:
+        plots = plots.join(traces.groupBy(*CHART).agg(F.map_from_entries(F.collect_list(F.struct("curve", F.struct("slope", "intercept")))).alias("traces")).hint("merge"), CHART, "left")
+    plots = plots.withColumns({"gx0": c("x_left") - 1.0, "gx1": c("x_right") + 1.0})
     box = (c("gx0"), c("gx1") + 1.0, c("wy0"), c("wy1") + 2.0)
     held = geometry.inside_cells(plots, vertices, ["page"], box, (c("x"), c("y")), in_plot(c("x"), c("y"), c("gx0"), c("gx1"), c("wy0"), c("wy1")))
-    held = held.dropDuplicates([*TRACE, "x", "y"])
     t = clip(c("t_min") + (c("x") - c("x_left")) / (c("x_right") - c("x_left")) * (c("t_max") - c("t_min")), c("t_min"), c("t_max"))
-    own = held.where(~c("curve").isin(*OWN_AXIS))
-    points = own.select(*TRACE, t.alias("t"), clip(c("slope") * c("y") + c("intercept"), c("v_bottom"), c("v_top")).alias("v"))
-    if traces is not None:
-        other = held.drop("slope", "intercept").join(traces.select(*TRACE, "slope", "intercept"), TRACE)
-        points = points.unionByName(other.select(*TRACE, t.alias("t"), (c("slope") * c("y") + c("intercept")).alias("v")))
+    own = c("axis").isNull()
+    v = F.when(own, clip(c("slope") * c("y") + c("intercept"), c("v_bottom"), c("v_top"))).otherwise(c("axis.slope") * c("y") + c("axis.intercept"))
+    held = held.withColumn("axis", c("traces")[c("curve")]).where(~own | ~c("curve").isin(*OWN_AXIS))
+    points = held.select(*TRACE, "x", "y", t.alias("t"), v.alias("v")).dropDuplicates([*TRACE, "x", "y"])
     return series.collapse_anchored(points, TRACE).select(*TRACE, "t", "v")
 
 
@@ -164,13 +168,17 @@ def warnings_of(charts: DataFrame, axes: DataFrame, flow: DataFrame) -> DataFram
     return seen.select(*CHART, F.explode(F.when(c("x_left").isNull() | c("x_right").isNull(), failed).otherwise(notes)).alias("warning"))
 
 
-def extract(blocks: DataFrame, strokes: DataFrame, width: float, height: float, spans: DataFrame | None = None, curves: tuple[str, ...] = (FLOW,)) -> Extracted:
-    """All of the above. Curves with an axis of their own need ``spans``."""
-    charts = charts_of(blocks, width, height)
-    text = text_of(charts, blocks)
-    axes = calibrated(charts, text, strokes)
+def extract(
+    blocks: DataFrame, strokes: DataFrame, width: float, height: float, spans: DataFrame | None = None, curves: tuple[str, ...] = (FLOW,),
+    keep: Callable[[DataFrame, str], DataFrame] = lambda made, name: made,
+) -> Extracted:
+    """All of the above. Curves with an axis of their own need ``spans``. ``keep`` gets what is read more than once
+    and its name, and may return it as a table; as plans alone all is computed again at each place."""
+    charts = keep(charts_of(blocks, width, height), "charts")
+    text = keep(text_of(charts, blocks), "text")
+    axes = keep(calibrated(charts, text, strokes), "axes")
     extra = tuple(n for n in curves if n in OWN_AXIS)
-    traces = own_axes(axes, spans, extra) if extra and spans is not None else None
+    traces = keep(own_axes(axes, spans, extra), "traces") if extra and spans is not None else None
     found = traced(axes, strokes, traces, curves)
     warnings = warnings_of(charts, axes, found.where(F.col("curve") == FLOW))
     return Extracted(charts.join(headers_of(charts, text), CHART), axes, traces, found, warnings)

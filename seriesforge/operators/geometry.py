@@ -1,8 +1,7 @@
 """Charts on a page: reading order, row extent, and joins of what lies inside a window.
 
 The range joins have an equi key (the page, or the page and a cell of it) and a residual predicate,
-so they plan as hash joins with a condition, never as nested loops; which side is broadcast is left
-to the optimizer.
+so they plan as hash or merge joins with a condition, never as nested loops.
 """
 
 from __future__ import annotations
@@ -34,14 +33,15 @@ def inside_cells(windows: DataFrame, items: DataFrame, on: list[str], box: tuple
     """``inside`` as an indexed range join. The plane is cut into cells; a window (``box`` of x0, x1, y0, y1,
     which must hold all that ``holds`` accepts) is entered in each cell that it meets, an item in
     the one of its ``point``. Both join by ``on`` and cell, so an item meets the windows near it
-    only, a pair meets once, and one page's items are dealt over its cells. Windows without bounds
-    hold nothing. Columns that both sides have besides ``on`` must not be used in ``holds``."""
+    only, a pair meets once, and one page's items are dealt over its cells. Windows are entered many
+    times, which no estimate of sizes sees, so they are dealt out and never broadcast. Windows without
+    bounds hold nothing. Columns that both sides have besides ``on`` must not be used in ``holds``."""
     (x0, x1, y0, y1), (w, h) = box, cell
     index = lambda v, size: F.floor(v / F.lit(size)).cast("long")
     spread = windows.withColumn("__cx", F.explode(F.sequence(index(x0, w), F.greatest(index(x0, w), index(x1, w)))))
     spread = spread.withColumn("__cy", F.explode(F.sequence(index(y0, h), F.greatest(index(y0, h), index(y1, h)))))
     placed = items.withColumns({"__cx": index(point[0], w), "__cy": index(point[1], h)})
-    return spread.join(placed, [*on, "__cx", "__cy"]).where(holds).drop("__cx", "__cy")
+    return spread.hint("merge").join(placed, [*on, "__cx", "__cy"]).where(holds).drop("__cx", "__cy")
 
 
 def padded(rows: DataFrame, groups: DataFrame, keys: list[str], slots: int, slot: str = "slot") -> DataFrame:

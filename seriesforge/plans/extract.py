@@ -85,7 +85,7 @@ def hard_pages(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 def extract_traces(spark, d):
     """Four curves of every chart that can be read, two of them on axes in their own colour."""
     blocks, strokes, spans = hard_pages(spark, d)
-    return extraction.extract(blocks, strokes, *SIZE, spans, (FLOW, PRESSURE, CONDUCTIVITY, TEMPERATURE)).curves
+    return extraction.extract(blocks, strokes, *SIZE, spans, (FLOW, PRESSURE, CONDUCTIVITY, TEMPERATURE), written).curves
 
 
 def extract_sources(spark, d):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesforge.operators import extraction, geometry, matching, runs, selection, series
-from seriesforge.sources import drawn, files, publish, run
+from seriesforge.sources import drawn, files, publish, run, shared
 
 K = ["chart"]
 SIZE = drawn.PAGE_WIDTH, drawn.PAGE_HEIGHT
@@ -72,6 +72,24 @@ def test_cells_join_once(spark):
     assert got == sorted((r.w, r.i) for r in geometry.inside(windows, items, ["page"], holds).collect()) and len(got) > 30
 
 
+def test_windows_in_cells_are_never_broadcast(spark):
+    """However small the windows are thought to be; and strokes meet the plots once, whatever curves are wanted."""
+    blocks, strokes = page(spark, 2)
+    charts = extraction.charts_of(blocks, *SIZE)
+    axes = shared.written(extraction.calibrated(charts, extraction.text_of(charts, blocks), strokes), "axes")
+    traces = spark.createDataFrame([(0, 1, extraction.TEMPERATURE, -1.0, 400.0)], "page long, chart int, curve string, slope double, intercept double")
+    red = drawn.polyline(spark.createDataFrame([(0, s, t, 20.0) for s in range(2) for t in (1.0, 2.0)], "page long, slot int, t double, v double"), extraction.OWN_AXIS[extraction.TEMPERATURE], 10.0, 45.0)
+    windows = axes.select("page", "wx0", "wx1", "wy0", "wy1")
+    found = geometry.inside_cells(windows, strokes, ["page"], tuple(F.col(n) for n in windows.columns[1:]), (F.col("x0"), F.col("y0")), F.lit(True))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    both = extraction.traced(axes, strokes.unionByName(red), traces, (extraction.FLOW, extraction.TEMPERATURE))
+    got = sorted((r.chart, r.curve, r.t, r.v) for r in both.where(F.col("curve") != extraction.FLOW).collect())
+    y = float(drawn.TOPS[0] + drawn.PLOT_TOP + drawn.PLOT_HEIGHT * (1 - 10 / 35))
+    assert got == [(1, extraction.TEMPERATURE, t, pytest.approx(400 - y, abs=1e-4)) for t in (1.0, 2.0)]
+    flow = sorted((r.chart, r.t, r.v) for r in both.where(F.col("curve") == extraction.FLOW).collect())
+    assert flow == [(s, k / 2, k / 4) for s in range(2) for k in range(21)]
+
+
 def test_a_run_leaves_named_files_or_nothing(spark, tmp_path, monkeypatch):
     headers = ["Animale: 1 latte: 24,9 kg Data: 1.2.2024 Ora: 03:58:23", "Animale: 1 Data: 1.2.2024 Ora: 04:10", "Animale: 1 Data: 1.2.2024 Ora: 04:10", "Animale: 1 Data: 1.2.2024", "Animale: 2 latte: 99 kg Ora: 1:02"]
     blocks, strokes = page(spark, 5, headers)
