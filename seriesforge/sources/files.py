@@ -5,6 +5,11 @@ Schemas are explicit. A session's identity is in its file's name: ``animal_{id}_
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from uuid import uuid4
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from seriesforge.operators import matching
@@ -27,8 +32,10 @@ def session_file() -> Column:
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """(animal_id, date_iso, time_hhmm, curve, t, v, file) of all session files under ``path``."""
+    """(animal_id, date_iso, time_hhmm, curve, t, v, file) of all session files under ``path``. By itself Spark starts
+    a task for every few files, however small; here tasks are eight times the cores at most."""
     rows = spark.read.schema(CURVE).option("header", True).csv(path).withColumn("file", session_file())
+    rows = rows.coalesce(8 * spark.sparkContext.defaultParallelism)
     part = lambda k: F.nullif(F.regexp_extract("file", NAME, k), F.lit(""))
     return rows.select(part(1).alias("animal_id"), part(2).alias("date_iso"), part(3).alias("time_hhmm"), "curve", F.col("time_min").alias("t"), F.col("value").alias("v"), "file")
 
@@ -52,6 +59,29 @@ def write_sessions(curves: DataFrame, path: str) -> None:
     rows.repartition("csv_name").sortWithinPartitions("csv_name", "curve", "time_min").write.partitionBy("csv_name").option("header", True).csv(path)
 
 
+def write_named_sessions(curves: DataFrame, folder: str, waiting: str) -> None:
+    """Sessions as CSV under their own names in ``folder``, which as ``waiting`` is a path that all tasks can open. Spark
+    makes each session's text; a task writes it in ``waiting`` and renames it, so a name is whole or absent
+    whatever becomes of the task. Spark's own writer makes a folder for each session and, in a local file
+    system, starts several processes to set rights."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = f"{waiting}/{uuid4().hex}"
+                with open(own, "x", encoding="utf-8", newline="") as out:
+                    out.write(text)
+                os.replace(own, f"{folder}/{name}")
+            yield batch.select([0])
+
+    os.makedirs(folder, exist_ok=True)
+    os.makedirs(waiting, exist_ok=True)
+    rows = curves.select("csv_name", "curve", F.col("t").alias("time_min"), F.col("v").alias("value"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("curve", "time_min", "value"))), lambda s: F.to_csv(s))
+    texts = rows.groupBy("csv_name").agg(F.concat(F.array_join(F.concat(F.array(F.lit("curve,time_min,value")), lines), "\n"), F.lit("\n")).alias("text"))
+    texts.mapInArrow(write, "csv_name string").write.format("noop").mode("overwrite").save()
+
+
 def write_report(summary: DataFrame, path: str) -> None:
     """A report as JSON lines."""
     summary.write.json(path)

@@ -1,8 +1,9 @@
 """The run from pages to files: every chart's session as one CSV, and a report of all charts.
 
 The extraction's curves are written once; scales, metrics, grids, names and the report all start from
-that table. Files are made in a hidden folder, get their names there and appear together: a run that
-dies leaves nothing that a reader sees.
+that table. Files are made in hidden folders, get their names there and appear together: a run that
+dies leaves nothing that a reader sees. In a file system that all machines open, tasks write sessions under
+their names; in other stores Spark writes them, and they are renamed.
 
 Of sessions that share an animal and a date, the first (by page and chart) has the plain name, later
 ones the time, or a number where none is printed. Where even that name is taken, a number is put
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from seriesforge.functions.scalars import rounded
 from seriesforge.operators import extraction, matching, series
 from seriesforge.operators.extraction import CHART, FLOW, TRACE
-from seriesforge.sources.files import write_report, write_sessions
-from seriesforge.sources.publish import hidden_beside, publish
+from seriesforge.sources.files import write_named_sessions, write_report, write_sessions
+from seriesforge.sources.publish import hidden_beside, local_path, publish
 from seriesforge.sources.shared import written
 
 
@@ -55,10 +56,8 @@ def run_pages(blocks: DataFrame, strokes: DataFrame, width: float, height: float
     """Writes the new folder ``goal``: ``sessions`` with a CSV (curve, time_min, value) for each chart that has a
     curve, and ``report`` with a JSON line for each chart. Returns the files' names. Raises
     ``FileExistsError`` if the folder exists."""
-    found = extraction.extract(blocks, strokes, width, height, spans, curves)
-    charts, axes = written(found.charts, "charts"), written(found.axes, "axes")
-    traces = written(found.traces, "traces") if found.traces is not None else None
-    rows = written(extraction.traced(axes, strokes, traces, curves), "curves")
+    found = extraction.extract(blocks, strokes, width, height, spans, curves, written)
+    charts, axes, rows = written(found.charts, "charts"), found.axes, written(found.curves, "curves")
     weights = written(scaled(rows, charts, axes), "weights")
 
     fitted = rows.join(weights.select(*CHART, "scale"), CHART).withColumn("v", F.when(F.col("curve") == FLOW, F.col("v") * F.col("scale")).otherwise(F.col("v"))).drop("scale")
@@ -67,8 +66,14 @@ def run_pages(blocks: DataFrame, strokes: DataFrame, width: float, height: float
     sizes = table.groupBy(*CHART).agg(F.count("*").alias("csv_rows"))
     names = written(named(charts.join(sizes.select(*CHART), CHART, "left_semi")), "names")
 
-    hidden = hidden_beside(goal)
-    write_sessions(table.join(names, CHART), f"{hidden}/sessions")
+    hidden, staged = hidden_beside(goal), hidden_beside(goal)
+    spark, files = blocks.sparkSession, table.join(names, CHART)
+    if (folder := local_path(spark, f"{staged}/sessions")) is not None:
+        write_named_sessions(files, folder, local_path(spark, f"{hidden}/waiting"))
+        sessions = [f"sessions/{r.csv_name}" for r in names.select("csv_name").distinct().collect()]
+    else:
+        write_sessions(files, f"{hidden}/sessions")
+        sessions = []
     metrics = series.metrics(fitted, TRACE)
     summary = metrics.groupBy(*CHART).agg(F.map_from_entries(F.collect_list(F.struct("curve", F.struct("points", "t_min", "t_max", "v_min", "v_max", "v_mean", "integral")))).alias("metrics"), F.max(F.when(F.col("curve") == FLOW, F.col("integral"))).alias("integral"))
     ends = rows.where(F.col("curve") == FLOW).join(axes.select(*CHART, "t_max"), CHART)
@@ -93,4 +98,4 @@ def run_pages(blocks: DataFrame, strokes: DataFrame, width: float, height: float
         part = re.match(r"report/part-(\d+)-.*\.json$", path)
         return f"report/report-{part[1]}.json" if part else None
 
-    return publish(blocks.sparkSession, hidden, goal, name)
+    return sorted([*sessions, *publish(spark, hidden, goal, name, staged=staged)])

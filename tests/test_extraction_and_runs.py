@@ -118,6 +118,32 @@ def test_a_run_leaves_named_files_or_nothing(spark, tmp_path, monkeypatch):
     assert {(r.animal_id, r.date_iso, r.time_hhmm) for r in back.select("animal_id", "date_iso", "time_hhmm", "file").where("file like '%0410.csv'").collect()} == {("1", "2024-02-01", "0410")}
 
 
+def test_sessions_are_written_under_their_names_where_tasks_can_open_them(spark, tmp_path, monkeypatch):
+    """Without a folder and a renaming for each; in other stores Spark's writer makes the same files."""
+    blocks, strokes = page(spark, 3, ["Animale: 1 Data: 1.2.2024", "Animale: 1 Data: 1.2.2024", "Animale: 2 latte: 25 kg"])
+    blocks, strokes = shared.written(blocks, "blocks"), shared.written(strokes, "strokes")
+    made = {}
+    for way, closed in (("open", "write_sessions"), ("other", "write_named_sessions")):
+        with monkeypatch.context() as m:
+            m.setattr(run, closed, lambda *_: (_ for _ in ()).throw(RuntimeError(closed)))
+            if way == "other":
+                m.setattr(run, "local_path", lambda *_: None)
+            names = run.run_pages(blocks, strokes, *SIZE, f"file://{tmp_path}/{way}")
+        assert sorted(f"sessions/{p.name}" for p in tmp_path.glob(f"{way}/sessions/*.csv")) == [n for n in names if n.startswith("sessions/")]
+        made[way] = {p.name: p.read_text() for p in tmp_path.glob(f"{way}/sessions/*") if not p.name.startswith(".")}
+    assert made["open"] == made["other"] and len(made["open"]) == 3 and made["open"]["animal_2_unknown_date.csv"].startswith("curve,time_min,value\n")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["open", "other"]
+
+
+def test_files_below_are_listed_whole(spark, tmp_path):
+    for n in ("top", "a/x, y", "a/b/c/caf\u00e9", "a/b/.hidden", "a/_c"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("")
+    (tmp_path / "a/empty").mkdir()
+    assert publish.files_below(spark, f"file://{tmp_path}") == ["a/_c", "a/b/.hidden", "a/b/c/caf\u00e9", "a/x, y", "top"]
+    assert publish.files_below(spark, f"file://{tmp_path}/a/empty") == []
+
+
 def test_publish_refuses_two_files_of_one_name(spark, tmp_path):
     hidden = publish.hidden_beside(f"file://{tmp_path}/goal")
     spark.range(10).repartition(2).write.csv(hidden)
