@@ -33,9 +33,10 @@ def session_file() -> Column:
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """(animal_id, date_iso, time_hhmm, curve, t, v, file) of all session files under ``path``. By itself Spark starts
-    a task for every few files, however small; here tasks are eight times the cores at most."""
+    a task for every four files, however small; here a task takes eight times as many. It can't take any
+    number, as Spark keeps what it read each file with until the task ends."""
     rows = spark.read.schema(CURVE).option("header", True).csv(path).withColumn("file", session_file())
-    rows = rows.coalesce(8 * spark.sparkContext.defaultParallelism)
+    rows = rows.coalesce(max(8 * spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // 8))
     part = lambda k: F.nullif(F.regexp_extract("file", NAME, k), F.lit(""))
     return rows.select(part(1).alias("animal_id"), part(2).alias("date_iso"), part(3).alias("time_hhmm"), "curve", F.col("time_min").alias("t"), F.col("value").alias("v"), "file")
 
