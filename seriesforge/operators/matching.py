@@ -106,7 +106,8 @@ def metadata_check(extracted: DataFrame, truth: DataFrame, key: list[str], order
     (``truth``, of which only complete ones count), by animal and time; of several true ones the last in
     ``order``. (key, animal_id, time_full, matched, differs): the names of the fields that differ, in order;
     a chart that nothing matches fails with none."""
-    complete = truth.dropna(subset=["animal_id", "date_iso", "time_full", "milk_kg"])
+    # Read in this order a text is given up at the first field that it lacks; a weight that is no number is none.
+    complete = truth.where("animal_id IS NOT NULL AND time_full IS NOT NULL AND date_iso IS NOT NULL AND nanvl(milk_kg, NULL) IS NOT NULL")
     complete = complete.withColumn("time_hhmm", F.concat(F.substring("time_full", 1, 2), F.substring("time_full", 4, 2)))
     same = ["animal_id", "time_hhmm"]
     known = last_wins(complete, same, order).select(*same, F.struct(*FIELDS).alias("t"), F.lit(True).alias("matched"))

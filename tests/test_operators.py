@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesforge.functions import scalars
-from seriesforge.operators import calibration, quality, runs, series
+from seriesforge.operators import calibration, matching, quality, runs, series
 from seriesforge.plans import extract
 from seriesforge.sources import files, pages
 from seriesforge.streaming import sessions
@@ -151,3 +151,45 @@ def test_written_sessions_keep_their_names(spark, tmp_path):
     got = files.read_sessions(spark, str(tmp_path / "store"))
     want = {(str(r.chart), "2024-03-07", "0815", r.t, r.v) for r in c.collect()}
     assert {(r.animal_id, r.date_iso, r.time_hhmm, r.t, r.v) for r in got.collect()} == want
+
+
+def test_each_header_pattern_is_matched_once(spark):
+    texts = spark.createDataFrame([("Animale: 3 Data: 7/3/24 Ora: 3:58:09",)], "text string").select(F.concat("text", F.lit(" GNR: 1")).alias("text"))
+    code = lambda fields: spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(texts.select(*[c.alias(n) for n, c in fields.items()])._jdf.queryExecution().executedPlan())
+    # Once for all groups of a pattern and for the test whether it met anything; the rest are over the few characters found.
+    assert code(scalars.header_fields(F.col("text"))).count(".matcher(") <= 21
+    assert code(scalars.strict_fields(F.col("text"))).count(".matcher(") <= 13
+
+
+def test_header_dates_and_times_in_odd_forms(spark):
+    texts = {
+        "Data:\n7-3-2024 Ora: :3:58": ("2024-03-07", "07.03.2024", "0358", "03:58", None),
+        "1.2.024 and 12.10.2023, 9:05 then 10:15:30": ("024-02-01", "01.02.024", "0905", "09:05", None),
+        "1.2.2025 DATA 31/12/99 10:15 ORA 4:05:06": ("2099-12-31", "31.12.2099", "0405", "04:05:06", "06"),
+        "Data: 1.2.3 Ora: 4:5": (None, None, None, None, None),
+        "": (None,) * 5,
+        None: (None,) * 5,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in rows.select("text", *[c.alias(n) for n, c in scalars.header_fields(F.col("text")).items()]).collect():
+        assert (r.date_iso, r.date_printed, r.time_hhmm, r.time_full, r.seconds) == texts[r.text]
+    strict = {"Data: 7.3.2024": ("2024-03-07", "07.03.2024"), "Data: 7.3.24": (None, None), "data: 7.3.2024": (None, None), None: (None, None)}
+    rows = spark.createDataFrame([(t,) for t in strict], "text string")
+    for r in rows.select("text", *[c.alias(n) for n, c in scalars.strict_fields(F.col("text")).items()]).collect():
+        assert (r.date_iso, r.date_printed) == strict[r.text]
+
+
+def test_metadata_check_takes_the_last_complete_truth(spark):
+    names = ("o", *matching.FIELDS)
+    row = lambda o, **own: tuple(({"o": o, "farm": "F", "animal_id": "1", "date_iso": "2024-03-07", "date_printed": "07.03.2024", "time_full": "03:58:09", "milk_kg": 5.0, "gnr": "1", "bimo": "1", "le": "0"} | own)[n] for n in names)
+    kind = "o long, " + ", ".join(f"{n} {'double' if n == 'milk_kg' else 'string'}" for n in matching.FIELDS)
+    truth = [
+        row(1), row(2, gnr="2"), row(2, gnr="2"), row(3, milk_kg=None), row(4, milk_kg=float("nan")), row(5, date_iso=None), row(None, gnr="9"), row(6, animal_id=None), row(7, time_full=None),
+        row(8, animal_id="2", milk_kg=float("nan")), row(None, animal_id="3"),
+    ]
+    read = spark.createDataFrame([row(10), row(10), row(11, animal_id="2"), row(12, animal_id="3", milk_kg=None), row(13, animal_id=None), row(14, time_full=None)], kind)
+    read = read.withColumn("time_hhmm", F.replace(F.substring("time_full", 1, 5), F.lit(":"), F.lit("")))
+    found = matching.metadata_check(read, spark.createDataFrame(truth, kind), ["o"], "o")
+    assert sorted((r.o, r.matched, r.differs) for r in found.collect()) == [(10, True, ["gnr"]), (10, True, ["gnr"]), (11, False, []), (12, True, ["milk_kg"]), (13, False, []), (14, False, [])]
+    # All four fields at once would read a text in full before it is given up.
+    assert "atleastnnonnulls" not in found._jdf.queryExecution().executedPlan().toString().lower()
