@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seriesforge.functions.scalars import STEP, clip, pixel_to_data, rounded
 from seriesforge.operators import quality, series
+from seriesforge.sources.shared import written
 from seriesforge.sources.tables import CURVES_SQL, POINTS_SQL, points, table
 
 KEY = ["chart"]
@@ -213,6 +214,7 @@ def report_summary(spark, d):
     m = scaled(spark, d).join(gate(spark, d).select("chart", "accuracy_pct"), "chart", "left")
     m = m.join(series.tail_mean(curves(spark, d), KEY, 9.9).select("chart", "reaches_axis_end"), "chart")
     m = m.withColumn("report", F.floor(F.col("chart") / 8)).withColumn("measured", F.col("integral") * F.col("scale"))
+    m = written(m.select("report", "chart", "accuracy_pct", "reaches_axis_end", "printed", "measured", "reason"), "report-charts")  # read four times
     return quality.report_summary(m, ["report"]).withColumn("failing", F.concat_ws(",", F.col("failing").cast("array<string>")))
 
 

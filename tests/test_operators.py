@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions import scalars
 from seriesforge.operators import calibration, matching, quality, runs, series
-from seriesforge.plans import extract
+from seriesforge.plans import extract, series_queries
 from seriesforge.sources import files, pages
 from seriesforge.streaming import sessions
 from tests import synthetic
@@ -193,3 +193,24 @@ def test_metadata_check_takes_the_last_complete_truth(spark):
     assert sorted((r.o, r.matched, r.differs) for r in found.collect()) == [(10, True, ["gnr"]), (10, True, ["gnr"]), (11, False, []), (12, True, ["milk_kg"]), (13, False, []), (14, False, [])]
     # All four fields at once would read a text in full before it is given up.
     assert "atleastnnonnulls" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_curves_are_dealt_out_once_and_without_points(spark):
+    c = curve(spark, [(1, 0.0, 1.0), (1, 2.0, 5.0), (2, 1.0, None), (2, 3.0, 4.0), (None, 0.0, 7.0)])
+    o = curve(spark, [(1, 1.0, 3.0), (1, 1.0, 3.0), (2, None, 9.0)])
+    p = spark.createDataFrame([(1, 0.5), (1, 0.5), (1, 1.0), (1, 9.0), (1, -1.0), (1, None), (2, 2.0), (2, 3.0), (3, 1.0), (None, 5.0)], "chart int, t double")
+    made = series.both_at_times(c, o, p, K)
+    plan = plan_of(made)
+    # A frame to the window's end is read anew for each row; structs under the exchange would be shuffled.
+    assert "unboundedfollowing" not in plan and "struct(" not in plan[plan.index("Exchange hashpartitioning") :] and plan.count("Exchange hashpartitioning") == 1
+    want = [(1, None, 1.0, 3.0), (1, -1.0, 1.0, 3.0), (1, 0.5, 2.0, 3.0), (1, 0.5, 2.0, 3.0), (1, 1.0, 3.0, 3.0), (1, 9.0, 5.0, 3.0), (2, 2.0, None, 9.0), (2, 3.0, 4.0, 9.0), (3, 1.0, None, None), (None, 5.0, 7.0, None)]
+    key = lambda r: tuple((x is not None, x) for x in r[:2])
+    assert sorted(((r.chart, r.t, r.v, r.w) for r in made.collect()), key=key) == sorted(want, key=key)
+
+
+def test_report_summary_works_out_its_charts_once(spark):
+    assert "events" not in plan_of(series_queries.report_summary(spark, "/root/testdata/sf0.001"))
