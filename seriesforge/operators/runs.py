pixel_curves: the next point is found once a row, and boxes are met without another count

Symptom: pixel_curves took 1847 task seconds per input GB, 1421 of them JVM CPU, for medians of a few pixels a column and 120 probes a curve.
Evidence: the window stage alone took 6 s: for each row the next known point was looked for in a frame to the end of its curve, so work grew with the square of a curve's points. A second scan of the lines and two exchanges only counted columns again for the last join.
Fix: at_times finds the next point by lead over known points and deals rows out before it makes the points; the last join takes the boxes, as probes are of plots that passed the count.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1749 -> 1182 s, shuffle 1.35 -> 0.89 GB, spill 0.00 -> 0.00 GB, read 0.56 -> 0.30 GB, longest task 76 -> 36 s, most memory of a task 272 -> 204 MB; at 6 GB of input CPU 6728 -> 4961 s, shuffle 9.00 -> 6.07 GB, spill 0.00 -> 0.00 GB, read 4.67 -> 2.42 GB, longest task 158 -> 61 s, most memory of a task 522 -> 688 MB; with hot keys, at 1 GB of input CPU 1305 -> 791 s, shuffle 1.07 -> 0.73 GB, spill 0.00 -> 0.00 GB, read 0.53 -> 0.28 GB, longest task 46 -> 21 s, most memory of a task 272 -> 171 MB.

@@ -61,6 +61,6 @@ def pixels_to_curve(pixels: DataFrame, boxes: DataFrame, keys: list[str], x_max:
     at = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.when(j == k - 1, c("last")).otherwise(c("first") + F.floor(j * step)).cast("double"))
     probes = plots.where("last >= first").select(*keys, F.explode(at).alias("t"))
     rows = at_times(known.select(*keys, c("col").cast("double").alias("t"), c("row").cast("double").alias("v")), probes, keys)
-    made = rows.join(plots, keys)
+    made = rows.join(boxes, keys)  # probes are of plots only, so this needs no sizes
     t, v = pixel_to_data(c("t") + c("left"), c("v") + c("top"), c("left"), c("right"), c("top"), c("bottom"), x_max, y_max)
     return made.select(*keys, c("t").cast("int").alias("col"), t.alias("t"), v.alias("v"))

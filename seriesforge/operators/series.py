@@ -97,12 +97,11 @@ def at_times(curve: DataFrame, probes: DataFrame, keys: list[str], outside: str
     """As-of interpolation: ``probes`` (keys, t) with ``v`` of the curve there. Outside the curve:
     its end values (clamp) or null. One union and one exchange by the keys, no range join."""
     both = curve.select(*keys, "t", "v", F.lit(0).alias("p")).unionByName(probes.select(*keys, "t", F.lit(None).cast("double").alias("v"), F.lit(1).alias("p")))
-    w = W.partitionBy(*keys).orderBy("t", "p")
+    # Dealt out here, rows travel without the points, which repeat their times and values.
+    both = both.repartition(*keys).withColumn("point", F.when(F.col("p") == 0, F.struct("t", "v")))
     # A curve point at the probe's own time sorts before it.
-    back = w.rowsBetween(W.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, W.unboundedFollowing)
-    point = F.when(F.col("p") == 0, F.struct("t", "v"))
-    made = both.withColumn("a", F.last(point, True).over(back)).withColumn("b", F.first(point, True).over(ahead)).where("p = 1")
+    w = W.partitionBy(*keys).orderBy("t", "p")
+    made = both.withColumns({"a": F.last("point", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "b": next_known("point").over(w)}).where("p = 1")
     inner = F.when((F.col("a.t") == F.col("t")) | (F.col("b.t") == F.col("a.t")), F.col("a.v")).otherwise(
         F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
     )

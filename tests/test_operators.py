@@ -1,4 +1,5 @@
 import json
+import re
 
 import numpy as np
 import pytest
@@ -214,3 +215,29 @@ def test_two_curves_are_dealt_out_once_and_without_points(spark):
 
 def test_report_summary_works_out_its_charts_once(spark):
     assert "events" not in plan_of(series_queries.report_summary(spark, "/root/testdata/sf0.001"))
+
+
+def test_probes_read_a_series_once(spark):
+    c = curve(spark, [(1, 0.0, 1.0), (1, 2.0, 5.0), (1, 2.0, 5.0), (2, 1.0, None), (2, 3.0, 4.0), (4, None, 6.0), (None, 0.0, 7.0)])
+    p = spark.createDataFrame([(1, 1.0), (1, 1.0), (1, 2.0), (1, 9.0), (1, -1.0), (1, None), (2, 2.0), (3, 1.0), (4, 1.0), (None, 5.0)], "chart int, t double")
+    clamped = [(1, None, 1.0), (1, -1.0, 1.0), (1, 1.0, 3.0), (1, 1.0, 3.0), (1, 2.0, 5.0), (1, 9.0, 5.0), (2, 2.0, None), (3, 1.0, None), (4, 1.0, 6.0), (None, 5.0, 7.0)]
+    inside = [(1, None, None), (1, -1.0, None), (1, 1.0, 3.0), (1, 1.0, 3.0), (1, 2.0, 5.0), (1, 9.0, None), (2, 2.0, None), (3, 1.0, None), (4, 1.0, None), (None, 5.0, None)]
+    key = lambda r: tuple((x is not None, x) for x in r[:2])
+    for outside, want in (("clamp", clamped), ("null", inside)):
+        made = series.at_times(c, p, K, outside)
+        plan = plan_of(made)
+        assert "unboundedfollowing" not in plan and "struct(" not in plan[plan.index("Exchange hashpartitioning") :] and plan.count("Exchange hashpartitioning") == 1
+        assert sorted(((r.chart, r.t, r.v) for r in made.collect()), key=key) == sorted(want, key=key)
+
+
+def test_pixel_curves_meet_their_boxes_without_another_count(spark):
+    pixels = spark.createDataFrame([(1, x, 5 + x % 2) for x in range(1, 9)] + [(2, 3, 4), (None, 1, 1), (3, 1, None), (3, 2, None), (4, 1, 2), (4, 3, 4)], "chart int, x int, y int")
+    boxes = spark.createDataFrame([(1, 0.0, 10.0, 0.0, 6.0), (2, 0.0, 10.0, 0.0, 6.0), (None, 0.0, 1.0, 0.0, 1.0), (4, 0.0, 10.0, 0.0, 20.0), (4, 0.0, 10.0, 0.0, 20.0)], "chart int, left double, right double, top double, bottom double")
+    made = runs.pixels_to_curve(pixels, boxes, K, 10.0, 9.0, 4)
+    # The points, the columns that pins replace, the pins and the probes.
+    assert len(re.findall(r"Scan ExistingRDD\[chart#\d+,x#", plan_of(made))) == 4
+    got = sorted((r.chart, r.col, r.t, r.v) for r in made.collect())
+    one = [(1, 0, 0.0, 0.0), (1, 2, 2.0, 1.5), (1, 5, 5.0, 0.0), (1, 8, 8.0, 1.5)]
+    # A box that is there twice asks twice, and each answer meets both.
+    four = [(4, 0, 0.0, 0.0), (4, 1, 1.0, 8.1), (4, 2, 2.0, 7.65), (4, 3, 3.0, 7.2)]
+    assert got == sorted(one + four * 4)
